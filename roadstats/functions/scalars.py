@@ -23,8 +23,14 @@ def _col(c: Column | str) -> Column:
 
 
 def java_trim(c: Column | str) -> Column:
-    """Strip blanks and control characters on both sides (plain ``trim`` strips blanks only)."""
-    return F.btrim(_col(c), F.lit(_BLANKS))
+    """Strip blanks and control characters on both sides (plain ``trim`` strips blanks only).
+
+    A text that begins and ends with a printable character, nearly every one, is
+    left alone after two cheap comparisons.
+    """
+    text = _col(c)
+    padded = (text < F.lit("!")) | (F.right(text, F.lit(1)) < F.lit("!"))
+    return F.when(padded, F.btrim(text, F.lit(_BLANKS))).otherwise(text)
 
 
 def is_filled(c: Column | str) -> Column:

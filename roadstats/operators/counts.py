@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,34 +37,35 @@ def count_by(
 
 def count_dimensions(
     df: DataFrame,
-    group: Column | str,
-    dims: Mapping[str, Column | str],
-    group_name: str = "Gruppo",
+    group: str,
+    dims: Mapping[str, Callable[[str], Column]],
+    group_fn: Callable[[str], Column] = F.col,
+    out: str = "Gruppo",
     require_all: bool = False,
     weight: str | None = None,
 ) -> DataFrame:
     """Count the values of several dimensions per group from a single scan.
 
-    Output: ``group_name, dim, valore, n``; empty groups and values are left
-    out. The rows are first counted by the combination of all dimensions, so
-    that only the few combinations, not the source rows, are unpivoted. With
+    ``dims`` maps columns to the function that cleans them, ``group_fn`` cleans
+    the group. Output: ``out, dim, valore, n`` without empty groups and values.
+    The rows are first counted by the raw combination of all columns: only the
+    combinations, not the source rows, are then cleaned and unpivoted. With
     ``require_all`` a group stays only if every dimension has a value in it.
     """
-    keys: dict[str, Column | str] = {group_name: group, **dims}
-    combos = count_by(df, keys, "n", require=[group_name], weight=weight)
+    combos = count_by(df, {c: c for c in [group, *dims]}, "n", weight=weight)
     entry = F.explode(
-        F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("valore")) for d in dims])
+        F.array(*[F.struct(F.lit(d).alias("dim"), fn(d).alias("valore")) for d, fn in dims.items()])
     )
     flat = count_by(
-        combos.select(group_name, entry.alias("e"), "n"),
-        {group_name: group_name, "dim": "e.dim", "valore": "e.valore"},
+        combos.select(group_fn(group).alias(out), entry.alias("e"), "n"),
+        {out: out, "dim": "e.dim", "valore": "e.valore"},
         "n",
-        require=["valore"],
+        require=[out, "valore"],
         weight="n",
     )
     if not require_all:
         return flat
-    seen = F.size(F.collect_set("dim").over(Window.partitionBy(group_name)))
+    seen = F.size(F.collect_set("dim").over(Window.partitionBy(out)))
     return flat.withColumn("_seen", seen).filter(F.col("_seen") == len(dims)).drop("_seen")
 
 

@@ -28,24 +28,17 @@ def itemsets(
     fields: Mapping[str, Column | str],
     tag_fields: bool = False,
     weight: str | None = None,
-    counted: bool = True,
 ) -> DataFrame:
     """The set of distinct non-null field values of each row, as a sorted array ``items``.
 
-    By default equal rows are counted first: ``items, n`` with one row per field
-    combination, so the mining that follows works on the few combinations and
-    not on the records. With ``counted=False`` there is one ``items`` per record.
-    ``tag_fields`` gives ``field=value`` items, which keeps equal values of two
-    fields apart.
+    Rows that were counted first carry their ``weight`` along as ``n``; mining
+    then works on the few counted rows and not on the records. ``tag_fields``
+    gives ``field=value`` items, which keeps equal values of two fields apart.
     """
-    names = list(fields)
-    items = _items(names, tag_fields).alias("items")
-    if counted:
-        return count_by(df, fields, "n", weight=weight).select(items, "n")
-    if weight is not None:
-        raise ValueError("weighted rows can only be counted")
     cols = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]
-    return df.select(*cols).select(items)
+    kept = [F.col(weight).alias("n")] if weight else []
+    items = _items(list(fields), tag_fields).alias("items")
+    return df.select(*cols, *kept).select(items, *(["n"] if weight else []))
 
 
 def _checked(items: Column, max_width: int) -> Column:
@@ -55,18 +48,19 @@ def _checked(items: Column, max_width: int) -> Column:
 
 def _subsets(transactions: DataFrame, max_width: int) -> DataFrame:
     """Every non-empty subset of each transaction (``items``), the items left out, the weight."""
-    rows = transactions.filter(F.size("items") > 0)
+    rows = transactions
     if "n" not in transactions.columns:
         rows = count_by(rows, {"items": "items"}, "n")
     rows = rows.select(_checked(F.col("items"), max_width).alias("items"), "n")
     last = F.call_function("shiftleft", F.lit(1), F.size("items")) - 1
+    # Bit i of the mask chooses item i; mask 0 is listed so that a row without
+    # items needs no filter, which would be evaluated on every source row.
+    masks = rows.select("items", "n", F.explode(F.sequence(F.lit(0), last)).alias("mask"))
 
     def chosen(bit: int) -> Column:
         return F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == bit)
 
-    return rows.select("items", "n", F.explode(F.sequence(F.lit(1), last)).alias("mask")).select(
-        chosen(1).alias("items"), chosen(0).alias("rest"), "n"
-    )
+    return masks.filter("mask > 0").select(chosen(1).alias("items"), chosen(0).alias("rest"), "n")
 
 
 def _engine(engine: str, min_support: float) -> str:
@@ -81,7 +75,7 @@ def _engine(engine: str, min_support: float) -> str:
 
 def _fit(transactions: DataFrame, min_support: float, min_confidence: float, max_width: int):
     if "n" in transactions.columns:
-        raise ValueError("fpgrowth needs one row per record: itemsets(..., counted=False)")
+        raise ValueError("fpgrowth needs one row per record, not counted rows")
     if min_support == 0:
         items = _checked(F.col("items"), max_width).alias("items")
         transactions = transactions.select(items)

@@ -82,12 +82,8 @@ def times_documents(accidents: DataFrame) -> DataFrame:
 
 def conditions_by_group(accidents: DataFrame) -> DataFrame:
     """Paving, traffic and signage per municipality; only municipalities with all three."""
-    dims = {
-        "Pavimentazione": paving_class("Pavimentazione"),
-        "Traffico": java_trim("Traffico"),
-        "Segnaletica": java_trim("Segnaletica"),
-    }
-    return count_dimensions(accidents, java_trim("Gruppo"), dims, "Gruppo", require_all=True)
+    dims = {"Pavimentazione": paving_class, "Traffico": java_trim, "Segnaletica": java_trim}
+    return count_dimensions(accidents, "Gruppo", dims, java_trim, require_all=True)
 
 
 def conditions_documents(accidents: DataFrame) -> DataFrame:
@@ -100,9 +96,10 @@ _PEDESTRIAN_DIMS = ["Segnaletica", "Visibilita", "Illuminazione"]
 
 def pedestrian_conditions_by_group(accidents: DataFrame, pedestrians: DataFrame) -> DataFrame:
     """Signage, visibility and lighting of pedestrian accidents, one count per pedestrian."""
-    dims = {d: d for d in _PEDESTRIAN_DIMS}
-    joined = join_for_count(accidents, pedestrians, {"Municipio": "Gruppo", **dims})
-    return count_dimensions(joined, "Municipio", dims, "Municipio", weight="n")
+    cols = {c: c for c in ["Gruppo", *_PEDESTRIAN_DIMS]}
+    joined = join_for_count(accidents.filter(is_filled("Gruppo")), pedestrians, cols)
+    dims = {d: F.col for d in _PEDESTRIAN_DIMS}
+    return count_dimensions(joined, "Gruppo", dims, out="Municipio", weight="n")
 
 
 def pedestrian_documents(accidents: DataFrame, pedestrians: DataFrame) -> DataFrame:
@@ -168,13 +165,20 @@ def scenario_itemsets(
     tag_fields: bool = False,
     counted: bool = True,
 ) -> DataFrame:
-    """One itemset per accident: paving class, lighting, accident type."""
+    """Itemsets of paving class, lighting and accident type, one per accident.
+
+    ``counted`` gives one row per combination with its number of accidents.
+    """
+    rows, weight = _in_groups(accidents, groups), None
+    if counted:
+        raw = ["Pavimentazione", "Illuminazione", "NaturaIncidente"]
+        rows, weight = count_by(rows, {c: c for c in raw}, "n"), "n"
     fields: dict[str, Column | str] = {
         "Pavimentazione": paving_class_or_upper("Pavimentazione"),
         "Illuminazione": "Illuminazione",
         "NaturaIncidente": "NaturaIncidente",
     }
-    return itemsets(_in_groups(accidents, groups), fields, tag_fields, counted=counted)
+    return itemsets(rows, fields, tag_fields, weight)
 
 
 def scenario_rules(
@@ -198,24 +202,29 @@ def driver_itemsets(
     reference_year: int = S.REFERENCE_YEAR,
     counted: bool = True,
 ) -> DataFrame:
-    """One itemset per involved person: municipality, accident type, sex, age band of drivers."""
+    """Itemsets of municipality, accident type, sex and age band of drivers, one per person.
+
+    ``counted`` gives one row per combination with its number of persons.
+    """
     band = driver_age_band("TipoPersona", birth_year("AnnoNascita"), reference_year)
     accident_cols: dict[str, Column | str] = {
         "Gruppo": "Gruppo",
         "NaturaIncidente": "NaturaIncidente",
     }
     accidents = _in_groups(accidents, groups)
+    fields = {c: c for c in ["Gruppo", "NaturaIncidente", "Sesso", "FasciaEta"]}
+    weight = None
     if counted:
         joined = join_for_count(
             accidents, persons, accident_cols, {"Sesso": "Sesso", "FasciaEta": band}
         )
+        joined, weight = count_by(joined, fields, "n", weight="n"), "n"
     else:
         joined = accidents.select("ID", *accident_cols).join(
             persons.select("IDProtocollo", "Sesso", band.alias("FasciaEta")),
             F.col("ID").cast("string") == F.col("IDProtocollo").cast("string"),
         )
-    fields = {c: c for c in ["Gruppo", "NaturaIncidente", "Sesso", "FasciaEta"]}
-    return itemsets(joined, fields, tag_fields, weight="n" if counted else None, counted=counted)
+    return itemsets(joined, fields, tag_fields, weight)
 
 
 def driver_rules(

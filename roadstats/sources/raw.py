@@ -37,8 +37,14 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repair_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Repaired record lines; every other column passes through."""
-    return lines.withColumn(column, repair_line(column)).filter(is_record_line(column))
+    """Repaired record lines; every other column passes through.
+
+    The lines are filtered inside an array of one, which makes Spark repair each
+    line once; a plain filter would be pushed below the repair and repeat it.
+    """
+    rest = [c for c in lines.columns if c != column]
+    kept = F.explode(F.filter(F.array(repair_line(column)), is_record_line))
+    return lines.select(*rest, kept.alias(column))
 
 
 def parse_records(
@@ -60,7 +66,8 @@ def parse_records(
         column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     rest = [c for c in lines.columns if c != column]
-    parsed = lines.select(*rest, record.alias("_r")).select(*rest, "_r.*")
+    # Expanded as an array of one, so that filters on the fields do not parse again.
+    parsed = lines.select(*rest, F.inline(F.array(record)))
     if clean_strings:
         text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
         parsed = parsed.withColumns({c: java_trim(c) for c in text})
