@@ -25,7 +25,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
     """Delete the quotes inside every value that ``pattern`` finds, until none is left.
 
-    A round repairs all values found at once and two rounds do for nearly every
+    A round repairs all values found at once and one round does for nearly every
     line. A line that still matches gets as many rounds as it has quotes; each
     round removes at least one, so the loop always ends with no match.
     """
@@ -39,7 +39,7 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
             F.concat(F.lit(':"'), plain, F.lit('"')),
         )
 
-    def one_round(acc: Column, _: Column) -> Column:
+    def one_round(acc: Column, _: Column | None = None) -> Column:
         return F.aggregate(F.regexp_extract_all(acc, regex, F.lit(1)), acc, unquote)
 
     def to_the_end(x: Column) -> Column:
@@ -48,23 +48,24 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
         return F.when(x.rlike(pattern), F.aggregate(rounds, x, one_round)).otherwise(x)
 
     start = F.col(line) if isinstance(line, str) else line
-    two = F.aggregate(F.array(F.lit(1), F.lit(2)), start, one_round)
-    return F.when(start.rlike(pattern), _let(two, to_the_end)).otherwise(start)
+    return F.when(start.rlike(pattern), _let(one_round(start), to_the_end)).otherwise(start)
 
 
 def normalise_line(line: Column | str) -> Column:
     """Without backslashes and outer blanks, and without the comma that ends an array element."""
     plain = F.replace(F.col(line) if isinstance(line, str) else line, F.lit("\\"), F.lit(""))
-    return F.regexp_replace(java_trim(plain), r"\},$", "}")
+
+    def drop_comma(x: Column) -> Column:
+        return F.when(F.endswith(x, F.lit("},")), F.left(x, F.length(x) - 1)).otherwise(x)
+
+    return _let(_let(plain, java_trim), drop_comma)
 
 
 def repair_line(line: Column | str) -> Column:
     """Both quote repairs and the normalisation; a valid record line keeps its content."""
     start = F.col(line) if isinstance(line, str) else line
-    return _let(
-        strip_stray_quotes(start, FEW_QUOTES),
-        lambda x: normalise_line(strip_stray_quotes(x, MANY_QUOTES)),
-    )
+    few = strip_stray_quotes(start, FEW_QUOTES)
+    return normalise_line(_let(few, lambda x: strip_stray_quotes(x, MANY_QUOTES)))
 
 
 def is_record_line(line: Column | str) -> Column:

@@ -17,6 +17,9 @@ _WHEN = (
     r"(?: \d{1,4}:\d{1,4}:\d{1,4}(?!\d))?)"
 )
 
+# Signed digits, few enough for an integer.
+_YEAR = r"^[+-]?\d{1,9}$"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,17 +47,29 @@ def entity_key(c: Column | str) -> Column:
 
 
 def birth_year(c: Column | str) -> Column:
-    """Birth year as an integer; blank or non-numeric text gives NULL."""
-    return _col(c).try_cast("int")
+    """Birth year as an integer; blank or non-numeric text gives NULL.
+
+    The text is checked before the cast: a failing ``try_cast`` raises and
+    catches an exception for each row, which is slow where many are blank.
+    """
+    text = _col(c)
+    return F.when(text.rlike(_YEAR), text.cast("int"))
+
+
+def _band(steps: list[Column], labels: list[str]) -> Column:
+    """The label after as many ``steps`` as hold. All of them are evaluated, so
+    what they have in common is computed once."""
+    passed = steps[0].cast("int")
+    for step in steps[1:]:
+        passed = passed + step.cast("int")
+    return F.get(F.array(*[F.lit(label) for label in labels]), passed)
 
 
 def age_band(year: Column | str, reference_year: int = S.REFERENCE_YEAR) -> Column:
     """Age band of a birth year (integer). Compares years, so no value overflows."""
-    y = _col(year)
-    band = F.lit(None).cast("string")
-    for upper, label in reversed(S.AGE_BANDS):
-        band = F.when(y > F.lit(reference_year - upper), F.lit(label)).otherwise(band)
-    return F.coalesce(band, F.lit(S.AGE_BAND_UNKNOWN))
+    steps = [_col(year) <= reference_year - upper for upper, _ in S.AGE_BANDS]
+    labels = [label for _, label in S.AGE_BANDS] + [S.AGE_BAND_UNKNOWN]
+    return F.coalesce(_band(steps, labels), F.lit(S.AGE_BAND_UNKNOWN))
 
 
 def driver_age_band(
@@ -72,10 +87,11 @@ def parse_when(c: Column | str) -> Column:
     Fields out of range roll over (32/01 is 1 February, 24:00:00 the next
     midnight) and trailing text is ignored. Unreadable text gives a NULL ``ts``.
     """
-    part = F.split(F.regexp_extract(_col(c), _WHEN, 1), r"[/: ]")
+    found = F.nullif(F.regexp_extract(_col(c), _WHEN, 1), F.lit(""))
+    part = F.split(found, r"[/: ]")
 
     def number(i: int) -> Column:
-        return F.get(part, F.lit(i)).try_cast("int")
+        return F.get(part, F.lit(i)).cast("int")
 
     def clock(i: int) -> Column:
         return F.coalesce(number(i), F.lit(0))
@@ -97,11 +113,10 @@ def weekday_label(ts: Column | str) -> Column:
 
 def time_band(ts: Column | str, has_time: Column | str) -> Column:
     """Time band of a timestamp; without a time part it is unknown."""
-    hour = F.when(_col(has_time), F.hour(_col(ts)))
-    band = F.lit(S.TIME_BAND_UNKNOWN)
-    for upper, label in reversed(S.TIME_BANDS):
-        band = F.when(hour < upper, F.lit(label)).otherwise(band)
-    return band
+    hour = F.hour(_col(ts))
+    steps = [hour >= upper for upper, _ in S.TIME_BANDS]
+    band = _band(steps, [label for _, label in S.TIME_BANDS])
+    return F.coalesce(F.when(_col(has_time), band), F.lit(S.TIME_BAND_UNKNOWN))
 
 
 def paving_class(c: Column | str) -> Column:
