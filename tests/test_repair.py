@@ -1,0 +1,94 @@
+import json
+import time
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from roadstats.functions.repair import (
+    file_entity,
+    file_period,
+    is_raw_file,
+    is_record_line,
+    normalise_line,
+    repair_line,
+)
+from roadstats.sources import repair_lines
+
+PROBES = [
+    ('{"ID":"1","Via":"ROMA "CENTRO" NORD"},', '{"ID":"1","Via":"ROMA CENTRO NORD"}'),
+    ('{"ID":"2","Via":"ROMA, "CENTRO", NORD"},', '{"ID":"2","Via":"ROMA, CENTRO, NORD"}'),
+    ('{"ID":"3","Via":"a "b" c" d"},', '{"ID":"3","Via":"a b c d"}'),
+    ('{"ID":"4","Via":"a\\b"},', '{"ID":"4","Via":"ab"}'),
+    ('{"ID":"5","A":"""},', '{"ID":"5","A":""}'),
+    ('{"ID":"6","A":"x","B":"y"},', '{"ID":"6","A":"x","B":"y"}'),
+    ('{"ID":"7","A":"x"y"z"w"v","B":"p"q"}', '{"ID":"7","A":"xyzwv","B":"pq"}'),
+    ('{"ID":"8","A":"","B":""}', '{"ID":"8","A":"","B":""}'),
+    ('\t{"ID":"9","A":"b},c"}, ', '{"ID":"9","A":"b},c"}'),
+    (None, None),
+]
+
+
+def repaired(rows, lines):
+    df = rows([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    return [r[0] for r in df.orderBy("i").select(repair_line("x")).collect()]
+
+
+def test_probes(rows):
+    assert repaired(rows, [p[0] for p in PROBES]) == [p[1] for p in PROBES]
+
+
+def test_repair_is_idempotent(rows):
+    once = repaired(rows, [p[0] for p in PROBES])
+    assert repaired(rows, once) == once
+
+
+def test_a_line_of_many_quotes_ends(rows):
+    start = time.time()
+    line = '{"ID":"1","A":"' + 'x"' * 20000 + '"},'
+    assert repaired(rows, [line]) == ['{"ID":"1","A":"' + "x" * 20000 + '"}']
+    assert time.time() - start < 60
+
+
+def test_wrapper_lines_are_dropped(rows):
+    df = rows([('{"Incidenti":[',), ('{"ID":"1"},',), ("]}",), (None,)], "value string")
+    assert [r[0] for r in repair_lines(df).collect()] == ['{"ID":"1"}']
+    assert df.filter(is_record_line("value")).count() == 1
+
+
+def test_normalise_keeps_inner_commas(rows):
+    df = rows([('  {"ID":"a},b"},\r',)], "x string")
+    assert df.select(normalise_line("x")).first()[0] == '{"ID":"a},b"}'
+
+
+plain = st.text(alphabet="abc xyz.", max_size=8)
+dirty = st.lists(st.sampled_from(["a", " ", "b c", '"', '"d"']), max_size=6).map("".join)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(plain, plain, dirty), min_size=60, max_size=80))
+def test_generated_lines(rows, records):
+    """Valid lines keep their content; stray quotes without commas are all removed."""
+    valid = [json.dumps({"ID": a, "B": b}, separators=(",", ":")) for a, b, _ in records]
+    assert repaired(rows, [v + "," for v in valid]) == valid
+    broken = [f'{{"ID":"{a}","C":"{d}","B":"{b}"}},' for a, b, d in records]
+    for (a, b, d), line in zip(records, repaired(rows, broken)):
+        assert json.loads(line) == {"ID": a, "C": d.replace('"', ""), "B": b}
+
+
+@pytest.mark.parametrize(
+    "path, raw, entity, period",
+    [
+        ("file:/data/dati_2014_05/Incidenti_x.json", True, "incidenti", "2014_05"),
+        ("/d/nope/veicoli.txt", True, "veicoli", None),
+        ("/d/a_b/PersonePedoni.JSON", False, "pedoni", "b"),
+        ("/d/a_b/persone.txt_old", True, "persone", "b"),
+        ("/d/a_b/incidentiveicoli.jsonl", True, "incidenti", "b"),
+        ("/d/json/a_1/note.csv", False, None, "1"),
+        ("/d/a_/note.json", True, None, None),
+    ],
+)
+def test_file_names(rows, path, raw, entity, period):
+    df = rows([(path,)], "p string")
+    got = df.select(is_raw_file("p"), file_entity("p"), file_period("p")).first()
+    assert tuple(got) == (raw, entity, period)
