@@ -1,0 +1,143 @@
+"""Whole jobs on small hand-made inputs, one test for each rule that is easy to get wrong."""
+
+from roadstats.plans import jobs
+from roadstats.plans.queries import QUERIES
+from conftest import SF_DIR
+
+
+def as_set(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_missing_values_do_not_end_a_job(accidents):
+    df = accidents({"ID": "1", "Gruppo": "1", "NaturaIncidente": "a"}, {"ID": "2"}, {"Gruppo": "1"})
+    assert as_set(jobs.accidents_by_group(df)) == {("1", 2)}
+    assert as_set(jobs.types_by_group(df)) == {("1", "a", 1, 1)}
+    assert as_set(jobs.times_by_group(df)) == {("1", "non-definito", "non-definita", 2, 1)}
+
+
+def test_underscores_are_part_of_a_value(accidents):
+    df = accidents({"Gruppo": "1_a", "NaturaIncidente": "x_y"}, {"Gruppo": "1_b", "NaturaIncidente": "x_z"})
+    assert as_set(jobs.types_by_group(df)) == {("1_a", "x_y", 1, 1), ("1_b", "x_z", 1, 1)}
+
+
+def test_groups_are_trimmed_in_some_jobs_only(accidents, children):
+    acc = accidents({"ID": "1", "Gruppo": "1 "}, {"ID": "2", "Gruppo": "1"})
+    persons = children("persone", *[{"IDProtocollo": i, "TipoPersona": "Conducente"} for i in "12"])
+    assert as_set(jobs.accidents_by_group(acc)) == {("1", 2)}
+    assert {r["Municipio"] for r in jobs.drivers_by_group(acc, persons).collect()} == {"1", "1 "}
+
+
+def test_conditions_need_all_three_dimensions(accidents):
+    full = {"Gruppo": "1", "Pavimentazione": "Bitumata", "Traffico": "Scarso ", "Segnaletica": "Assente"}
+    df = accidents(full, full | {"Pavimentazione": "altro"}, full | {"Gruppo": "2", "Traffico": " "})
+    assert as_set(jobs.conditions_by_group(df)) == {
+        ("1", "Pavimentazione", "Asfaltata", 1), ("1", "Traffico", "Scarso", 2), ("1", "Segnaletica", "Assente", 2),
+    }
+    doc = jobs.conditions_documents(df).first().asDict(True)
+    assert doc["Traffico"] == [{"Intensita": "Scarso", "Count": 2}]
+    assert list(doc) == ["Gruppo", "Pavimentazione", "Traffico", "Segnaletica"]
+
+
+def test_pedestrian_counts_each_pedestrian(accidents, children):
+    acc = accidents(
+        {"ID": "1", "Gruppo": "1", "Segnaletica": "s", "Visibilita": "", "Illuminazione": "i"},
+        {"ID": "2", "Gruppo": "", "Segnaletica": "s"},
+        {"ID": "3", "Gruppo": "2", "Segnaletica": None, "Visibilita": "v", "Illuminazione": "i"},
+    )
+    ped = children("pedoni", *[{"IDProtocollo": i} for i in ["1", "1", "2", "3", "9"]])
+    assert as_set(jobs.pedestrian_conditions_by_group(acc, ped)) == {
+        ("1", "Segnaletica", "s", 2), ("1", "Illuminazione", "i", 2),
+        ("2", "Visibilita", "v", 1), ("2", "Illuminazione", "i", 1),
+    }
+    docs = {r["Municipio"]: r["info"].asDict() for r in jobs.pedestrian_documents(acc, ped).collect()}
+    assert docs["1"] == {"Segnaletica": {"s": 2}, "Visibilita": {}, "Illuminazione": {"i": 2}}
+
+
+def test_drivers_only_and_unknown_sex_kept(accidents, children):
+    acc = accidents({"ID": "1", "Gruppo": "1"}, {"ID": "2"})
+    persons = children(
+        "persone",
+        {"IDProtocollo": "1", "TipoPersona": "Conducente", "Sesso": "F", "AnnoNascita": "1960"},
+        {"IDProtocollo": "1", "TipoPersona": "Conducente", "AnnoNascita": "n.d."},
+        {"IDProtocollo": "1", "TipoPersona": "conducente", "Sesso": "F", "AnnoNascita": "1960"},
+        {"IDProtocollo": "1", "Sesso": "F"},
+        {"IDProtocollo": "2", "TipoPersona": "Conducente", "Sesso": "F"},
+    )
+    assert as_set(jobs.drivers_by_group(acc, persons)) == {
+        ("1", "40-69", "F", 1, 1), ("1", "non-identificato", "", 1, 1),
+    }
+
+
+def test_two_cars_of_one_make_count_twice(accidents, children):
+    acc = accidents({"ID": "1", "NaturaIncidente": "a"})
+    cars = children("veicoli", *[{"IDProtocollo": "1", "Marca": m} for m in ["FIAT", "FIAT", "", None, "BMW"]])
+    assert as_set(jobs.makes_by_type(acc, cars)) == {("FIAT", "a", "", 2), ("BMW", "a", "", 1)}
+
+
+def test_scenario_rules_score_and_empty_items(accidents):
+    one = {"Pavimentazione": "Con buche", "Illuminazione": "notte", "NaturaIncidente": "a"}
+    df = accidents(one, one | {"NaturaIncidente": "b"}, one | {"Pavimentazione": "", "NaturaIncidente": "c"})
+    got = {(tuple(r["antecedent"]), r["consequent"][0]): r["score"] for r in jobs.scenario_rules(df).collect()}
+    assert (("Dissestata", "notte"), "a") in got
+    assert got[(("a", "notte"), "Dissestata")] == float("inf")
+    # The empty paving may be a consequent but not part of an antecedent.
+    assert got[(("c", "notte"), "")] == float("inf")
+    assert not any("" in a for a, _ in got)
+
+
+def test_driver_rules_within_a_group(accidents, children):
+    acc = accidents(
+        {"ID": "1", "Gruppo": "7", "NaturaIncidente": "a"}, {"ID": "2", "Gruppo": "7", "NaturaIncidente": "b"},
+        {"ID": "3", "Gruppo": "8", "NaturaIncidente": "a"}, {"ID": "4", "Gruppo": "8", "NaturaIncidente": "a"},
+    )
+    persons = children(
+        "persone",
+        *[{"IDProtocollo": i, "TipoPersona": "Conducente", "Sesso": "F", "AnnoNascita": "1980"} for i in "1234"],
+    )
+    got = {(tuple(r["antecedent"]), r["consequent"][0]): r["score"] for r in jobs.driver_rules(acc, persons).collect()}
+    assert got == {
+        (("26-39", "7", "F"), "a"): 0.5 / 0.75, (("26-39", "7", "F"), "b"): 2.0, (("26-39", "8", "F"), "a"): 1 / 0.75,
+    }
+    only = jobs.driver_rules(acc, persons, groups=["8"]).collect()
+    assert [r["consequent"] for r in only] == [["a"]]
+
+
+def plan_of(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_plans(spark):
+    """(exchanges, scans) of each job. The joins are broadcast on these tables."""
+    shape = {
+        "group_count": (1, 1),
+        "nested_types": (2, 1),
+        "nested_times": (2, 1),
+        # Raw combinations, their values, then the group.
+        "nested_conditions": (3, 1),
+        # Children per accident, combinations, values, group; one scan a side.
+        "nested_pedestrian": (4, 2),
+        "nested_drivers": (3, 2),
+        "nested_makes": (3, 3),
+        # Counted rows, rules, antecedents.
+        "scenario_rules": (3, 1),
+        "json_repair": (0, 1),
+        "corrupt_count": (1, 2),
+    }
+    for name, (exchanges, scans) in shape.items():
+        plan = plan_of(spark, name)
+        assert plan.count("Exchange hashpartitioning") == exchanges, f"{name}\n{plan}"
+        assert plan.count("FileScan") == scans, f"{name}\n{plan}"
+        for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert word not in plan, name
+
+
+def test_repair_and_parse_run_once(spark):
+    plan = plan_of(spark, "json_repair")
+    assert plan.count("from_json(") == 1
+    filters = [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
+    assert not filters
