@@ -138,6 +138,7 @@ ORACLE: dict[str, str] = {
     "normalised_lines": _with("SELECT entity, k, regexp_replace(replace(trim(value), chr(92), ''), ',$', '') AS value FROM grezzi"),
     "record_lines": "SELECT 'incidenti' AS entity, count(*) AS n FROM orders WHERE o_orderkey % 200 <> 3 OR o_orderkey % 500 = 499 UNION ALL SELECT 'persone', count(*) FROM lineitem",
     "json_repair": f"SELECT cast(k AS varchar) AS ID, {_VIA} AS Via, o_orderpriority AS NaturaIncidente, cast(o_custkey % 15 + 1 AS varchar) AS Gruppo FROM (SELECT o_orderkey AS k, * FROM orders) WHERE {_NO_CUT}",
+    "ingest_files": f"SELECT 'incidenti' AS entity, '2014_05' AS period, cast(k AS varchar) AS ID, {_VIA} AS Via, o_orderpriority AS NaturaIncidente, cast(o_custkey % 15 + 1 AS varchar) AS Gruppo FROM (SELECT o_orderkey AS k, * FROM orders) WHERE {_NO_CUT}",
     "corrupt_count": "SELECT 'incidenti' AS entity, count(*) FILTER (o_orderkey % 500 <> 499) AS good, count(*) FILTER (o_orderkey % 500 = 499) AS corrupt FROM orders WHERE o_orderkey % 200 <> 3 OR o_orderkey % 500 = 499 UNION ALL SELECT 'persone', count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 <> 5), count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 = 5) FROM lineitem",
     "route_files": """SELECT CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE 'incidenti' END AS entity, strftime(o_orderdate, '%Y_%m') AS period, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 2 GROUP BY 1,2
  UNION ALL SELECT CASE l_linenumber WHEN 1 THEN 'persone' WHEN 2 THEN 'pedoni' WHEN 3 THEN 'veicoli' ELSE 'persone' END, NULL, count(*) FROM lineitem GROUP BY 1,2""",

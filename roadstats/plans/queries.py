@@ -49,9 +49,12 @@ from roadstats.sources import (
     good_records,
     load,
     parse_records,
+    read_clean_lines,
+    read_raw,
     repair_lines,
     save_documents,
     validation_counts,
+    write_clean_lines,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +407,23 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(rows.filter(is_raw_file("file_path")), keys)
 
 
+@query
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files of two entities, routed by name, repaired, stored by entity and
+    period, and the accidents among them read back and parsed."""
+    raw, clean = scratch(spark, "raw"), scratch(spark, "clean")
+    lines = view(spark, sf_dir, "grezzi")
+    for entity, folder in {"incidenti": "dati_2014_05", "persone": "dati_2015"}.items():
+        # The writer's base name is part of each file name, as in the originals.
+        lines.filter(F.col("entity") == entity).select("value").write.option(
+            "mapreduce.output.basename", entity.capitalize()
+        ).text(f"{raw}/{folder}")
+    write_clean_lines(repair_lines(read_raw(spark, raw)), clean)
+    fields = S.text_schema("ID", "Via", "NaturaIncidente", "Gruppo")
+    parsed = parse_records(read_clean_lines(spark, clean, "incidenti"), fields)
+    return good_records(parsed).select("entity", "period", *fields.names)
+
+
 @query
 def documents_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON, read back and counted out again."""
