@@ -49,11 +49,12 @@ def entity_key(c: Column | str) -> Column:
 def birth_year(c: Column | str) -> Column:
     """Birth year as an integer; blank or non-numeric text gives NULL.
 
-    The text is checked before the cast: a failing ``try_cast`` raises and
-    catches an exception for each row, which is slow where many are blank.
+    The digits are taken out first, which gives NULL for any other text: a
+    failing ``try_cast`` raises and catches an exception for each row, which is
+    slow where many are blank.
     """
-    text = _col(c)
-    return F.when(text.rlike(_YEAR), text.cast("int"))
+    digits = F.regexp_extract_all(_col(c), F.lit(_YEAR), F.lit(0))
+    return F.get(digits, F.lit(0)).cast("int")
 
 
 def _band(steps: list[Column], labels: list[str]) -> Column:
@@ -76,9 +77,7 @@ def driver_age_band(
     person_type: Column | str, year: Column | str, reference_year: int = S.REFERENCE_YEAR
 ) -> Column:
     """Age band of drivers; everybody else is unidentified."""
-    return F.when(_col(person_type) == S.DRIVER, age_band(year, reference_year)).otherwise(
-        F.lit(S.AGE_BAND_UNKNOWN)
-    )
+    return age_band(F.when(_col(person_type) == S.DRIVER, _col(year)), reference_year)
 
 
 def parse_when(c: Column | str) -> Column:
@@ -87,7 +86,9 @@ def parse_when(c: Column | str) -> Column:
     Fields out of range roll over (32/01 is 1 February, 24:00:00 the next
     midnight) and trailing text is ignored. Unreadable text gives a NULL ``ts``.
     """
-    found = F.nullif(F.regexp_extract(_col(c), _WHEN, 1), F.lit(""))
+    # NULL without a match, so that no empty text is cast. There is no condition
+    # in it, hence Spark splits each text once for all fields.
+    found = F.get(F.regexp_extract_all(_col(c), F.lit(_WHEN), F.lit(1)), F.lit(0))
     part = F.split(found, r"[/: ]")
 
     def number(i: int) -> Column:
@@ -113,10 +114,9 @@ def weekday_label(ts: Column | str) -> Column:
 
 def time_band(ts: Column | str, has_time: Column | str) -> Column:
     """Time band of a timestamp; without a time part it is unknown."""
-    hour = F.hour(_col(ts))
-    steps = [hour >= upper for upper, _ in S.TIME_BANDS]
-    band = _band(steps, [label for _, label in S.TIME_BANDS])
-    return F.coalesce(F.when(_col(has_time), band), F.lit(S.TIME_BAND_UNKNOWN))
+    hour = F.when(_col(has_time), F.hour(_col(ts)))
+    band = _band([hour >= upper for upper, _ in S.TIME_BANDS], [label for _, label in S.TIME_BANDS])
+    return F.coalesce(band, F.lit(S.TIME_BAND_UNKNOWN))
 
 
 def paving_class(c: Column | str) -> Column:
