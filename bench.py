@@ -34,7 +34,7 @@ HEADLINE = {
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session("bench")
 
     def run(name: str) -> float:

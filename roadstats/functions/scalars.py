@@ -77,7 +77,11 @@ def driver_age_band(
     person_type: Column | str, year: Column | str, reference_year: int = S.REFERENCE_YEAR
 ) -> Column:
     """Age band of drivers; everybody else is unidentified."""
-    return age_band(F.when(_col(person_type) == S.DRIVER, _col(year)), reference_year)
+    unknown = F.lit(S.AGE_BAND_UNKNOWN)
+    # Picked from an array, not by a condition: Spark shares repeated parts of an
+    # expression only where they are always evaluated.
+    choices = F.array(unknown, age_band(year, reference_year))
+    return F.coalesce(F.get(choices, (_col(person_type) == S.DRIVER).cast("int")), unknown)
 
 
 def parse_when(c: Column | str) -> Column:
