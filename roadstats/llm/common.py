@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -81,3 +83,12 @@ def parts(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, a single number."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def process_cache() -> dict:
+    """A dictionary that lives as long as the worker process.
+
+    Module variables do not: functions sent with a task bring their own copies.
+    """
+    name = "roadstats_process_cache"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})

@@ -23,25 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from roadstats.llm.common import materialize, without
+from roadstats.llm.common import materialize, process_cache, without
 
 #: Tokens of a piece of text never span a blank between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries that a task keeps of the ids of text between blanks.
 _CACHE = 300_000
-_LOADED: dict = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a task's process, loaded once."""
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
+def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
+    """The tokenizer and the known ids of a worker process, kept from task to task."""
+    held = process_cache().setdefault(("tokenizer", path), [])
+    if not held:
         loaded = Tokenizer.from_file(path)
         loaded.encode_special_tokens = True
-        _LOADED[path] = (loaded, {})
-    return _LOADED[path]
+        held.extend((loaded, {}))
+    return tuple(held)
 
 
 def token_ids(texts: list[str], path: str, end: int) -> list[bytes]:
@@ -104,7 +103,7 @@ def pieces_of(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
                 )
 
     schema = docs.select(*rest).schema
-    for name, kind in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
+    for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         schema = schema.add(name, kind)
     return docs.select(*rest, "text").mapInArrow(run, schema)
 

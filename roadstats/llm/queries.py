@@ -6,7 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadstats.llm.common import read
+from roadstats.llm.packing import best_fit_packing
 from roadstats.llm.quality import quality_rules
+from roadstats.llm.simhash import simhash_components
+from roadstats.llm.suffix_dedup import suffix_dedup
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file is; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=50)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_components(docs, words=3, max_bits=3, seed=42)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +48,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = best_fit_packing(docs, tokenizer_path(), length=1024, end=2)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_simhash": op5_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
