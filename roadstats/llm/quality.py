@@ -149,15 +149,15 @@ def thresholds(featured: DataFrame, fences: tuple[Fence, ...] = FENCES, least: i
             F.sum("n").alias(f"n_{tag}"), *[F.kll_merge_agg_double(m).alias(f"{m}_{tag}") for m in names]
         )
 
-    # One row of sketches for all documents joins on a constant key.
-    every = merged([], "all").withColumn("one", F.lit(1))
-    wide = own.withColumn("one", F.lit(1)).join(merged(["lang_key"], "lang"), "lang_key").join(every, "one")
+    whole = merged([], "all")
+    every = whole.select(F.struct(*whole.columns)).scalar()
+    wide = own.join(merged(["lang_key"], "lang"), "lang_key").withColumn("every", every)
     out = [F.col("lang_key"), F.col("source_key")]
     for f in fences:
         sketch = (
             F.when(F.col("n") >= least, F.col(f.metric))
             .when(F.col("n_lang") >= least, F.col(f"{f.metric}_lang"))
-            .otherwise(F.col(f"{f.metric}_all"))
+            .otherwise(F.col(f"every.{f.metric}_all"))
         )
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
         reach = F.greatest(f.times * (high - low), F.lit(f.spread))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadstats.llm.common import read
 from roadstats.llm.packing import best_fit_packing
 from roadstats.llm.quality import quality_rules
+from roadstats.llm.shards import sampled_shards
 from roadstats.llm.simhash import simhash_components
 from roadstats.llm.suffix_dedup import suffix_dedup
 
@@ -19,6 +20,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampled_shards(docs, n_shards=40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=50)
 
@@ -55,6 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sampled_shards": op2_sampled_shards,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op8_quality_rules": op8_quality_rules,
