@@ -11,6 +11,7 @@ from roadstats.llm.quality import quality_rules
 from roadstats.llm.shards import sampled_shards
 from roadstats.llm.simhash import simhash_components
 from roadstats.llm.suffix_dedup import suffix_dedup
+from roadstats.llm.syncmers import edited_fingerprints
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +44,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     # The text is not part of the result; only its counts are written between the passes.
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_sampled_shards": op2_sampled_shards,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op7_closed_syncmers": op7_closed_syncmers,
     "op8_quality_rules": op8_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
