@@ -163,23 +163,40 @@ def window_order(text: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[
     return order, same
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x7FB5D329728EA185)
-    h ^= h >> np.uint64(27)
-    return h
+#: Positions hashed at a time, so that the passes over them stay in a core's cache.
+_STEP = 1 << 16
 
 
 def _gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on, by doubling."""
-    h = _mix((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    h = text.astype(np.uint64)
+    h += np.uint64(1)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
     size, base = 1, 0xD6E8FEB86659FD93
     while size < gram:
         step = min(size, gram - size)
         h = h[:-step] * np.uint64(base) + h[step:] if step < len(h) else h[:0]
         h ^= h >> np.uint64(29)
         size, base = size + step, (base * base + 2) & ((1 << 64) - 1)
-    return _mix(h)
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    return h
+
+
+def _least_hashes(text: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """The smallest gram hash inside each window of ``window`` bytes."""
+    n = len(text) - window + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for at in range(0, n, _STEP):
+        least = _gram_hashes(text[at : at + _STEP + window - 1], gram)
+        width, size = window - gram + 1, 1
+        while size < width:
+            step = min(size, width - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        out[at : at + _STEP] = least[: n - at]
+    return out
 
 
 class Block:
@@ -198,20 +215,16 @@ class Block:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with one anchor in one document: anchor, first, last + 1, row."""
         n = len(self.text) - self.min_bytes + 1
-        empty = np.zeros(0, np.int64)
         if n <= 0:
-            return np.zeros(0, np.uint64), empty, empty, empty
-        least = _gram_hashes(self.text, self.gram)
-        width, size = self.min_bytes - self.gram + 1, 1
-        while size < width:
-            step = min(size, width - size)
-            least = np.minimum(least[:-step], least[step:])
-            size += step
-        least = least[:n]
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+            empty = np.zeros(0, np.int64)
+            return empty.astype(np.uint64), empty, empty, empty
+        least = _least_hashes(self.text, self.gram, self.min_bytes)
+        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         inside = doc[:n] == doc[self.min_bytes - 1 :]
         new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]) | ~inside[:-1]
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[1:] |= doc[1:n] != doc[: n - 1]
+        new[1:] |= ~inside[:-1]
         first = np.flatnonzero(new & inside)
         stop = np.flatnonzero(np.r_[new[1:] | ~inside[1:], True] & inside) + 1
         # A run that goes on and on, in a text that repeats itself, is cut; its windows keep their anchor.
@@ -245,12 +258,18 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
     def send_anchors(table: pa.Table) -> pa.Table:
         block = _block(table, min_bytes, gram)
         anchor, _, _, row = block.anchors()
-        # One entry for each document that has the anchor, and at most HOT + 1 of them.
-        pair = np.unique(np.rec.fromarrays([anchor, row], names="a,r")) if len(anchor) else []
-        found, count = np.unique(pair["a"], return_counts=True) if len(pair) else (np.zeros(0, np.uint64), [])
+        # How many documents of this block have each anchor.
+        order = np.lexsort((row, anchor))
+        anchor, row = anchor[order], row[order]
+        other = np.ones(len(anchor), bool)
+        other[1:] = anchor[1:] != anchor[:-1]
+        heads = np.flatnonzero(other)
+        other[1:] |= row[1:] != row[:-1]
+        found = anchor[heads]
+        count = np.add.reduceat(other.astype(np.int64), heads) if len(heads) else heads
         part, order = _by_part(found, n_parts)
         cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-        short, many = found.astype(np.uint32)[order], np.minimum(np.asarray(count), 65535).astype(np.uint16)[order]
+        short, many = found.astype(np.uint32)[order], np.minimum(count, 65535).astype(np.uint16)[order]
         full = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
         me = table.column("block")[0].as_py()
         return pa.table(
@@ -280,7 +299,7 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
         )
 
     def send_regions(docs_: pa.Table, anchors_: pa.Table) -> pa.Table:
-        names = ("part", "block", "text", "sizes", "firsts", "least", "uses", "starts", "ids")
+        names = ("part", "block", "text", "sizes", "least", "uses", "starts", "ids")
         if not docs_.num_rows or not anchors_.num_rows:
             return pa.table({n: pa.array([], pa.int32() if n in names[:2] else pa.binary()) for n in names})
         block = _block(docs_, min_bytes, gram)
@@ -327,7 +346,6 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
             out["block"].append(me)
             out["text"].append(b"".join(region for region, _ in held))
             out["sizes"].append(np.array([len(region) for region, _ in held], np.uint32).tobytes())
-            out["firsts"].append(b"")
             out["least"].append(np.minimum.reduceat(ids[every], heads).tobytes())
             out["uses"].append(uses.tobytes())
             out["starts"].append(first[every].astype(np.uint32).tobytes())
@@ -397,7 +415,7 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
     anchors = by_block.applyInArrow(send_anchors, "part int, block int, anchors binary, counts binary")
     shared = anchors.groupBy("part").applyInArrow(repeated, "block int, part int, anchors binary, hot binary")
     region_schema = (
-        "part int, block int, text binary, sizes binary, firsts binary, least binary, uses binary,"
+        "part int, block int, text binary, sizes binary, least binary, uses binary,"
         " starts binary, ids binary"
     )
     regions = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_regions, region_schema)
@@ -405,7 +423,7 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
 
 
 def suffix_dedup(
-    docs: DataFrame, min_bytes: int = 50, gram: int = 32, block_bytes: int = 16 << 20, with_text: bool = False
+    docs: DataFrame, min_bytes: int = 50, gram: int = 24, block_bytes: int = 4 << 20, with_text: bool = False
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
