@@ -7,7 +7,6 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +69,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
 
 
 def parts(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:

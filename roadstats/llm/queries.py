@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roadstats.llm.chat import TURN_ROWS, chat_digest, format_chat, rows_to_turns
 from roadstats.llm.common import read
+from roadstats.llm.langid import held_out, learn, predict, vocabulary
+from roadstats.llm.mixing import mix
 from roadstats.llm.packing import best_fit_packing
 from roadstats.llm.quality import quality_rules
 from roadstats.llm.shards import sampled_shards
@@ -60,6 +62,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mix(docs, keep=0.7, keep_text=False)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,6 +91,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    labelled = marked.filter(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    model = learn(labelled, vocabulary(tokenizer_path("piece_bpe_32k.model")), docs_a_language=400)
+    return predict(marked.drop("lang"), model)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     packed = best_fit_packing(docs, tokenizer_path(), length=1024, end=2)
@@ -95,7 +111,9 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
     "op7_closed_syncmers": op7_closed_syncmers,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
