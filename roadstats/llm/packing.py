@@ -15,60 +15,108 @@ which is computed by distributed prefix sums.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from roadstats.llm.common import materialize, process_cache, without
 
-#: Tokens of a piece of text never span a blank between two characters that are no white space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Entries that a task keeps of the ids of text between blanks.
-_CACHE = 300_000
+#: Words whose ids a worker process keeps.
+_CACHE = 400_000
 
 
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    """The tokenizer and the known ids of a worker process, kept from task to task."""
-    held = process_cache().setdefault(("tokenizer", path), [])
-    if not held:
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        held.extend((loaded, {}))
-    return tuple(held)
+class Ids:
+    """Token ids of texts as little-endian 32-bit integers.
 
+    ``path`` is a file of the ``tokenizers`` library, or of ``tiktoken`` ranks
+    with the ``pattern`` that cuts texts. Both give the same ids for the same
+    vocabulary; the second is several times as fast. With ranks, texts are cut at blanks:
+    where a blank stands between two characters that are no white space, no
+    token crosses it, so the ids of "blank and word" can be looked up. Texts in
+    which white space meets a blank are tokenized as a whole.
+    """
 
-def token_ids(texts: list[str], path: str, end: int) -> list[bytes]:
-    """Ids of each text and ``end``, as little-endian 32-bit integers.
+    def __init__(self, path: str, pattern: str | None):
+        self.words: dict[str, bytes] = {}
+        self.exact = None
+        if pattern is None:
+            self.exact = Tokenizer.from_file(path)
+            self.exact.encode_special_tokens = True
+            return
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
 
-    A text is split at single blanks, where no token crosses, and the ids of
-    each such part are looked up; only parts not seen before are tokenized.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = []
-    for text in texts:
-        units = _CUT.split(text)
-        units[1:] = [" " + u for u in units[1:]]
-        split.append(units)
-        if len(known) > _CACHE:
-            known.clear()
-            fresh = {u for units in split for u in units}
-        else:
-            fresh = {u for u in units if u not in known}
-        if fresh:
-            names = list(fresh)
-            for name, found in zip(names, tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
-                known[name] = np.array(found.ids, "<u4").tobytes()
-    last = int(end).to_bytes(4, "little")
-    return [b"".join([known[u] for u in units] + [last]) for units in split]
-
-
-def pieces_of(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of a blank and each word, from one text of all of them."""
+        if not words:
+            return
+        marked = [" " + w for w in words]
+        found = np.array(self.encoding.encode_ordinary("".join(marked)), "<u4")
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in marked), np.int64, len(marked)))
+        token_ends = np.cumsum(self.sizes[found])
+        last = np.searchsorted(token_ends, ends) + 1
+        if (token_ends[last - 1] != ends).any():  # a token across a blank, which the pattern rules out
+            raise ValueError("the pattern does not cut texts at blanks")
+        raw, cuts = found.tobytes(), [0, *(4 * last).tolist()]
+        self.words.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; there are no NULLs."""
+        if self.exact:
+            found = self.exact.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in found]
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, unit = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.words) > _CACHE:
+            self.words.clear()
+        fit = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
+        self._learn([w for w, fine in zip(words, fit, strict=True) if fine and w not in self.words])
+        raw = [self.words[w] if fine else b"" for w, fine in zip(words, fit, strict=True)]
+        store = np.frombuffer(b"".join(raw), "<u4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        # The ids of all words but each text's first, one text after the other.
+        many = size[unit]
+        first = offsets[:-1]
+        many[first] = 0
+        at = np.cumsum(many)
+        take = np.repeat((np.cumsum(size) - size)[unit] - at + many, many)
+        take += np.arange(len(take))
+        tail = store[take]
+        ends = np.r_[0, at][offsets].tolist()
+        odd = np.add.reduceat(~np.array(fit)[unit], first) > 0 if len(first) else first
+        heads = [words[i] for i in unit[first].tolist()]
+        out = []
+        for i, (head, bad) in enumerate(zip(heads, odd.tolist(), strict=True)):
+            out.append(self._whole(texts[i].as_py()) if bad else self._whole(head) + tail[ends[i] : ends[i + 1]].tobytes())
+        return out
+
+
+def _ids(path: str, pattern: str | None) -> Ids:
+    """The tokenizer and known words of a worker process, kept from task to task."""
+    held = process_cache()
+    if ("ids", path) not in held:
+        held["ids", path] = Ids(path, pattern)
+    return held["ids", path]
+
+
+def pieces_of(docs: DataFrame, path: str, pattern: str | None, length: int, end: int) -> DataFrame:
     """``docs`` without text, one row per piece: ``piece, start, length, ids_crc32``.
 
     The first piece of a document takes what does not fill a whole sequence.
@@ -76,10 +124,11 @@ def pieces_of(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
     rest = without(docs, "text", "piece", "start", "length", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, last = _ids(path, pattern), int(end).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = token_ids([t or "" for t in part.column("text").to_pylist()], path, end)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids = [x + last for x in ids_of(pc.fill_null(part.column("text"), ""))]
                 rows, piece, start, size, crc = [], [], [], [], []
                 for row, raw in enumerate(ids):
                     n = len(raw) // 4
@@ -172,17 +221,19 @@ def ranked(pieces: DataFrame, by: str, order: list[str], spread: int) -> DataFra
     return joined.withColumn("rank", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
 
-def best_fit_packing(docs: DataFrame, path: str, length: int = 1024, end: int = 2) -> DataFrame:
+def best_fit_packing(
+    docs: DataFrame, path: str, pattern: str | None = None, length: int = 1024, end: int = 2
+) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, and ``piece, start, length,
     ids_crc32, sequence_id, offset``.
 
-    ``path`` is a tokenizer file; ``end`` follows every document. A NULL or empty
+    ``path`` and ``pattern`` are a tokenizer's, see :class:`Ids`; ``end`` follows every document. A NULL or empty
     text is a piece with the end alone. Only documents longer than ``length``
     are cut. Rows with a NULL or repeated doc_id are packed like others. Columns
     that clash with those made here are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = materialize(pieces_of(docs, path, length, end), "pieces")
+    pieces = materialize(pieces_of(docs, path, pattern, length, end), "pieces")
     # At most ``length`` rows, whatever the corpus.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = plan_rounds(counts, length)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,12 @@ from roadstats.llm.syncmers import edited_fingerprints
 from roadstats.llm.warc import archive_folder, read_records, write_archives
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where a public tokenizer's file is; executors have it at the same place."""
-    import public_tokenizers
+def byte_bpe() -> dict[str, str]:
+    """Path and pattern of the byte-level BPE; executors have the file at the same place.
 
-    return public_tokenizers.path(name)
+    These ranks give the ids of ``byte_bpe_50k.json``, which a test compares.
+    """
+    return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +97,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
     labelled = marked.filter(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    model = learn(labelled, vocabulary(tokenizer_path("piece_bpe_32k.model")), docs_a_language=400)
+    model = learn(labelled, vocabulary(public_tokenizers.path("piece_bpe_32k.model")), docs_a_language=400)
     return predict(marked.drop("lang"), model)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = best_fit_packing(docs, tokenizer_path(), length=1024, end=2)
+    packed = best_fit_packing(docs, **byte_bpe(), length=1024, end=2)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
