@@ -29,8 +29,13 @@ from tokenizers import Tokenizer
 
 from roadstats.llm.common import materialize, process_cache, without
 
-#: Words whose ids a worker process keeps.
-_CACHE = 400_000
+#: White space at either end of a word, or no word.
+_EDGE = (
+    "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+)
+_UNFIT = f"^{_EDGE}|{_EDGE}$|^$"
+#: Bytes of text that are tokenized at a time.
+_BATCH = 16 << 20
 
 
 class Ids:
@@ -38,14 +43,13 @@ class Ids:
 
     ``path`` is a file of the ``tokenizers`` library, or of ``tiktoken`` ranks
     with the ``pattern`` that cuts texts. Both give the same ids for the same
-    vocabulary; the second is several times as fast. With ranks, texts are cut at blanks:
-    where a blank stands between two characters that are no white space, no
-    token crosses it, so the ids of "blank and word" can be looked up. Texts in
-    which white space meets a blank are tokenized as a whole.
+    vocabulary; the second is several times as fast. With ranks, texts are cut
+    at blanks: no token crosses a blank between two characters that are no white
+    space, so each distinct "blank and word" of a batch is tokenized once. Texts
+    in which white space meets a blank are tokenized as a whole.
     """
 
     def __init__(self, path: str, pattern: str | None):
-        self.words: dict[str, bytes] = {}
         self.exact = None
         if pattern is None:
             self.exact = Tokenizer.from_file(path)
@@ -61,19 +65,18 @@ class Ids:
     def _whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of a blank and each word, from one text of all of them."""
-        if not words:
-            return
-        marked = [" " + w for w in words]
-        found = np.array(self.encoding.encode_ordinary("".join(marked)), "<u4")
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in marked), np.int64, len(marked)))
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a blank and each word, one after the other, and how many each has."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        found = np.array(self.encoding.encode_ordinary(joined), "<u4")
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
         token_ends = np.cumsum(self.sizes[found])
         last = np.searchsorted(token_ends, ends) + 1
-        if (token_ends[last - 1] != ends).any():  # a token across a blank, which the pattern rules out
+        if (token_ends[last - 1] != ends).any():
             raise ValueError("the pattern does not cut texts at blanks")
-        raw, cuts = found.tobytes(), [0, *(4 * last).tolist()]
-        self.words.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+        return found, np.diff(np.r_[0, last])
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; there are no NULLs."""
@@ -83,25 +86,24 @@ class Ids:
         split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        words, unit = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        fit = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
-        self._learn([w for w, fine in zip(words, fit, strict=True) if fine and w not in self.words])
-        raw = [self.words[w] if fine else b"" for w, fine in zip(words, fit, strict=True)]
-        store = np.frombuffer(b"".join(raw), "<u4")
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        words, unit = coded.dictionary, coded.indices.to_numpy()
+        fit = pc.invert(pc.match_substring_regex(words, _UNFIT))
+        store, sizes = self._of_words(words.filter(fit))
+        fit = fit.to_numpy(zero_copy_only=False)
+        size = np.zeros(len(words), np.int32)
+        size[fit] = sizes
         # The ids of all words but each text's first, one text after the other.
         many = size[unit]
         first = offsets[:-1]
         many[first] = 0
         at = np.cumsum(many)
-        take = np.repeat((np.cumsum(size) - size)[unit] - at + many, many)
-        take += np.arange(len(take))
+        begin = (np.cumsum(size) - size)[unit]
+        take = np.repeat((begin - at + many).astype(np.int32), many)
+        take += np.arange(len(take), dtype=np.int32)
         tail = store[take]
         ends = np.r_[0, at][offsets].tolist()
-        odd = np.add.reduceat(~np.array(fit)[unit], first) > 0 if len(first) else first
-        heads = [words[i] for i in unit[first].tolist()]
+        odd = np.add.reduceat(~fit[unit], first) > 0 if len(first) else first
+        heads = words.take(pa.array(unit[first])).to_pylist()
         out = []
         for i, (head, bad) in enumerate(zip(heads, odd.tolist(), strict=True)):
             out.append(self._whole(texts[i].as_py()) if bad else self._whole(head) + tail[ends[i] : ends[i + 1]].tobytes())
@@ -109,13 +111,24 @@ class Ids:
 
 
 def _ids(path: str, pattern: str | None) -> Ids:
-    """The tokenizer and known words of a worker process, kept from task to task."""
+    """The tokenizer of a worker process, kept from task to task."""
     held = process_cache()
     if ("ids", path) not in held:
         held["ids", path] = Ids(path, pattern)
     return held["ids", path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with about ``_BATCH`` bytes of text each, at least one row."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        reach = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _BATCH, side="right"))
+        stop = max(at + 1, reach)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def pieces_of(docs: DataFrame, path: str, pattern: str | None, length: int, end: int) -> DataFrame:
     """``docs`` without text, one row per piece: ``piece, start, length, ids_crc32``.
 
@@ -126,9 +139,8 @@ def pieces_of(docs: DataFrame, path: str, pattern: str | None, length: int, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = _ids(path, pattern), int(end).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = [x + last for x in ids_of(pc.fill_null(part.column("text"), ""))]
+            for part in _slices(batch):
+                ids = [x + last for x in ids_of(part.column("text"))]
                 rows, piece, start, size, crc = [], [], [], [], []
                 for row, raw in enumerate(ids):
                     n = len(raw) // 4
@@ -154,7 +166,8 @@ def pieces_of(docs: DataFrame, path: str, pattern: str | None, length: int, end:
     schema = docs.select(*rest).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
         schema = schema.add(name, kind)
-    return docs.select(*rest, "text").mapInArrow(run, schema)
+    texts = F.coalesce("text", F.lit("")).alias("text")
+    return docs.select(*rest, texts).mapInArrow(run, schema)
 
 
 def plan_rounds(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
