@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def schema_fingerprint(kind: T.DataType) -> str:
 class Mapping:
     """Where a layout has its turns.
 
-    Either ``turns`` is the array of turns and ``role`` and ``text`` the fields of
+    Fields may be paths with dots. Either ``turns`` is the array of turns and ``role`` and ``text`` the fields of
     one, or ``fixed`` lists (role, field) of the turns, of which missing ones are
     left out. ``roles`` renames roles.
     """
@@ -132,12 +133,15 @@ def _turns(value: Column, mapping: Mapping) -> Column:
             out = F.when(role == old, new).otherwise(out)
         return out
 
+    def at(path: str) -> Column:
+        return reduce(lambda v, name: v[name], path.split("."), value)
+
     if mapping.turns:
         return F.transform(
-            value[mapping.turns],
+            at(mapping.turns),
             lambda t: F.struct(named(t[mapping.role]).alias("role"), t[mapping.text].alias("text")),
         )
-    cells = [F.struct(F.lit(r).alias("role"), value[f].alias("text")) for r, f in mapping.fixed]
+    cells = [F.struct(F.lit(r).alias("role"), at(f).alias("text")) for r, f in mapping.fixed]
     return F.filter(F.array(*cells), lambda t: t["text"].isNotNull() & (t["text"] != ""))
 
 

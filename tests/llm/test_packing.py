@@ -1,0 +1,106 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from roadstats.llm.packing import Ids, best_fit_packing, plan_rounds
+from roadstats.llm.queries import byte_bpe
+
+from .conftest import ODD
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def ids():
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def check(rows, texts, ids, length):
+    """Every id is placed once, and sequences are gapless and not too long."""
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], []).append(r)
+    for doc_id, text in texts.items():
+        want, at = ids(text), 0
+        pieces = sorted(of[doc_id], key=lambda r: r["piece"])
+        assert [p["piece"] for p in pieces] == list(range(len(pieces)))
+        assert len(pieces) == max(1, -(-len(want) // length))
+        assert all(p["length"] == length for p in pieces[1:])
+        for p in pieces:
+            assert p["start"] == at
+            part = np.array(want[at : at + p["length"]], "<u4")
+            assert zlib.crc32(part.tobytes()) == p["ids_crc32"]
+            at += p["length"]
+        assert at == len(want)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in sequences.values():
+        end = 0
+        for offset, n in sorted(held):
+            assert offset == end
+            end += n
+        assert end <= length
+    return len(sequences)
+
+
+@pytest.mark.parametrize("made", [byte_bpe(), {"path": JSON}], ids=["ranks", "json"])
+def test_the_tables(spark, ids, made):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = best_fit_packing(docs, **made).collect()
+    n = check(rows, texts, ids, 1024)
+    assert n <= 1.02 * -(-sum(len(ids(t)) for t in texts.values()) // 1024) + 1
+
+
+def test_odd_rows(documents, ids):
+    rows = [(i, t) for i, (_, t) in enumerate(ODD)]
+    check(best_fit_packing(documents(*rows), **byte_bpe(), length=64).collect(), dict(rows), ids, 64)
+    whole = best_fit_packing(documents(*ODD), **byte_bpe()).collect()
+    assert sum(r["length"] for r in whole) == sum(len(ids(t)) for _, t in ODD)
+
+
+def test_empty_table(documents):
+    assert best_fit_packing(documents((1, "x")).limit(0), **byte_bpe()).count() == 0
+
+
+def test_white_space_next_to_blanks(ids):
+    texts = ["", " ", "a b", " a  b ", "a\n b", "a \nb", "x\n", "\nx y", "a  b c", "<|endoftext|> it's we'll"]
+    texts += ["é è\tö", "\x1c a", "a \x1cb", "a\xa0 b", "  a b", "x   y", "a \r\n b", "tab\t tab"]
+    made = byte_bpe()
+    found = Ids(made["path"], made["pattern"])(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids(t)[:-1] for t in texts]
+
+
+def test_rounds_place_every_piece_once():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = rng.integers(1, 101, int(rng.integers(1, 400)))
+        counts = dict(zip(*map(np.ndarray.tolist, np.unique(sizes, return_counts=True)), strict=True))
+        ranks, bins = {}, {}
+        for size, first, n, sequence, offset in plan_rounds(counts, 100):
+            ranks.setdefault(size, []).extend(range(first, first + n))
+            for i in range(n):
+                bins.setdefault(sequence + i, []).append((offset, size))
+        assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
+        for held in bins.values():
+            end = 0
+            for offset, size in sorted(held):
+                assert offset == end
+                end += size
+            assert end <= 100
+        # Best fit is known to need at most 1.7 times as many as the best packing.
+        assert len(bins) <= 1.7 * -(-int(sizes.sum()) // 100) + 1
+
+
+def test_one_size_for_a_third_of_all_rows():
+    placed = plan_rounds({10: 10_000_000, 512: 5_000_000, 3: 7}, 1024)
+    assert len(placed) < 400
