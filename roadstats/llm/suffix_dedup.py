@@ -38,23 +38,33 @@ _NULL_ID = np.iinfo(np.int64).max
 HOT = 2000
 
 
-def _shift(a: np.ndarray, by: int, fill: int = 0) -> np.ndarray:
-    """``a[i + by]`` for every i, ``fill`` beyond the end."""
-    out = np.full_like(a, fill)
-    if by < len(a):
-        out[: len(a) - by] = a[by:]
-    return out
-
-
 def _names(columns: list[np.ndarray]) -> np.ndarray:
-    """Rank of every row among the distinct rows, from 1, in lexicographic order."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
+    """Rank of every row among the distinct rows, from 1, in lexicographic order.
+
+    Columns of small numbers are packed into one integer, so that one sort does
+    for several of them.
+    """
+    key, room = None, 0
     for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
+        bits = max(1, int(c.max()).bit_length()) if len(c) else 1
+        if key is not None and room + bits > 64:
+            key = _dense(key).astype(np.uint64)
+            room = max(1, int(key.max()).bit_length())
+            if room + bits > 64:
+                c = _dense(c)
+                bits = max(1, int(c.max()).bit_length())
+        key = c.astype(np.uint64) if key is None else key << np.uint64(bits) | c.astype(np.uint64)
+        room += bits
+    return _dense(key)
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    held = key[order]
+    new = np.ones(len(held), bool)
+    new[1:] = held[1:] != held[:-1]
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
+    out[order] = np.cumsum(new)
     return out
 
 
@@ -62,18 +72,16 @@ def difference_cover_ranks(symbol: np.ndarray, need: np.ndarray, stride: int, de
     """Ranks of the suffixes at the positions marked in ``need``; other positions have 0.
 
     ``symbol[i]`` is an order-preserving name of the ``stride`` units from i on.
-    Equal ranks mean that the first ``depth`` units (or more) agree; the order
-    of suffixes that differ within ``depth`` units is that of the suffixes.
-    Positions i with (i // stride) % 3 of 1 or 2 form the cover. Only cover
-    positions that a wanted suffix is compared by are sorted.
+    The order of suffixes that differ within the first ``depth`` units is that of
+    the suffixes; others stand next to each other. Positions i with
+    (i // stride) % 3 of 1 or 2 form the cover. Only cover positions that a
+    wanted suffix is compared by are sorted.
     """
     n = len(symbol)
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n + 2 * stride, np.int64)  # zero beyond the end
     if not need.any():
-        return rank
-    turn = (np.arange(n) // stride) % 3
-    first = need & (turn == 0)
-    cover = need & (turn > 0)
+        return rank[:n]
+    turn = np.resize(np.repeat(np.arange(3, dtype=np.uint8), stride), n)
 
     def ahead(mask: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros(n, bool)
@@ -81,59 +89,49 @@ def difference_cover_ranks(symbol: np.ndarray, need: np.ndarray, stride: int, de
             out[by:] = mask[: n - by]
         return out
 
-    others = bool((need & (turn == 2)).any()) and bool(first.any())
-    cover |= ahead(first, stride)
-    if others:  # class 0 is compared with class 2 two strides on
-        cover |= ahead(first, 2 * stride)
-    cover |= ahead(need & (turn == 2), 2 * stride) if others else False
-    cover |= ahead(need & (turn == 1), stride) if first.any() else False
+    zero, one, two = (np.flatnonzero(need & (turn == t)) for t in range(3))
+    cover = need & (turn > 0)
+    if len(zero):
+        # Class 0 is compared with class 1 by one stride, and with class 2 by two.
+        cover |= ahead(need & (turn < 2), stride)
+        if len(two):
+            cover |= ahead(need & (turn != 1), 2 * stride)
     # Positions whose triples are named: the cover and, if the names recur, their successors.
     span = 3 * stride
-    named = cover.copy()
-    if span < depth:
-        far = span
-        while far < depth:
-            named |= ahead(cover, far)
-            far += span
-        named &= turn > 0
-    at = np.flatnonzero(named)
+    named = cover
+    for far in range(span, depth, span):
+        named = named | ahead(cover, far)
+    at = np.flatnonzero(named & (turn > 0))
+    wide = np.concatenate([symbol, np.zeros(2 * stride, symbol.dtype)])
     name = np.zeros(n, np.int64)
-    name[at] = _names([symbol[at], _shift(symbol, stride)[at], _shift(symbol, 2 * stride)[at]])
+    name[at] = _names([wide[at], wide[at + stride], wide[at + 2 * stride]])
     if span < depth:
         name = difference_cover_ranks(name, cover, span, depth)
-    rank[cover] = name[cover]
-    if not first.any():
-        rank[~need] = 0
-        return rank
+    held = np.flatnonzero(cover)
+    rank[held] = name[held]
+    if not len(zero):
+        return rank[:n]
     # The suffixes outside the cover are sorted by their symbol and the rank one stride on.
-    zero = np.flatnonzero(first)
-    next_ = _shift(rank, stride)
-    pair0 = _names([symbol[zero], next_[zero]])
-    one, two = np.flatnonzero(cover & need & (turn == 1)), np.flatnonzero(cover & need & (turn == 2))
-    place = pair0.astype(np.int64)
-    if len(one) or len(two):
-        # Merge: how many wanted cover suffixes of each class precede each of the others.
-        place = np.zeros(len(zero), np.int64)
-        if len(one):
-            both = _names([np.r_[symbol[zero], symbol[one]], np.r_[next_[zero], next_[one]]])
-            place += np.searchsorted(np.sort(both[len(zero) :]), both[: len(zero)])
-        if len(two):
-            second, third = _shift(symbol, stride), _shift(rank, 2 * stride)
-            both = _names([np.r_[c[zero], c[two]] for c in (symbol, second, third)])
-            place += np.searchsorted(np.sort(both[len(zero) :]), both[: len(zero)])
-        # A cover suffix stands at its own place among the cover suffixes.
-        own = np.r_[one, two]
-        sorted_ = own[np.argsort(rank[own], kind="stable")]
-        level = np.empty(n, np.int64)
-        level[sorted_] = np.arange(len(sorted_))
-        final = np.concatenate([zero, sorted_])
-        keys = [np.r_[place, level[sorted_]], np.r_[np.zeros(len(zero), np.int64), np.ones(len(sorted_), np.int64)]]
-        order = np.lexsort([np.r_[pair0, np.zeros(len(sorted_), np.int64)], keys[1], keys[0]])
-        out = np.zeros(n, np.int64)
-        out[final[order]] = np.arange(1, n + 1)[: len(final)]
-        return out
+    own = _names([wide[zero], rank[zero + stride]])
     out = np.zeros(n, np.int64)
-    out[zero] = place
+    if not len(one) and not len(two):
+        out[zero] = own
+        return out
+    # Merge: how many wanted cover suffixes of each class precede each of the others.
+    before = np.zeros(len(zero), np.int64)
+    for other, columns in (
+        (one, lambda i: (wide[i], rank[i + stride])),
+        (two, lambda i: (wide[i], wide[i + stride], rank[i + 2 * stride])),
+    ):
+        if len(other):
+            both = _names([np.concatenate(c) for c in zip(columns(zero), columns(other), strict=True)])
+            before += np.searchsorted(np.sort(both[len(zero) :]), both[: len(zero)])
+    # A suffix outside the cover comes behind as many cover suffixes, these in their own order.
+    inside = np.concatenate([one, two])
+    inside = inside[np.argsort(rank[inside], kind="stable")]
+    level = np.concatenate([2 * before, 2 * np.arange(len(inside)) + 1])
+    order = np.lexsort((np.concatenate([own, np.zeros(len(inside), np.int64)]), level))
+    out[np.concatenate([zero, inside])[order]] = np.arange(1, len(order) + 1)
     return out
 
 
@@ -142,14 +140,15 @@ def window_order(text: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[
 
     ``text`` must reach ``min_bytes`` beyond every start.
     """
-    wide = np.r_[text, np.zeros(WORD, np.uint8)]
-    word = np.zeros(len(text), np.uint64)
-    for k in range(WORD):
-        word |= wide[k : k + len(text)].astype(np.uint64) << np.uint64(8 * (WORD - 1 - k))
-    need = np.zeros(len(text), bool)
+    n = len(text)
+    word = np.concatenate([text, np.zeros(WORD, np.uint8)]).astype(np.uint64)
+    for size in (1, 2, 4):  # the eight bytes from each position on, the first one highest
+        word = word << np.uint64(8 * size) | np.concatenate([word[size:], np.zeros(size, np.uint64)])
+    word = word[:n]
+    need = np.zeros(n, bool)
     need[starts] = True
     rank = difference_cover_ranks(word, need, WORD, min_bytes)
-    order = starts[np.argsort(rank[starts], kind="stable")]
+    order = starts[np.argsort(rank[starts])]
     same = np.ones(len(order), bool)
     same[:1] = False
     a, b = order[1:], order[:-1]
@@ -442,11 +441,9 @@ def suffix_dedup(
         out: dict[str, list] = {name: [] for name in names}
         if docs_.num_rows:
             block = _block(docs_, min_bytes, gram)
-            edge = np.zeros(len(block.text) + 1, np.int32)
-            for raw in spans_.column("spans").to_pylist() if spans_.num_rows else []:
-                a, b = np.frombuffer(raw, np.uint32).reshape(-1, 2).T
-                edge += np.bincount(a, minlength=len(edge)).astype(np.int32)
-                edge -= np.bincount(b, minlength=len(edge)).astype(np.int32)
+            sent = spans_.column("spans").to_pylist() if spans_.num_rows else []
+            a, b = np.frombuffer(b"".join(sent), np.uint32).reshape(-1, 2).T
+            edge = np.bincount(a, minlength=len(block.text) + 1) - np.bincount(b, minlength=len(block.text) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             given = docs_.column("doc_id").to_pylist()
             for row, end, n in zip(block.rows, block.ends.tolist(), block.lengths.tolist(), strict=True):
