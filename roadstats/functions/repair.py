@@ -17,7 +17,7 @@ FEW_QUOTES = r':"([^"]*"(?:[^"]*")?[^"]*)"[,}]'
 MANY_QUOTES = r':"([^"},]*+(?:"(?![,}])[^"},]*+)++)"[,}]'
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -25,30 +25,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
     """Delete the quotes inside every value that ``pattern`` finds, until none is left.
 
-    A round repairs all values found at once and one round does for nearly every
-    line. A line that still matches gets as many rounds as it has quotes; each
-    round removes at least one, so the loop always ends with no match.
+    A round takes the line apart at the values found and joins it again, in one
+    pass. One round does for nearly every line; a line that still matches gets
+    further ones, each of which removes a quote, until nothing matches.
     """
     regex = F.lit(pattern)
 
-    def unquote(acc: Column, inner: Column) -> Column:
-        plain = F.replace(inner, F.lit('"'), F.lit(""))
-        return F.replace(
-            acc,
-            F.concat(F.lit(':"'), inner, F.lit('"')),
-            F.concat(F.lit(':"'), plain, F.lit('"')),
-        )
+    def one_round(x: Column) -> Column:
+        def plain(found: Column) -> Column:
+            inner = F.substring(found, F.lit(3), F.length(found) - 4)
+            return F.concat(F.lit(':"'), F.replace(inner, F.lit('"'), F.lit("")), F.right(found, F.lit(2)))
 
-    def one_round(acc: Column, _: Column | None = None) -> Column:
-        return F.aggregate(F.regexp_extract_all(acc, regex, F.lit(1)), acc, unquote)
+        values = F.transform(F.regexp_extract_all(x, regex, F.lit(0)), plain)
+        between = F.split(x, pattern)
+        none = F.lit("")
+        joined = F.zip_with(
+            between, values, lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))
+        )
+        return F.array_join(joined, "")
 
     def to_the_end(x: Column) -> Column:
         quotes = F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))
-        rounds = F.sequence(F.lit(1), quotes)
-        return F.when(x.rlike(pattern), F.aggregate(rounds, x, one_round)).otherwise(x)
+
+        def go_on(state: Column, _: Column) -> Column:
+            again = F.struct(one_round(state["x"]).alias("x"))
+            more = let(again, lambda s: F.struct(s["x"].alias("x"), s["x"].rlike(pattern).alias("open")))
+            return F.when(state["open"], more).otherwise(state)
+
+        start = F.struct(x.alias("x"), x.rlike(pattern).alias("open"))
+        ended = F.aggregate(F.sequence(F.lit(1), quotes), start, go_on, lambda s: s["x"])
+        return F.when(x.rlike(pattern), ended).otherwise(x)
 
     start = F.col(line) if isinstance(line, str) else line
-    return F.when(start.rlike(pattern), _let(one_round(start), to_the_end)).otherwise(start)
+    return F.when(start.rlike(pattern), let(one_round(start), to_the_end)).otherwise(start)
 
 
 def normalise_line(line: Column | str) -> Column:
@@ -58,14 +67,14 @@ def normalise_line(line: Column | str) -> Column:
     def drop_comma(x: Column) -> Column:
         return F.when(F.endswith(x, F.lit("},")), F.left(x, F.length(x) - 1)).otherwise(x)
 
-    return _let(_let(plain, java_trim), drop_comma)
+    return let(let(plain, java_trim), drop_comma)
 
 
 def repair_line(line: Column | str) -> Column:
     """Both quote repairs and the normalisation; a valid record line keeps its content."""
     start = F.col(line) if isinstance(line, str) else line
     few = strip_stray_quotes(start, FEW_QUOTES)
-    return normalise_line(_let(few, lambda x: strip_stray_quotes(x, MANY_QUOTES)))
+    return normalise_line(let(few, lambda x: strip_stray_quotes(x, MANY_QUOTES)))
 
 
 def is_record_line(line: Column | str) -> Column:

@@ -10,15 +10,17 @@ from roadstats import schema as S
 # Blank and every control character below it.
 _BLANKS = "".join(chr(i) for i in range(33))
 
-# Day, month, year and, if complete, hour, minute, second: one to four digits
-# each, so that later interval arithmetic cannot overflow.
+# Day, month, year and, if complete, hour, minute, second, with blanks before
+# each. Leading zeros aside, the digits are as many as cannot overflow a
+# timestamp together.
 _WHEN = (
-    r"^\s*(\d{1,4}/\d{1,4}/\d{1,4}(?!\d)"
-    r"(?: \d{1,4}:\d{1,4}:\d{1,4}(?!\d))?)"
+    r"^\s*(0*\d{1,7}/[ \t]*0*\d{1,5}/[ \t]*0*\d{1,5}(?!\d)"
+    r"(?: [ \t]*0*\d{1,9}:[ \t]*0*\d{1,9}:[ \t]*0*\d{1,9}(?!\d))?)"
 )
 
-# Signed digits, few enough for an integer.
-_YEAR = r"^[+-]?\d{1,9}$"
+# Signed digits that may be an integer.
+_YEAR = r"^[+-]?0*\d{1,10}$"
+_INT = 2147483647
 
 
 def _col(c: Column | str) -> Column:
@@ -47,14 +49,15 @@ def entity_key(c: Column | str) -> Column:
 
 
 def birth_year(c: Column | str) -> Column:
-    """Birth year as an integer; blank or non-numeric text gives NULL.
+    """Birth year as an integer; other text, or one beyond the integers, gives NULL.
 
     The digits are taken out first, which gives NULL for any other text: a
     failing ``try_cast`` raises and catches an exception for each row, which is
     slow where many are blank.
     """
     digits = F.regexp_extract_all(_col(c), F.lit(_YEAR), F.lit(0))
-    return F.get(digits, F.lit(0)).cast("int")
+    year = F.get(digits, F.lit(0)).cast("long")
+    return F.when(year.between(-_INT - 1, _INT), year.cast("int"))
 
 
 def _band(steps: list[Column], labels: list[str]) -> Column:
@@ -93,7 +96,7 @@ def parse_when(c: Column | str) -> Column:
     # NULL without a match, so that no empty text is cast. There is no condition
     # in it, hence Spark splits each text once for all fields.
     found = F.get(F.regexp_extract_all(_col(c), F.lit(_WHEN), F.lit(1)), F.lit(0))
-    part = F.split(found, r"[/: ]")
+    part = F.split(found, r"[/: ][ \t]*")
 
     def number(i: int) -> Column:
         return F.get(part, F.lit(i)).cast("int")

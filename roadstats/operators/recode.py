@@ -11,15 +11,23 @@ def recode_groups(
 ) -> DataFrame:
     """Replace ``group`` by the crosswalk's new value where ``ts < valid_before``.
 
-    ``crosswalk`` has one row per old value. No hint is given: Spark broadcasts
-    the crosswalk while it is below the broadcast threshold and otherwise falls
-    back to a shuffle join, whose large groups adaptive execution splits.
+    Several rows of one old value are several reforms: the one with the smallest
+    ``valid_before`` after ``ts`` counts (then the smallest new value), so no
+    record is multiplied. They are gathered to one short list per old value. No
+    hint is given: Spark broadcasts the crosswalk while it is below the
+    broadcast threshold and otherwise falls back to a shuffle join, whose large
+    groups adaptive execution splits.
     """
-    cw = crosswalk.select(
-        F.col("old").alias("_old"), F.col("new").alias("_new"), F.col("valid_before").alias("_end")
+    steps = F.sort_array(F.collect_list(F.struct(F.col("valid_before").alias("end"), F.col("new").alias("new"))))
+    cw = (
+        crosswalk.filter(F.col("valid_before").isNotNull())
+        .groupBy(F.col("old").alias("_old"))
+        .agg(steps.alias("_steps"))
     )
-    on = (F.col(group) == F.col("_old")) & (F.col(ts) < F.col("_end"))
-    recoded = F.coalesce(F.col("_new"), F.col(group))
+    first = F.get(F.filter("_steps", lambda s: F.col(ts) < s["end"]), F.lit(0))["new"]
+    recoded = F.coalesce(first, F.col(group))
     return (
-        accidents.join(cw, on, "left").withColumn(group, recoded).drop("_old", "_new", "_end")
+        accidents.join(cw, F.col(group) == F.col("_old"), "left")
+        .withColumn(group, recoded)
+        .drop("_old", "_steps")
     )

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from roadstats.operators.counts import count_by
 
-# Rows with more items than this have too many subsets to list them all.
-MAX_WIDTH = 8
+# Bits of a subset's mask that one array lists.
+_STRETCH = 16
+# A mask is a long; no engine could list the subsets of wider rows anyway.
+_MOST_ITEMS = 62
 
 Score = Callable[[Column, Column], Column]
 
@@ -28,17 +30,21 @@ def itemsets(
     fields: Mapping[str, Column | str],
     tag_fields: bool = False,
     weight: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The set of distinct non-null field values of each row, as a sorted array ``items``.
 
     Rows that were counted first carry their ``weight`` along as ``n``; mining
     then works on the few counted rows and not on the records. ``tag_fields``
     gives ``field=value`` items, which keeps equal values of two fields apart.
+    Columns to ``keep`` are passed on.
     """
     cols = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]
     kept = [F.col(weight).alias("n")] if weight else []
     items = _items(list(fields), tag_fields).alias("items")
-    return df.select(*cols, *kept).select(items, *(["n"] if weight else []))
+    rest = [F.col(c).alias(f"_{c}") for c in keep]
+    out = df.select(*cols, *kept, *rest).select(items, *(["n"] if weight else []), *[f"_{c}" for c in keep])
+    return out.withColumnsRenamed({f"_{c}": c for c in keep})
 
 
 def _checked(items: Column, max_width: int) -> Column:
@@ -46,39 +52,55 @@ def _checked(items: Column, max_width: int) -> Column:
     return F.when(F.size(items) <= max_width, items).otherwise(too_wide)
 
 
-def _subsets(transactions: DataFrame, max_width: int) -> DataFrame:
-    """Every non-empty subset of each transaction (``items``), the items left out, the weight."""
+def _subsets(transactions: DataFrame, max_width: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """Every non-empty subset of each transaction (``items``), the items left out, the weight, ``by``.
+
+    The masks come from nested lists of a bounded length, so that a wide row's
+    subsets are never held at once.
+    """
     rows = transactions
     if "n" not in transactions.columns:
         rows = count_by(rows, {"items": "items"}, "n")
-    rows = rows.select(_checked(F.col("items"), max_width).alias("items"), "n")
-    last = F.call_function("shiftleft", F.lit(1), F.size("items")) - 1
+    most = min(max_width or _MOST_ITEMS, _MOST_ITEMS)
+    rows = rows.select(_checked(F.col("items"), most).alias("items"), "n", *by)
+
+    def masks(bits: Column) -> Column:
+        last = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        return F.sequence(F.lit(0).cast("long"), last)
+
+    # The mask in stretches of bits, lowest first; wide rows fill several.
+    listed, mask = rows, F.lit(0).cast("long")
+    for at in range(0, most, _STRETCH):
+        bits = F.greatest(F.least(F.size("items") - at, F.lit(_STRETCH)), F.lit(0))
+        listed = listed.select("*", F.explode(masks(bits)).alias(f"_{at}"))
+        mask = mask + F.call_function("shiftleft", F.col(f"_{at}"), F.lit(at))
+    listed = listed.select("items", "n", *by, mask.alias("mask"))
+
     # Bit i of the mask chooses item i; mask 0 is listed so that a row without
     # items needs no filter, which would be evaluated on every source row.
-    masks = rows.select("items", "n", F.explode(F.sequence(F.lit(0), last)).alias("mask"))
-
     def chosen(bit: int) -> Column:
         return F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == bit)
 
-    return masks.filter("mask > 0").select(chosen(1).alias("items"), chosen(0).alias("rest"), "n")
+    return listed.filter("mask > 0").select(chosen(1).alias("items"), chosen(0).alias("rest"), "n", *by)
 
 
-def _engine(engine: str, min_support: float) -> str:
+def _engine(engine: str, transactions: DataFrame, min_support: float) -> str:
     if engine == "auto":
-        return "powerset" if min_support == 0 else "fpgrowth"
+        return "powerset" if min_support == 0 or "n" in transactions.columns else "fpgrowth"
     if engine not in ("powerset", "fpgrowth"):
         raise ValueError(f"unknown engine {engine!r}")
-    if engine == "powerset" and min_support != 0:
-        raise ValueError("the powerset engine lists every itemset; use fpgrowth with a support")
     return engine
 
 
-def _fit(transactions: DataFrame, min_support: float, min_confidence: float, max_width: int):
+def _least(transactions: DataFrame, min_support: float) -> Column:
+    """The number of records that a support asks for."""
+    weight = F.sum("n") if "n" in transactions.columns else F.count(F.lit(1))
+    return F.ceil(F.lit(min_support) * transactions.agg(weight).scalar())
+
+
+def _fit(transactions: DataFrame, min_support: float, min_confidence: float):
     if "n" in transactions.columns:
         raise ValueError("fpgrowth needs one row per record, not counted rows")
-    if min_support == 0:
-        items = _checked(F.col("items"), max_width).alias("items")
-        transactions = transactions.select(items)
     fpm = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
     return fpm.fit(transactions)
 
@@ -88,19 +110,22 @@ def count_itemsets(
     min_items: int = 1,
     min_support: float = 0.0,
     engine: str = "auto",
-    max_width: int = MAX_WIDTH,
+    max_width: int | None = None,
 ) -> DataFrame:
     """``items, n``: every itemset with at least ``min_items`` items and its number of records.
 
-    ``powerset`` lists the subsets of the counted rows in plain DataFrame steps
-    and needs narrow rows and support 0; ``fpgrowth`` is Spark ML's and takes
-    rows of any width as long as a minimum support bounds the result.
+    ``powerset`` lists the subsets of the counted rows in plain DataFrame steps,
+    with or without a support; ``fpgrowth`` is Spark ML's, takes one row per
+    record and suits wide rows with a minimum support. ``auto`` takes the second
+    for such rows only. A ``max_width`` makes ``powerset`` fail on wider rows.
     """
-    if _engine(engine, min_support) == "fpgrowth":
-        found = _fit(transactions, min_support, 0.0, max_width).freqItemsets
+    if _engine(engine, transactions, min_support) == "fpgrowth":
+        found = _fit(transactions, min_support, 0.0).freqItemsets
         out = found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"))
     else:
         out = count_by(_subsets(transactions, max_width), {"items": "items"}, "n", weight="n")
+        if min_support:
+            out = out.filter(F.col("n") >= _least(transactions, min_support))
     return out.filter(F.size("items") >= min_items)
 
 
@@ -109,36 +134,55 @@ def mine_rules(
     min_support: float = 0.0,
     min_confidence: float = 0.0,
     engine: str = "auto",
-    max_width: int = MAX_WIDTH,
+    max_width: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``antecedent, consequent, confidence`` for every rule with one consequent item.
 
     ``powerset`` works in one pass: each counted row adds its weight to every
     subset and to every (subset, left-out item) pair, so no self-join of the
-    itemsets is needed. Engines as in :func:`count_itemsets`.
+    itemsets is needed. Engines as in :func:`count_itemsets`. With ``by``
+    (columns of counted rows) rules are mined within each of its values, in the
+    same pass; the columns come first in the result.
     """
-    if _engine(engine, min_support) == "fpgrowth":
-        rules = _fit(transactions, min_support, min_confidence, max_width).associationRules
+    if by:
+        if "n" not in transactions.columns:
+            raise ValueError("rules by group need counted rows")
+        if min_support or engine == "fpgrowth":
+            raise ValueError("rules by group are mined by powerset without a support")
+    elif _engine(engine, transactions, min_support) == "fpgrowth":
+        rules = _fit(transactions, min_support, min_confidence).associationRules
         return rules.select(
             F.sort_array("antecedent").alias("antecedent"), "consequent", "confidence"
         )
     none = F.array(F.lit(None).cast("string"))
+    keys = [*by, "antecedent", "item"]
     pairs = count_by(
-        _subsets(transactions, max_width).select(
+        _subsets(transactions, max_width, by).select(
+            *by,
             F.col("items").alias("antecedent"),
             F.explode(F.concat(none, F.col("rest"))).alias("item"),
             "n",
         ),
-        {"antecedent": "antecedent", "item": "item"},
+        {k: k for k in keys},
         "n",
         weight="n",
     )
     alone = F.max(F.when(F.col("item").isNull(), F.col("n")))
-    confidence = F.col("n") / alone.over(Window.partitionBy("antecedent"))
+    within = Window.partitionBy(*by, "antecedent")
+    confidence = F.col("n") / alone.over(within)
+    kept = F.col("item").isNotNull() & (F.col("confidence") >= min_confidence)
+    if min_support:
+        kept = kept & (F.col("n") >= _least(transactions, min_support))
     return (
         pairs.withColumn("confidence", confidence)
-        .filter(F.col("item").isNotNull() & (F.col("confidence") >= min_confidence))
-        .select("antecedent", F.array("item").alias("consequent"), "confidence")
+        .filter(kept)
+        .select(
+            *by,
+            "antecedent",
+            F.array("item").alias("consequent"),
+            "confidence",
+        )
     )
 
 
@@ -153,10 +197,15 @@ def filter_rules(
 
 
 def baseline_from_counts(df: DataFrame, item: Column | str, out: str = "freq") -> DataFrame:
-    """``item, freq``: share of each value among all rows of ``df``."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = count_by(df, {"item": item}, "n").filter(F.col("item").isNotNull())
-    return counts.select("item", (F.col("n") / total).alias(out))
+    """``item, freq``: share of each value among all rows of ``df``, from one scan.
+
+    Rows without a value count for the total and go only after it is taken, from
+    the few counted rows.
+    """
+    counts = count_by(df, {"item": item}, "n")
+    total = F.sum("n").over(Window.partitionBy())
+    shares = counts.select("item", (F.col("n") / total).alias(out))
+    return shares.filter(F.col("item").isNotNull())
 
 
 def baseline_from_rules(rules: DataFrame, antecedent: Sequence[str]) -> DataFrame:
@@ -193,12 +242,12 @@ def score_rules(
     """Add ``score`` and keep the rules that reach ``threshold``.
 
     With a ``baseline`` (``item, freq``) only rules whose consequent it lists
-    are kept. ``score`` is a name from ``SCORES`` or a function of the
+    are kept; of an item listed twice the largest frequency counts. ``score`` is a name from ``SCORES`` or a function of the
     confidence and the baseline frequency.
     """
     freq = F.lit(None).cast("double")
     if baseline is not None:
-        known = baseline.select(F.col("item").alias("_item"), F.col("freq").alias("_freq"))
+        known = baseline.groupBy(F.col("item").alias("_item")).agg(F.max("freq").alias("_freq"))
         rules = rules.join(known, F.col("consequent")[0] == F.col("_item"))
         freq = F.col("_freq")
     elif score == "ratio":

@@ -220,10 +220,11 @@ def driver_itemsets(
         )
         joined, weight = count_by(joined, fields, "n", weight="n"), "n"
     else:
-        joined = accidents.select("ID", *accident_cols).join(
-            persons.select("IDProtocollo", "Sesso", band.alias("FasciaEta")),
-            F.col("ID").cast("string") == F.col("IDProtocollo").cast("string"),
+        # Counted before the join like the others, and listed only after it.
+        joined = join_for_count(
+            accidents, persons, accident_cols, {"Sesso": "Sesso", "FasciaEta": band}
         )
+        joined = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return itemsets(joined, fields, tag_fields, weight)
 
 
@@ -247,3 +248,44 @@ def driver_rules(
     )
     rules = filter_rules(mine_rules(sets, engine=engine), min_antecedent=3)
     return score_rules(rules, baseline, "ratio", threshold)
+
+
+def scenario_rules_by_group(accidents: DataFrame, score: str = "inverse_log") -> DataFrame:
+    """The scenario rules of every municipality, mined in one pass over the accidents."""
+    raw = ["Gruppo", "Pavimentazione", "Illuminazione", "NaturaIncidente"]
+    counted = count_by(accidents, {c: c for c in raw}, "n")
+    counted = counted.withColumn("Gruppo", java_trim("Gruppo")).filter(is_filled("Gruppo"))
+    fields: dict[str, Column | str] = {
+        "Pavimentazione": paving_class_or_upper("Pavimentazione"),
+        "Illuminazione": "Illuminazione",
+        "NaturaIncidente": "NaturaIncidente",
+    }
+    sets = itemsets(counted, fields, weight="n", keep=["Gruppo"])
+    return score_rules(filter_rules(mine_rules(sets, by=["Gruppo"]), min_antecedent=2), None, score)
+
+
+def driver_rules_by_group(
+    accidents: DataFrame,
+    persons: DataFrame,
+    baseline: DataFrame | None = None,
+    threshold: float = 0.1,
+    reference_year: int = S.REFERENCE_YEAR,
+) -> DataFrame:
+    """Rules from sex and age band to accident type of every municipality, in one pass.
+
+    They are relative to the types' frequencies among all accidents or in ``baseline``.
+    """
+    if baseline is None:
+        baseline = baseline_from_counts(accidents, "NaturaIncidente")
+    band = driver_age_band("TipoPersona", birth_year("AnnoNascita"), reference_year)
+    joined = join_for_count(
+        accidents.filter(is_filled("Gruppo")),
+        persons,
+        {"Gruppo": "Gruppo", "NaturaIncidente": "NaturaIncidente"},
+        {"Sesso": "Sesso", "FasciaEta": band},
+    )
+    fields = ["Gruppo", "NaturaIncidente", "Sesso", "FasciaEta"]
+    counted = count_by(joined, {c: c for c in fields}, "n", weight="n")
+    sets = itemsets(counted, {c: c for c in fields[1:]}, weight="n", keep=["Gruppo"])
+    rules = filter_rules(mine_rules(sets, by=["Gruppo"]), min_antecedent=2)
+    return score_rules(rules, baseline, "ratio", threshold)

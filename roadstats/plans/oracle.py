@@ -14,15 +14,14 @@ def _paving(otherwise: str) -> str:
  ELSE {otherwise} END"""
 
 
-_AGE = """CASE WHEN AnnoNascita IS NULL OR AnnoNascita='' THEN 'non-identificato'
- WHEN 2016-cast(AnnoNascita AS int)<26 THEN '18-25' WHEN 2016-cast(AnnoNascita AS int)<40 THEN '26-39'
- WHEN 2016-cast(AnnoNascita AS int)<70 THEN '40-69' WHEN 2016-cast(AnnoNascita AS int)<100 THEN '71-99'
- ELSE 'non-identificato' END"""
+_BORN = "2016-cast(try_cast(AnnoNascita AS int) AS bigint)"
+_AGE = f"""CASE WHEN {_BORN} IS NULL THEN 'non-identificato' WHEN {_BORN}<26 THEN '18-25' WHEN {_BORN}<40 THEN '26-39'
+ WHEN {_BORN}<70 THEN '40-69' WHEN {_BORN}<100 THEN '71-99' ELSE 'non-identificato' END"""
 _DRIVER_AGE = f"CASE WHEN TipoPersona='Conducente' THEN {_AGE} ELSE 'non-identificato' END"
 
 
 def _number(i: int) -> str:
-    pattern = r"^\s*(\d+)/(\d+)/(\d+)(?: (\d+):(\d+):(\d+))?"
+    pattern = r"^\s*(\d+)/[ \t]*(\d+)/[ \t]*(\d+)(?: [ \t]*(\d+):[ \t]*(\d+):[ \t]*(\d+))?"
     return f"try_cast(nullif(regexp_extract(trim(DataOraIncidente), '{pattern}', {i}), '') AS int)"
 
 
@@ -42,40 +41,51 @@ _STEPS = {
     "ped_z": "SELECT i.* FROM incidenti i JOIN pedoni ON ID=IDProtocollo",
     "ped_l": "SELECT Gruppo,'Segnaletica' AS dim,Segnaletica AS v FROM ped_z UNION ALL SELECT Gruppo,'Visibilita',Visibilita FROM ped_z UNION ALL SELECT Gruppo,'Illuminazione',Illuminazione FROM ped_z",
     "ped": "SELECT Gruppo AS Municipio, dim, v AS valore, count(*) AS n FROM ped_l WHERE Gruppo<>'' AND v<>'' GROUP BY 1,2,3",
-    "guida": f"SELECT Gruppo AS Municipio, {_AGE} AS FasciaEta, Sesso, count(*) AS n FROM incidenti JOIN persone ON ID=IDProtocollo WHERE TipoPersona='Conducente' AND Gruppo<>'' GROUP BY 1,2,3",
-    "marche": "SELECT Marca, NaturaIncidente AS TipoIncidente, FondoStradale, count(*) AS NumIncidenti FROM incidenti JOIN veicoli ON ID=IDProtocollo WHERE Marca<>'' GROUP BY 1,2,3",
-    # Scenario: all items of an accident, then every pair and the triple of them.
-    "sc": f"SELECT {_paving('upper(Pavimentazione)')} AS a, Illuminazione AS b, NaturaIncidente AS c FROM incidenti",
-    "sc_sets": """SELECT list_sort([a,b]) AS items, count(*) AS n FROM sc GROUP BY 1 UNION ALL SELECT list_sort([a,c]), count(*) FROM sc GROUP BY 1
- UNION ALL SELECT list_sort([b,c]), count(*) FROM sc GROUP BY 1 UNION ALL SELECT list_sort([a,b,c]), count(*) FROM sc GROUP BY 1
- UNION ALL SELECT [a], count(*) FROM sc GROUP BY 1 UNION ALL SELECT [b], count(*) FROM sc GROUP BY 1 UNION ALL SELECT [c], count(*) FROM sc GROUP BY 1""",
-    "sc_rules": """SELECT x.items AS ante, y.item AS cons, cast(y.n AS double)/cast(x.n AS double) AS confidence FROM sc_sets x
- JOIN (SELECT items, unnest(items) AS item, n FROM sc_sets) y ON x.items = list_filter(y.items, lambda e: e <> y.item) AND len(y.items) > 1""",
+    "guida": f"SELECT Gruppo AS Municipio, {_AGE} AS FasciaEta, coalesce(Sesso,'') AS Sesso, count(*) AS n FROM incidenti JOIN persone ON ID=IDProtocollo WHERE TipoPersona='Conducente' AND Gruppo<>'' GROUP BY 1,2,3",
+    "marche": "SELECT Marca, coalesce(NaturaIncidente,'') AS TipoIncidente, FondoStradale, count(*) AS NumIncidenti FROM incidenti JOIN veicoli ON ID=IDProtocollo WHERE Marca<>'' GROUP BY 1,2,3",
+    # Scenario: the set of an accident's items, counted once; then its subsets of
+    # one, two and three items, and every (antecedent, consequent) among them.
+    "sc": f"SELECT '' AS g, {_paving('upper(Pavimentazione)')} AS a, Illuminazione AS b, NaturaIncidente AS c FROM incidenti",
+    "sc_g": f"SELECT trim(Gruppo) AS g, {_paving('upper(Pavimentazione)')} AS a, Illuminazione AS b, NaturaIncidente AS c FROM incidenti WHERE trim(Gruppo)<>''",
+    "sc_n": "SELECT g, s, s[1] AS i, s[2] AS j, s[3] AS k, count(*) AS n FROM (SELECT g, list_sort(list_distinct([a,b,c])) AS s FROM sc) GROUP BY 1,2",
+    "sc_sets": """SELECT g, items, cast(sum(n) AS bigint) AS n FROM (
+ SELECT g, [i] AS items, n FROM sc_n WHERE i IS NOT NULL UNION ALL SELECT g, [j], n FROM sc_n WHERE j IS NOT NULL UNION ALL SELECT g, [k], n FROM sc_n WHERE k IS NOT NULL
+ UNION ALL SELECT g, [i,j], n FROM sc_n WHERE j IS NOT NULL UNION ALL SELECT g, [i,k], n FROM sc_n WHERE k IS NOT NULL UNION ALL SELECT g, [j,k], n FROM sc_n WHERE k IS NOT NULL
+ UNION ALL SELECT g, [i,j,k], n FROM sc_n WHERE k IS NOT NULL) GROUP BY 1,2""",
+    "sc_pairs": """SELECT g, ante, cons, sum(n) AS n FROM (
+ SELECT g, [i] AS ante, j AS cons, n FROM sc_n WHERE j IS NOT NULL UNION ALL SELECT g, [j], i, n FROM sc_n WHERE j IS NOT NULL
+ UNION ALL SELECT g, [i], k, n FROM sc_n WHERE k IS NOT NULL UNION ALL SELECT g, [k], i, n FROM sc_n WHERE k IS NOT NULL
+ UNION ALL SELECT g, [j], k, n FROM sc_n WHERE k IS NOT NULL UNION ALL SELECT g, [k], j, n FROM sc_n WHERE k IS NOT NULL
+ UNION ALL SELECT g, [i,j], k, n FROM sc_n WHERE k IS NOT NULL UNION ALL SELECT g, [i,k], j, n FROM sc_n WHERE k IS NOT NULL UNION ALL SELECT g, [j,k], i, n FROM sc_n WHERE k IS NOT NULL) GROUP BY 1,2,3""",
+    "sc_rules": """SELECT p.g, p.ante, p.cons, cast(p.n AS double)/cast(s.n AS double) AS confidence FROM sc_pairs p
+ JOIN sc_sets s ON p.g = s.g AND array_to_string(p.ante, chr(31)) = array_to_string(s.items, chr(31))""",
     # Persons: municipality, sex, band of drivers, type.
     "pe": f"SELECT Gruppo AS a, Sesso AS b, {_DRIVER_AGE} AS f, NaturaIncidente AS c FROM incidenti JOIN persone ON ID=IDProtocollo",
-    "base": "SELECT NaturaIncidente AS item, cast(count(*) AS double)/cast((SELECT count(*) FROM incidenti) AS double) AS freq FROM incidenti GROUP BY NaturaIncidente",
+    "base": "SELECT NaturaIncidente AS item, cast(count(*) AS double)/cast((SELECT count(*) FROM incidenti) AS double) AS freq FROM incidenti GROUP BY NaturaIncidente HAVING NaturaIncidente IS NOT NULL",
     "pe_n": "SELECT a, b, f, c, count(*) AS n FROM pe GROUP BY 1,2,3,4",
     "pe_rules": "SELECT a, b, f, c, cast(n AS double)/cast(sum(n) OVER (PARTITION BY a,b,f) AS double) AS confidence FROM pe_n",
 }
 
 _VIEWS = ["incidenti", "persone", "veicoli", "pedoni", "grezzi", "crosswalk"]
+_RULES = ("sc", "sc_n", "sc_sets", "sc_pairs", "sc_rules")
 _JOINED = "array_to_string(%s, ' + ')"
 _SCORE = "round(CASE WHEN confidence=1 THEN cast('Infinity' AS double) ELSE 1/abs(log10(confidence)) END, 9)"
 
 
 def _with(select: str, *steps: str) -> str:
-    """``select`` with the views and steps it needs in front, in order."""
-    text = " ".join([select, *(_STEPS[s] for s in steps)])
+    """``select`` with the views and steps it needs in front, in order; ``a=b`` names step b a."""
+    text = " ".join([select, *(_STEPS[s.split("=")[-1]] for s in steps)])
     views = [v for v in _VIEWS if v in text]
     items = [f"{v} AS ({oracle_view(v)})" for v in views]
-    items += [f"{s} AS ({_STEPS[s]})" for s in steps]
+    # Steps that several others read are computed once.
+    items += [f"{s.split('=')[0]} AS MATERIALIZED ({_STEPS[s.split('=')[-1]]})" for s in steps]
     return "WITH " + ",\n".join(items) + "\n" + select
 
 
 def _scenario(where: str) -> str:
     return _with(
         f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules WHERE {where}",
-        "sc", "sc_sets", "sc_rules",
+        *_RULES,
     )
 
 
@@ -88,8 +98,18 @@ def _driver(where: str) -> str:
 
 
 _VIA = """CASE k % 12 WHEN 1 THEN 'ROMA CENTRO NORD' WHEN 2 THEN 'ROMA, CENTRO, NORD' WHEN 3 THEN 'a b c d' WHEN 4 THEN 'ab' WHEN 5 THEN '' WHEN 6 THEN 'x y z w' ELSE 'VIA ' || o_orderstatus END"""
-_NO_CUT = "k % 500 <> 499 AND k % 200 <> 3"
+_NO_CUT = "k % 500 NOT IN (497, 499) AND k % 200 <> 3"
 _FIX_NAME = "regexp_replace(value, 'ANNA \"(.)\" ROSSI', 'ANNA \\1 ROSSI')"
+_FIX_EMPTY = f"replace({_FIX_NAME}, '\"Via\":\"\"\",', '\"Via\":\"\",')"
+_FIX_FEW = f"replace({_FIX_EMPTY}, '\"CENTRO\"', 'CENTRO')"
+_FIX_MANY = f"replace(replace(replace({_FIX_EMPTY}, 'ROMA \"CENTRO\"', 'ROMA CENTRO'), 'a \"b\" c\" d', 'a b c d'), '\"x\" \"y\" \"z\" w', 'x y z w')"
+# Two records in a line, and a line with text after its record.
+_TWO = "k % 500 IN (496, 498)"
+_RECORDS = f"""SELECT cast(k AS varchar) AS ID, CASE WHEN {_TWO} THEN 'UNO' ELSE {_VIA} END AS Via, CASE WHEN {_TWO} THEN NULL ELSE o_orderpriority END AS NaturaIncidente, CASE WHEN {_TWO} THEN NULL ELSE cast(o_custkey % 15 + 1 AS varchar) END AS Gruppo FROM (SELECT o_orderkey AS k, * FROM orders) WHERE {_NO_CUT}
+ UNION ALL SELECT cast(-o_orderkey AS varchar), 'DUE', NULL, NULL FROM orders WHERE o_orderkey % 500 IN (496, 498)"""
+
+_PERSONS = """SELECT 'persone' AS entity, cast(l_orderkey AS varchar) AS chiave, l_linestatus AS uno, 'ANNA ' || l_returnflag || ' ROSSI' AS due, NULL AS tre FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 333 <> 5"""
+_LINE = "'[' || array_to_string(list_sort([a,b,f]), ', ') || '] => [' || c || '], ' || cast(cast(round(confidence/freq, 4) AS decimal(18,4)) AS varchar)"
 
 ORACLE: dict[str, str] = {
     "group_count": _with("SELECT trim(Gruppo) AS Municipio, count(*) AS NumIncidenti FROM incidenti WHERE trim(Gruppo)<>'' GROUP BY 1"),
@@ -104,6 +124,12 @@ ORACLE: dict[str, str] = {
     "driver_rules": _driver("confidence/freq>=0.1"),
     "driver_rules_strict": _driver("confidence/freq>=1.2"),
     "driver_rules_fpgrowth": _driver("confidence/freq>=0.1"),
+    "driver_rules_file": _driver("confidence/freq>=0.1"),
+    "scenario_rules_custom": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, round(confidence*confidence, 9) AS score FROM sc_rules WHERE len(ante)>=2 AND NOT list_contains(ante, '')", *_RULES),
+    "scenario_rules_by_group": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules WHERE len(ante)>=2 AND NOT list_contains(ante, '')", "sc=sc_g", "sc_n", "sc_sets", "sc_pairs", "sc_rules"),
+    "driver_rules_by_group": _with(f"SELECT a AS Gruppo, {_JOINED % 'list_sort([b,f])'} AS antecedent, c AS consequent, confidence, round(confidence/freq, 9) AS ratio FROM pe_rules JOIN base ON c=item WHERE a<>'' AND b<>'' AND confidence/freq>=0.1", "pe", "base", "pe_n", "pe_rules"),
+    "scenario_lines": _with(f"SELECT '[' || array_to_string(ante, ', ') || '] => [' || cons || '], ' || CASE WHEN confidence=1 THEN 'Infinity' ELSE cast(cast(round({_SCORE}, 4) AS decimal(18,4)) AS varchar) END AS value FROM sc_rules WHERE len(ante)>=2 AND NOT list_contains(ante, '')", *_RULES),
+    "rules_read_back": _with(f"SELECT {_LINE} AS value, count(*) OVER () AS kept FROM pe_rules JOIN base ON c=item WHERE a<>'' AND b<>'' AND confidence/freq>=0.1", "pe", "base", "pe_n", "pe_rules"),
     "driver_rules_one_group": _driver("confidence/freq>=0.1 AND a IN ('7','8')"),
     "group_documents": _with("SELECT cast(to_json({'Municipio': Municipio, 'NumIncidenti': NumIncidenti}) AS varchar) AS doc FROM (SELECT trim(Gruppo) AS Municipio, count(*) AS NumIncidenti FROM incidenti WHERE trim(Gruppo)<>'' GROUP BY 1)"),
     "nested_types": _with("SELECT cast(to_json({'Gruppo': Gruppo, 'Info': list({'TipoIncidente': TipoIncidente, 'Count': n} ORDER BY n DESC, TipoIncidente)}) AS varchar) AS doc FROM tipi GROUP BY Gruppo", "tipi"),
@@ -112,34 +138,38 @@ ORACLE: dict[str, str] = {
     "nested_pedestrian": _with("SELECT cast(to_json({'Municipio': Municipio, 'info': {" + ", ".join(f"'{d}': map_from_entries(coalesce(list((valore, n) ORDER BY valore) FILTER (dim='{d}'), []))" for d in ("Segnaletica", "Visibilita", "Illuminazione")) + "}}) AS varchar) AS doc FROM ped GROUP BY Municipio", "ped_z", "ped_l", "ped"),
     "nested_drivers": _with("SELECT cast(to_json({'Municipio': Municipio, 'info': list({'FasciaEta': FasciaEta, 'Info': i} ORDER BY FasciaEta)}) AS varchar) AS doc FROM (SELECT Municipio, FasciaEta, list({'Sesso': Sesso, 'Count': n} ORDER BY n DESC, Sesso) AS i FROM guida GROUP BY 1,2) GROUP BY Municipio", "guida"),
     "nested_makes": _with("SELECT cast(to_json({'MarcaMacchina': Marca, 'Incidenti': list({'TipoIncidente': TipoIncidente, 'Condizioni': i} ORDER BY TipoIncidente)}) AS varchar) AS doc FROM (SELECT Marca, TipoIncidente, list({'FondoStradale': FondoStradale, 'NumIncidenti': NumIncidenti} ORDER BY FondoStradale) AS i FROM marche GROUP BY 1,2) GROUP BY Marca", "marche"),
-    "itemset_accident": _with(f"SELECT {_JOINED % 'list_sort([a,b,c])'} AS items FROM sc", "sc"),
+    "itemset_accident": _with(f"SELECT {_JOINED % 'list_sort(list_distinct([a,b,c]))'} AS items FROM sc", "sc"),
     "itemset_person": _with(f"SELECT {_JOINED % 'list_sort(list_distinct([a,b,f,c]))'} AS items FROM pe", "pe"),
     "itemset_person_counted": _with(f"SELECT {_JOINED % 'list_sort(list_distinct([a,b,f,c]))'} AS items, count(*) AS n FROM pe GROUP BY 1", "pe"),
-    "itemset_counts": _with(f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets WHERE len(items)>=2", "sc", "sc_sets"),
+    "itemset_counts": _with(f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets WHERE len(items)>=2", "sc", "sc_n", "sc_sets"),
     "itemset_counts_tagged": _with(
-        f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets", "sc", "sc_sets"
-    ).replace(f"sc AS ({_STEPS['sc']})", f"sc AS (SELECT 'Pavimentazione=' || a AS a, 'Illuminazione=' || b AS b, 'NaturaIncidente=' || c AS c FROM ({_STEPS['sc']}))"),
-    "itemset_counts_support": _with(f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets WHERE len(items)>=2 AND n >= ceil(0.02 * (SELECT count(*) FROM sc))", "sc", "sc_sets"),
-    "rules_all": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence FROM sc_rules", "sc", "sc_sets", "sc_rules"),
-    "rules_confident": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence FROM sc_rules WHERE confidence>=0.25", "sc", "sc_sets", "sc_rules"),
+        f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets", "sc", "sc_n", "sc_sets"
+    ).replace(f"sc AS MATERIALIZED ({_STEPS['sc']})", f"sc AS (SELECT g, 'Pavimentazione=' || a AS a, 'Illuminazione=' || b AS b, 'NaturaIncidente=' || c AS c FROM ({_STEPS['sc']}))"),
+    "itemset_counts_support": _with(f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets WHERE len(items)>=2 AND n >= ceil(0.02 * (SELECT count(*) FROM sc))", "sc", "sc_n", "sc_sets"),
+    "rules_all": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence FROM sc_rules", *_RULES),
+    "rules_confident": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence FROM sc_rules WHERE confidence>=0.25", *_RULES),
     "baseline_freq": _with("SELECT * FROM base", "base"),
-    "baseline_scenario": _with("SELECT cons AS item, confidence AS freq FROM sc_rules WHERE ante=['Asfaltata','ill 1']", "sc", "sc_sets", "sc_rules"),
-    "scenario_rules_ratio": _with(f"SELECT {_JOINED % 'r.ante'} AS antecedent, r.cons AS consequent, round(r.confidence/b.confidence, 9) AS score FROM sc_rules r JOIN sc_rules b ON r.cons=b.cons WHERE b.ante=['Asfaltata','ill 1'] AND len(r.ante)>=2 AND NOT list_contains(r.ante, '')", "sc", "sc_sets", "sc_rules"),
+    "baseline_scenario": _with("SELECT cons AS item, confidence AS freq FROM sc_rules WHERE ante=['Asfaltata','ill 1']", *_RULES),
+    "scenario_rules_ratio": _with(f"SELECT {_JOINED % 'r.ante'} AS antecedent, r.cons AS consequent, round(r.confidence/b.confidence, 9) AS score FROM sc_rules r JOIN sc_rules b ON r.cons=b.cons WHERE b.ante=['Asfaltata','ill 1'] AND len(r.ante)>=2 AND NOT list_contains(r.ante, '')", *_RULES),
     "rule_text": _with("SELECT '[' || array_to_string(list_sort([a,b,f]), ', ') || '] => [' || c || '], ' || cast(cast(round(confidence/freq, 4) AS decimal(18,4)) AS varchar) AS value FROM pe_rules JOIN base ON c=item WHERE a<>'' AND b<>'' AND confidence/freq>=0.1", "pe", "base", "pe_n", "pe_rules"),
     "trimmed": _with("SELECT ID, trim(Gruppo) AS Gruppo FROM incidenti"),
     "age_bands": _with(f"SELECT AnnoNascita, {_AGE} AS FasciaEta, {_DRIVER_AGE} AS FasciaConducente, count(*) AS n FROM persone GROUP BY 1,2,3"),
     "when_parse": _with("SELECT ID, ts, Giorno, FasciaOraria FROM ore", "quando", "ore"),
     "paving_recode": _with(f"SELECT Pavimentazione, {_paving('NULL')} AS classe, {_paving('upper(Pavimentazione)')} AS classe_o_testo, count(*) AS n FROM incidenti GROUP BY 1,2,3"),
     "top_group": _with("SELECT trim(Gruppo) AS Municipio, count(*) AS NumIncidenti FROM incidenti WHERE trim(Gruppo)<>'' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"),
-    "group_recode": _with("SELECT coalesce(new, trim(Gruppo)) AS Gruppo, count(*) AS n FROM quando LEFT JOIN crosswalk ON trim(Gruppo)=old AND ts<valid_before WHERE coalesce(new, trim(Gruppo))<>'' GROUP BY 1", "quando"),
+    "group_recode": _with("SELECT coalesce(new, vecchio) AS Gruppo, count(*) AS n FROM (SELECT trim(Gruppo) AS vecchio, (SELECT arg_min(new, valid_before) FROM crosswalk WHERE old=trim(Gruppo) AND ts<valid_before) AS new FROM quando) WHERE coalesce(new, vecchio)<>'' GROUP BY 1", "quando"),
     "clean_group_drivers": _with("SELECT *, row_number() OVER (PARTITION BY Municipio, FasciaEta ORDER BY n DESC, Sesso) AS pos FROM (SELECT trim(Municipio) AS Municipio, FasciaEta, Sesso, cast(sum(n) AS bigint) AS n FROM guida GROUP BY 1,2,3)", "guida"),
-    "quotes_few": _with(f"SELECT file_path, {_FIX_NAME} AS value FROM grezzi WHERE entity='persone'"),
-    "quotes_many": _with(f"SELECT file_path, {_FIX_NAME} AS value FROM grezzi WHERE entity='persone'"),
+    "quotes_few": _with(f"SELECT file_path, {_FIX_FEW} AS value FROM grezzi"),
+    "quotes_many": _with(f"SELECT file_path, {_FIX_MANY} AS value FROM grezzi"),
     "normalised_lines": _with("SELECT entity, k, regexp_replace(replace(trim(value), chr(92), ''), ',$', '') AS value FROM grezzi"),
     "record_lines": "SELECT 'incidenti' AS entity, count(*) AS n FROM orders WHERE o_orderkey % 200 <> 3 OR o_orderkey % 500 = 499 UNION ALL SELECT 'persone', count(*) FROM lineitem",
-    "json_repair": f"SELECT cast(k AS varchar) AS ID, {_VIA} AS Via, o_orderpriority AS NaturaIncidente, cast(o_custkey % 15 + 1 AS varchar) AS Gruppo FROM (SELECT o_orderkey AS k, * FROM orders) WHERE {_NO_CUT}",
-    "ingest_files": f"SELECT 'incidenti' AS entity, '2014_05' AS period, cast(k AS varchar) AS ID, {_VIA} AS Via, o_orderpriority AS NaturaIncidente, cast(o_custkey % 15 + 1 AS varchar) AS Gruppo FROM (SELECT o_orderkey AS k, * FROM orders) WHERE {_NO_CUT}",
-    "corrupt_count": "SELECT 'incidenti' AS entity, count(*) FILTER (o_orderkey % 500 <> 499) AS good, count(*) FILTER (o_orderkey % 500 = 499) AS corrupt FROM orders WHERE o_orderkey % 200 <> 3 OR o_orderkey % 500 = 499 UNION ALL SELECT 'persone', count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 <> 5), count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 = 5) FROM lineitem",
+    "json_repair": f"""SELECT 'incidenti' AS entity, ID AS chiave, Via AS uno, NaturaIncidente AS due, Gruppo AS tre FROM ({_RECORDS})
+ UNION ALL {_PERSONS}""",
+    "ingest_files": f"""SELECT 'incidenti' AS entity, '2014_05' AS period, ID AS chiave, Via AS uno, NaturaIncidente AS due, Gruppo AS tre FROM ({_RECORDS})
+ UNION ALL SELECT entity, '2015', chiave, uno, due, tre FROM ({_PERSONS})""",
+    "replaced_period": "SELECT 'persone' AS entity, '2015' AS period, count(*) AS n FROM lineitem",
+    "corrupt_count": "SELECT 'incidenti' AS entity, count(*) FILTER (o_orderkey % 500 NOT IN (497, 499)) + count(*) FILTER (o_orderkey % 500 IN (496, 498)) AS good, count(*) FILTER (o_orderkey % 500 IN (497, 499)) AS corrupt FROM orders WHERE o_orderkey % 200 <> 3 OR o_orderkey % 500 = 499 UNION ALL SELECT 'persone', count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 <> 5), count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 = 5) FROM lineitem",
+    "unrouted": "SELECT '/dati/roma_' || strftime(o_orderdate, '%Y_%m') || '/note.json' AS file_path, count(*) AS n FROM orders WHERE o_orderkey % 4 = 3 GROUP BY 1",
     "route_files": """SELECT CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE 'incidenti' END AS entity, strftime(o_orderdate, '%Y_%m') AS period, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 2 GROUP BY 1,2
  UNION ALL SELECT CASE l_linenumber WHEN 1 THEN 'persone' WHEN 2 THEN 'pedoni' WHEN 3 THEN 'veicoli' ELSE 'persone' END, NULL, count(*) FROM lineitem GROUP BY 1,2""",
     "documents_read_back": _with("SELECT * FROM fasce_ore", "quando", "ore", "fasce_ore"),

@@ -48,11 +48,14 @@ from roadstats.sources import (
     as_json,
     good_records,
     load,
+    load_baseline,
     parse_records,
     read_clean_lines,
     read_raw,
     repair_lines,
     save_documents,
+    save_rules,
+    unrouted_lines,
     validation_counts,
     write_clean_lines,
 )
@@ -68,8 +71,16 @@ def query(fn: Query) -> Query:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one the cluster names, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadstats-")
+    """A new folder below the one that all executors share.
+
+    Only a local session, where there is no other machine, may do without the setting.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="roadstats-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -158,6 +169,38 @@ def driver_rules_fpgrowth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_rules(rules, "confidence", F.round("score", 9).alias("ratio"))
 
 
+@query
+def driver_rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the frequencies from a baseline file, in which each type is listed twice."""
+    accidents, path = view(spark, sf_dir, "incidenti"), scratch(spark, "baseline")
+    listed = baseline_from_counts(accidents, "NaturaIncidente")
+    listed.unionByName(listed.withColumn("freq", F.col("freq") / 2)).write.csv(path)
+    rules = jobs.driver_rules(accidents, view(spark, sf_dir, "persone"), load_baseline(spark, path))
+    return _flat_rules(rules, "confidence", F.round("score", 9).alias("ratio"))
+
+
+@query
+def scenario_rules_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario rules with a score of one's own."""
+    rules = filter_rules(mine_rules(jobs.scenario_itemsets(view(spark, sf_dir, "incidenti"))), 2)
+    scored = score_rules(rules, score=lambda confidence, baseline: confidence * confidence)
+    return _flat_rules(scored, "confidence", F.round("score", 9).alias("score"))
+
+
+@query
+def scenario_rules_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario rules of every municipality in one run."""
+    rules = jobs.scenario_rules_by_group(view(spark, sf_dir, "incidenti"))
+    return _flat_rules(rules, "Gruppo", "confidence", F.round("score", 9).alias("score"))
+
+
+@query
+def driver_rules_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sex and age rules of every municipality in one run."""
+    rules = jobs.driver_rules_by_group(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"))
+    return _flat_rules(rules, "Gruppo", "confidence", F.round("score", 9).alias("ratio"))
+
+
 @query
 def driver_rules_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within single municipalities."""
@@ -249,8 +292,8 @@ def itemset_counts_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def itemset_counts_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-growth with a minimum support."""
-    sets = jobs.scenario_itemsets(view(spark, sf_dir, "incidenti"), counted=False)
+    """Itemsets with a minimum support, from the counted rows."""
+    sets = jobs.scenario_itemsets(view(spark, sf_dir, "incidenti"))
     found = count_itemsets(sets, min_items=2, min_support=0.02)
     return found.select(_joined("items").alias("items"), "n")
 
@@ -297,6 +340,23 @@ def rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_lines(rules.withColumn("score", F.round("score", 4).cast("decimal(18,4)")))
 
 
+@query
+def scenario_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario rules as text lines with the inverse-log score; infinite scores as such."""
+    rules = jobs.scenario_rules(view(spark, sf_dir, "incidenti"))
+    number = F.round("score", 4).try_cast("decimal(18,4)").cast("string")
+    return rule_lines(rules.withColumn("score", F.coalesce(number, F.lit("Infinity"))))
+
+
+@query
+def rules_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Driver rules written as text, read back, with the number that the sink reports."""
+    rules = jobs.driver_rules(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"))
+    path = scratch(spark, "rules")
+    kept = save_rules(rules.withColumn("score", F.round("score", 4).cast("decimal(18,4)")), path)
+    return spark.read.text(path).withColumn("kept", F.lit(kept).cast("long"))
+
+
 # --- scalars over whole columns ----------------------------------------------
 
 
@@ -356,8 +416,9 @@ def group_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def clean_group_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers per group after trimming every text once on load."""
-    accidents = view(spark, sf_dir, "incidenti")
-    accidents = accidents.withColumns({c: java_trim(c) for c in accidents.columns})
+    path = scratch(spark, "incidenti")
+    view(spark, sf_dir, "incidenti").write.parquet(path)
+    accidents = load(spark, "incidenti", path, clean_strings=True)
     return jobs.drivers_by_group(accidents, view(spark, sf_dir, "persone"))
 
 
@@ -366,13 +427,13 @@ def clean_group_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quotes_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "grezzi").filter("entity = 'persone'")
+    rows = view(spark, sf_dir, "grezzi")
     return rows.select("file_path", strip_stray_quotes("value", FEW_QUOTES).alias("value"))
 
 
 @query
 def quotes_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "grezzi").filter("entity = 'persone'")
+    rows = view(spark, sf_dir, "grezzi")
     return rows.select("file_path", strip_stray_quotes("value", MANY_QUOTES).alias("value"))
 
 
@@ -388,11 +449,30 @@ def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(repair_lines(view(spark, sf_dir, "grezzi")), {"entity": "entity"})
 
 
+_RAW_FIELDS = {
+    "incidenti": ("ID", "Via", "NaturaIncidente", "Gruppo"),
+    "persone": ("IDProtocollo", "Sesso", "Nome"),
+}
+
+
+def _both_entities(lines: DataFrame, *rest: str) -> DataFrame:
+    """The good records of both entities: ``entity``, ``rest``, and their fields by place."""
+    out = None
+    for entity, names in _RAW_FIELDS.items():
+        own = lines.filter(F.col("entity") == entity).select("entity", *rest, "value")
+        parsed = good_records(parse_records(own, S.text_schema(*names)))
+        cells = [F.col(n) for n in names] + [F.lit(None).cast("string")] * (4 - len(names))
+        flat = parsed.select(
+            "entity", *rest, *[c.alias(n) for c, n in zip(cells, ("chiave", "uno", "due", "tre"), strict=True)]
+        )
+        out = flat if out is None else out.unionByName(flat)
+    return out
+
+
 @query
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = repair_lines(view(spark, sf_dir, "grezzi").filter("entity = 'incidenti'"))
-    fields = S.text_schema("ID", "Via", "NaturaIncidente", "Gruppo")
-    return good_records(parse_records(lines.select("value"), fields))
+    """All raw lines of both entities, repaired and parsed."""
+    return _both_entities(repair_lines(view(spark, sf_dir, "grezzi").select("entity", "value")))
 
 
 @query
@@ -407,10 +487,29 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(rows.filter(is_raw_file("file_path")), keys)
 
 
+@query
+def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files that name no entity, by file."""
+    rows = view(spark, sf_dir, "grezzi").select("value", "file_path").filter(is_raw_file("file_path"))
+    return unrouted_lines(rows.withColumn("entity", file_entity("file_path")))
+
+
+@query
+def replaced_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two periods written, then one of them again without any record; what is left."""
+    path = scratch(spark, "clean")
+    period = F.when(F.col("entity") == "persone", "2015").otherwise("2014_05")
+    raw = view(spark, sf_dir, "grezzi").select("entity", period.alias("period"), "value")
+    write_clean_lines(repair_lines(raw), path, raw=raw)
+    wrappers = raw.filter((F.col("entity") == "incidenti") & F.contains("value", F.lit('"Incidenti":[')))
+    write_clean_lines(repair_lines(wrappers), path, raw=wrappers)
+    return count_by(read_clean_lines(spark, path), {"entity": "entity", "period": "period"})
+
+
 @query
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files of two entities, routed by name, repaired, stored by entity and
-    period, and the accidents among them read back and parsed."""
+    period, read back and parsed."""
     raw, clean = scratch(spark, "raw"), scratch(spark, "clean")
     lines = view(spark, sf_dir, "grezzi")
     for entity, folder in {"incidenti": "dati_2014_05", "persone": "dati_2015"}.items():
@@ -418,10 +517,10 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.filter(F.col("entity") == entity).select("value").write.option(
             "mapreduce.output.basename", entity.capitalize()
         ).text(f"{raw}/{folder}")
-    write_clean_lines(repair_lines(read_raw(spark, raw)), clean)
-    fields = S.text_schema("ID", "Via", "NaturaIncidente", "Gruppo")
-    parsed = parse_records(read_clean_lines(spark, clean, "incidenti"), fields)
-    return good_records(parsed).select("entity", "period", *fields.names)
+    # The writer's own markers are no raw files.
+    found = read_raw(spark, raw)
+    write_clean_lines(repair_lines(found), clean, raw=found)
+    return _both_entities(read_clean_lines(spark, clean), "period")
 
 
 @query

@@ -1,20 +1,31 @@
 from roadstats.sources.raw import (
     corrupt_records,
     good_records,
+    hidden_files,
     parse_records,
     read_clean_lines,
     read_entity,
     read_raw,
     repair_lines,
+    unrouted_lines,
     validation_counts,
     write_clean_lines,
 )
-from roadstats.sources.store import as_json, load, load_baseline, save_documents, save_rules
+from roadstats.sources.store import (
+    as_json,
+    bad_baseline,
+    load,
+    load_baseline,
+    save_documents,
+    save_rules,
+)
 
 __all__ = [
     "as_json",
+    "bad_baseline",
     "corrupt_records",
     "good_records",
+    "hidden_files",
     "load",
     "load_baseline",
     "parse_records",
@@ -24,6 +35,7 @@ __all__ = [
     "repair_lines",
     "save_documents",
     "save_rules",
+    "unrouted_lines",
     "validation_counts",
     "write_clean_lines",
 ]

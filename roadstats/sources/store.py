@@ -21,6 +21,7 @@ def load(
     fmt: str = "parquet",
     keep_extra: bool = False,
     clean_strings: bool = False,
+    extra: T.StructType | None = None,
     **options: str,
 ) -> DataFrame:
     """An entity collection with the columns of its schema, all as text.
@@ -28,11 +29,15 @@ def load(
     ``fmt`` is any Spark data source (parquet, orc, json, or a connector on the
     classpath). Typed columns are cast, missing ones are NULL, and others are
     dropped unless ``keep_extra``; only columns a job uses are read in the end.
+    Files without types are read by the schema and the ``extra`` fields, with no
+    pass to infer them.
     """
     schema = S.ENTITIES[entity]
     reader = spark.read.format(fmt).options(**options)
-    if fmt in _UNTYPED and not keep_extra:
-        reader = reader.schema(schema)
+    if fmt in _UNTYPED:
+        if keep_extra and extra is None:
+            raise ValueError(f"name the extra fields of {fmt} files")
+        reader = reader.schema(T.StructType([*schema, *(extra or [])]))
     df = reader.load(path)
     present = set(df.columns)
     cols = [
@@ -45,11 +50,35 @@ def load(
     return df.select(*cols, *extra)
 
 
+def _baseline_lines(spark: SparkSession, path: str) -> DataFrame:
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in S.BASELINE])
+    return spark.read.schema(text).csv(path).withColumn("number", F.col("freq").try_cast("double"))
+
+
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     """``item, freq`` from comma files without header.
 
+    A line without an item or a readable frequency raises; :func:`bad_baseline`
+    lists such lines.
     """
-    return spark.read.schema(S.BASELINE).csv(path).dropna()
+    lines = _baseline_lines(spark, path)
+    told = F.concat(
+        F.lit("unreadable baseline line: "), F.concat_ws(",", F.col("item"), F.col("freq"))
+    )
+    good = F.col("item").isNotNull() & F.col("number").isNotNull()
+    return lines.select(
+        F.when(good, F.col("item")).otherwise(F.raise_error(told)).alias("item"),
+        F.when(good, F.col("number")).otherwise(F.raise_error(told).cast("double")).alias("freq"),
+    )
+
+
+def bad_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a baseline file that :func:`load_baseline` refuses, as text."""
+    return (
+        _baseline_lines(spark, path)
+        .filter(F.col("item").isNull() | F.col("number").isNull())
+        .select("item", "freq")
+    )
 
 
 def save_documents(

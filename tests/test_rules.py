@@ -97,16 +97,71 @@ def test_min_support_uses_fpgrowth(rows):
 def test_engine_checks(rows):
     wide = rows([([str(i) for i in range(9)],)], "items array<string>")
     with pytest.raises(PySparkException):
-        count_itemsets(wide).collect()
-    with pytest.raises(PySparkException):
-        count_itemsets(wide, engine="fpgrowth").collect()
-    assert count_itemsets(wide, max_width=9).count() == 2**9 - 1
-    with pytest.raises(ValueError):
-        count_itemsets(wide, min_support=0.1, engine="powerset")
+        count_itemsets(wide, max_width=8).collect()
     with pytest.raises(ValueError):
         mine_rules(wide.withColumn("n", F.lit(1)), engine="fpgrowth")
     with pytest.raises(ValueError):
         mine_rules(wide, engine="other")
+    with pytest.raises(ValueError):
+        mine_rules(wide, by=["g"])
+
+
+@pytest.mark.parametrize("width", [9, 16, 17, 19])
+def test_every_subset_of_wide_rows(rows, width):
+    wide = rows([([f"i{i:02}" for i in range(width)],)], "items array<string>")
+    assert count_itemsets(wide).count() == 2**width - 1
+    if width == 9:
+        assert count_itemsets(wide, engine="fpgrowth").count() == 2**width - 1
+        assert mine_rules(wide).count() == sum(k * math.comb(width, k) for k in range(2, width + 1))
+
+
+@pytest.mark.parametrize("width", [31, 32, 33, 70])
+def test_very_wide_rows_with_a_support(rows, width):
+    """Each item but two is in one row only; no width is refused or cut."""
+    data = [([f"r{r}i{i:02}" for i in range(width - 2)] + ["x", "y"],) for r in range(4)]
+    found = count_itemsets(rows(data, "items array<string>"), min_support=0.5).collect()
+    assert {(tuple(r["items"]), r["n"]) for r in found} == {(("x",), 4), (("y",), 4), (("x", "y"), 4)}
+
+
+def test_rows_without_end_are_refused(rows):
+    with pytest.raises(PySparkException):
+        count_itemsets(rows([([str(i) for i in range(63)],)], "items array<string>")).collect()
+
+
+def test_support_on_counted_rows(rows):
+    data = sample()
+    counts, _ = brute(data)
+    sets = itemsets(rows(data, SCHEMA), FIELDS)
+    counted = sets.groupBy("items").count().withColumnRenamed("count", "n")
+    want = {s: n for s, n in counts.items() if n >= math.ceil(0.1 * len(data))}
+    for found in (
+        count_itemsets(counted, min_support=0.1),
+        count_itemsets(sets, min_support=0.1),
+        count_itemsets(sets, min_support=0.1, engine="powerset"),
+    ):
+        assert {tuple(r["items"]): r["n"] for r in found.collect()} == want
+    a = rule_dict(mine_rules(counted, min_support=0.1, min_confidence=0.3))
+    b = rule_dict(mine_rules(sets, min_support=0.1, min_confidence=0.3))
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k]) for k in a)
+
+
+def test_rules_by_group_are_each_groups_own(rows):
+    data = sample()
+    df = rows(data, SCHEMA)
+    counted = itemsets(df.groupBy(*"abcd").count(), {c: c for c in "bcd"}, weight="count", keep=["a"])
+    found = {}
+    for r in mine_rules(counted, by=["a"]).collect():
+        found.setdefault(r["a"], {})[tuple(r["antecedent"]), r["consequent"][0]] = r["confidence"]
+    for group in {row[0] for row in data}:
+        _, rules = brute([row[1:] for row in data if row[0] == group])
+        assert found[group].keys() == rules.keys()
+        assert all(math.isclose(found[group][k], rules[k]) for k in rules)
+
+
+def test_a_baseline_with_an_item_twice_gives_each_rule_once(rows):
+    rules = rows([(["a"], ["c"], 0.5)], RULES)
+    base = rows([("c", 0.25), ("c", 0.5)], "item string, freq double")
+    assert [r["score"] for r in score_rules(rules, base, "ratio").collect()] == [1.0]
 
 
 RULES = "antecedent array<string>, consequent array<string>, confidence double"

@@ -1,14 +1,18 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadstats import schema as S
 from roadstats.operators import count_by, recode_groups
 from roadstats.sources import (
+    bad_baseline,
     corrupt_records,
     good_records,
+    hidden_files,
     load,
     load_baseline,
     parse_records,
@@ -18,6 +22,7 @@ from roadstats.sources import (
     repair_lines,
     save_documents,
     save_rules,
+    unrouted_lines,
     validation_counts,
     write_clean_lines,
 )
@@ -112,7 +117,8 @@ def test_load_formats(spark, rows, tmp_path):
         got = load(spark, "veicoli", path, fmt)
         assert got.schema == S.ENTITIES["veicoli"]
         assert {tuple(r) for r in got.collect()} == {("1", "Fiat "), ("2", None)}
-        assert load(spark, "veicoli", path, fmt, keep_extra=True).columns[-1] == "Colore"
+        extra = S.text_schema("Colore")
+        assert load(spark, "veicoli", path, fmt, keep_extra=True, extra=extra).columns[-1] == "Colore"
         assert load(spark, "veicoli", path, fmt, clean_strings=True).filter("Marca = 'Fiat'").count() == 1
     assert load(spark, "persone", str(tmp_path / "parquet")).select("Sesso").distinct().count() == 1
 
@@ -127,9 +133,63 @@ def test_load_reads_only_used_columns(spark, rows, tmp_path):
 
 
 def test_baseline_file(spark, tmp_path):
-    (tmp_path / "base.txt").write_text("urto,0.25\nribaltamento,0.5\nsenza\n")
-    got = {tuple(r) for r in load_baseline(spark, str(tmp_path / "base.txt")).collect()}
+    path = tmp_path / "base.txt"
+    path.write_text("urto,0.25\nribaltamento,0.5\n")
+    got = {tuple(r) for r in load_baseline(spark, str(path)).collect()}
     assert got == {("urto", 0.25), ("ribaltamento", 0.5)}
+    path.write_text("urto,0.25\nsenza\nx,25%\n")
+    with pytest.raises(PySparkException, match="unreadable baseline line"):
+        load_baseline(spark, str(path)).collect()
+    bad = {tuple(r) for r in bad_baseline(spark, str(path)).collect()}
+    assert bad == {("senza", None), ("x", "25%")}
+    with pytest.raises(ValueError):
+        load(spark, "veicoli", str(path), "json", keep_extra=True)
+
+
+def test_several_records_in_a_line(rows):
+    lines = {
+        '{"ID":"1"},{"ID":"2"}': ["1", "2"],
+        '{"ID":"5"}{"ID":"6"}': ["5", "6"],
+        '{"ID":"7"} {"ID":"8","Gruppo":"a}{b"}': ["7", "8"],
+        '[{"ID":"9"}]': ["9"],
+        '{"ID":"10"} e altro': None,
+        '{"ID":"11"': None,
+        '{"ID":"12"},5': None,
+        "": None,
+    }
+    for line, ids in lines.items():
+        parsed = parse_records(rows([(line,)], "value string"), S.ENTITIES["incidenti"])
+        good = [r["ID"] for r in good_records(parsed).collect()]
+        assert good == (ids or [])
+        assert corrupt_records(parsed).count() == (ids is None)
+    two = rows([("incidenti", '{"ID":"7"} {"ID":"8","Gruppo":"a}{b"}')], "entity string, value string")
+    counts = validation_counts(two).first()
+    assert (counts["good"], counts["corrupt"]) == (2, 0)
+
+
+def test_charset_hidden_and_unrouted_files(spark, tmp_path):
+    folder = tmp_path / "dati_2015"
+    folder.mkdir()
+    (folder / "incidenti.txt").write_bytes('{"ID":"1","Gruppo":"velocità"},\n'.encode("latin-1"))
+    (folder / "note.txt").write_text("a\nb\n")
+    rows = good_records(read_entity(spark, str(tmp_path), "incidenti", charset="ISO-8859-1")).collect()
+    assert [r["Gruppo"] for r in rows] == ["velocità"]
+    assert [r["n"] for r in unrouted_lines(read_raw(spark, str(tmp_path))).collect()] == [2]
+    (folder / "_incidenti.json").write_text("{}")
+    assert [x.rsplit("/", 1)[1] for x in hidden_files(spark, str(tmp_path))] == ["_incidenti.json"]
+    with pytest.raises(ValueError, match="_incidenti.json"):
+        read_raw(spark, str(tmp_path))
+    assert read_raw(spark, str(tmp_path), hidden="skip").count() == 3
+
+
+def test_a_period_without_records_is_replaced(spark, rows, tmp_path):
+    schema = "entity string, period string, value string"
+    raw = rows([("persone", "2014", '{"ID":"1"},'), ("persone", "2015", '{"ID":"2"},')], schema)
+    write_clean_lines(repair_lines(raw), str(tmp_path / "out"), raw=raw)
+    again = rows([("persone", "2014", "nothing")], schema)
+    write_clean_lines(repair_lines(again), str(tmp_path / "out"), raw=again)
+    left = read_clean_lines(spark, str(tmp_path / "out")).collect()
+    assert [(r["period"], r["value"]) for r in left] == [("2015", '{"ID":"2"}')]
 
 
 def test_documents_are_overwritten(spark, rows, tmp_path):
@@ -164,3 +224,8 @@ def test_recode_groups(spark, rows):
     cw = spark.createDataFrame([("2", "1", day), ("3", "2", day)], S.CROSSWALK)
     got = [r["Gruppo"] for r in recode_groups(acc, cw, "ts").collect()]
     assert sorted(got) == ["1", "2", "2", "9"]
+    # Two reforms of one group: the next one after the accident counts, once.
+    early = dt.datetime(2012, 1, 1)
+    more = cw.unionByName(spark.createDataFrame([("2", "0", early), ("2", "x", None)], S.CROSSWALK))
+    old = rows([("2", dt.datetime(2011, 1, 1)), ("2", early), ("2", day)], "Gruppo string, ts timestamp_ntz")
+    assert [r["Gruppo"] for r in recode_groups(old, more, "ts").orderBy("ts").collect()] == ["0", "1", "2"]
