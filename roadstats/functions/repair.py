@@ -16,6 +16,10 @@ FEW_QUOTES = r':"([^"]*"(?:[^"]*")?[^"]*)"[,}]'
 # not followed by a comma or brace cannot end the value, hence no backtracking.
 MANY_QUOTES = r':"([^"},]*+(?:"(?![,}])[^"},]*+)++)"[,}]'
 
+# Values that are each the start of the next one. The first pattern takes such a
+# chain in from its end, one value a round; this one takes it at once.
+_CHAIN = r':"[^"]*+(?:":"[^"]*+)++"[,}]'
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
@@ -29,14 +33,13 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
     pass. One round does for nearly every line; a line that still matches gets
     further ones, each of which removes a quote, until nothing matches.
     """
-    regex = F.lit(pattern)
 
-    def one_round(x: Column) -> Column:
+    def one_round(x: Column, pattern: str = pattern) -> Column:
         def plain(found: Column) -> Column:
             inner = F.substring(found, F.lit(3), F.length(found) - 4)
             return F.concat(F.lit(':"'), F.replace(inner, F.lit('"'), F.lit("")), F.right(found, F.lit(2)))
 
-        values = F.transform(F.regexp_extract_all(x, regex, F.lit(0)), plain)
+        values = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), plain)
         between = F.split(x, pattern)
         none = F.lit("")
         joined = F.zip_with(
@@ -56,8 +59,13 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
         ended = F.aggregate(F.sequence(F.lit(1), quotes), start, go_on, lambda s: s["x"])
         return F.when(x.rlike(pattern), ended).otherwise(x)
 
+    def rest(x: Column) -> Column:
+        if pattern != FEW_QUOTES:
+            return to_the_end(x)
+        return F.when(x.rlike(pattern), let(one_round(x, _CHAIN), to_the_end)).otherwise(x)
+
     start = F.col(line) if isinstance(line, str) else line
-    return F.when(start.rlike(pattern), let(one_round(start), to_the_end)).otherwise(start)
+    return F.when(start.rlike(pattern), let(one_round(start), rest)).otherwise(start)
 
 
 def normalise_line(line: Column | str) -> Column:

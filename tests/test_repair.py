@@ -50,6 +50,17 @@ def test_a_line_of_many_quotes_ends(rows):
     assert time.time() - start < 60
 
 
+def test_a_long_chain_of_values_ends_soon(rows):
+    def line(n):
+        return '{"ID":"1","A"' + ':"a"' * n + ',"B":"x"y"z"}'
+
+    want = '{"ID":"1","A":"' + ":".join("a" * 60_000) + '","B":"xyz"}'
+    repaired(rows, [line(5)])
+    start = time.time()
+    assert repaired(rows, [line(60_000)]) == [want]
+    assert time.time() - start < 15
+
+
 def test_wrapper_lines_are_dropped(rows):
     df = rows([('{"Incidenti":[',), ('{"ID":"1"},',), ("]}",), (None,)], "value string")
     assert [r[0] for r in repair_lines(df).collect()] == ['{"ID":"1"}']
