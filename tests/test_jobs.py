@@ -127,6 +127,8 @@ def test_plans(spark):
         "scenario_rules": (3, 1),
         "json_repair": (0, 2),
         "baseline_freq": (1, 1),
+        # Accidents for the rules and for the baseline, persons.
+        "driver_rules": (5, 3),
         "corrupt_count": (1, 2),
     }
     for name, (exchanges, scans) in shape.items():
@@ -137,6 +139,27 @@ def test_plans(spark):
             assert word not in plan, name
 
 
+def test_plans_without_broadcast(spark):
+    """The same as shuffle joins, as large tables have them: one more exchange a side."""
+    shape = {
+        "nested_pedestrian": (5, 2),
+        "nested_drivers": (5, 2),
+        "nested_makes": (7, 3),
+        "driver_rules": (9, 3),
+        "driver_rules_by_group": (9, 3),
+        "scenario_rules_by_group": (3, 1),
+    }
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, (exchanges, scans) in shape.items():
+            plan = plan_of(spark, name)
+            assert plan.count("Exchange hashpartitioning") == exchanges, f"{name}\n{plan}"
+            assert plan.count("FileScan") == scans, f"{name}\n{plan}"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_repair_and_parse_run_once(spark):
     plan = plan_of(spark, "json_repair")
     assert plan.count("from_json(") == 2
