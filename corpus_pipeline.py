@@ -27,19 +27,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component."""
-    classes = simhash_components(docs.select("doc_id", "text"), words=3, max_bits=3, seed=42)
-    # Only the ids meet the texts; rows that repeat a kept doc_id are one document.
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each SimHash component: the one with the smallest doc_id.
+
+    A document without an id stays only where its whole component has none, the
+    one with the smallest hash of its text; rows that repeat the one kept go.
+    """
+    # A row's identity without NULLs: the join and the removal of repeated rows share one shuffle.
+    key = ["_none", "_id", "_mark"]
+    made = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")]
+    rows = docs.select(*COLUMNS, *[c.alias(n) for c, n in zip(made, key, strict=True)])
+    classes = simhash_components(rows.select("doc_id", "text", *key), words=3, max_bits=3, seed=42)
+    first = classes.groupBy("root").agg(F.min(F.struct(*key)).alias("f"))
+    return rows.join(first.select("f.*"), key, "left_semi").dropDuplicates(key).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier document has; a text left blank goes."""
-    cut = suffix_dedup(docs.select("doc_id", "text"), min_bytes=50, with_text=True)
-    texts = cut.select("doc_id", F.col("kept_text").alias("text")).filter(F.trim("text") != "")
-    rest = docs.select("doc_id", "lang", "source")
-    return texts.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix_dedup(docs, min_bytes=50, with_text=True, keep=("lang", "source"))
+    texts = cut.withColumnRenamed("kept_text", "text").filter(F.trim("text") != "")
+    return texts.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadstats.llm.common import materialize, without
@@ -167,10 +167,11 @@ def near_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 def simhash_components(
     docs: DataFrame, words: int = 3, max_bits: int = 3, seed: int = 42
 ) -> DataFrame:
-    """``docs`` without text, with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """``docs`` without text, with ``fingerprint`` and ``root`` (16 hex digits) and ``component_id``.
 
     The component is the smallest doc_id that can be reached over links of at
-    most ``max_bits`` differing bits. NULL and empty texts have fingerprint zero
+    most ``max_bits`` differing bits; ``root`` is the same for all rows of a
+    component and for no others. NULL and empty texts have fingerprint zero
     and link like any other; a NULL doc_id never names a component unless all of
     it are NULL. Repeated rows and equal doc_ids stay separate rows. An empty
     table gives an empty result. Other columns pass through.
@@ -182,8 +183,11 @@ def simhash_components(
         "root", F.coalesce("root", "fp")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    clash = without(rows, "fp", "fingerprint", "component_id")
-    return rows.join(named, "fp").select(
-        *clash, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    clash = without(rows, "fp", "fingerprint", "root", "component_id")
+
+    def digits(c: str) -> Column:
+        return F.lower(F.lpad(F.hex(c), 16, "0")).alias("fingerprint" if c == "fp" else c)
+
+    kept = rows.select("fp", *clash)
+    return kept.join(named, "fp").select(*clash, digits("fp"), digits("root"), "component_id")

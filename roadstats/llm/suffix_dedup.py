@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadstats.llm.common import parts, text_bytes, without
+from roadstats.llm.common import parts, text_bytes
 
 WORD = 8
 _NULL_ID = np.iinfo(np.int64).max
@@ -250,9 +250,7 @@ def _by_part(anchor: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` dealt to blocks (``block``), and per block the covered ``spans`` of its text."""
-    blocked = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("block"), "doc_id", "text"
-    )
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block = _block(table, min_bytes, gram)
@@ -422,43 +420,54 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
 
 
 def suffix_dedup(
-    docs: DataFrame, min_bytes: int = 50, gram: int = 24, block_bytes: int = 4 << 20, with_text: bool = False
+    docs: DataFrame,
+    min_bytes: int = 50,
+    gram: int = 24,
+    block_bytes: int = 4 << 20,
+    with_text: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
     ``with_text`` adds ``kept_text``: the remaining bytes, without characters
-    that a cut left incomplete. A NULL text counts as empty. A NULL doc_id counts
-    as larger than all others. Rows with equal doc_ids remove nothing from each
-    other. Texts shorter than ``min_bytes`` are left as they are. An empty table
-    gives an empty result.
+    that a cut left incomplete. Other columns are passed on if named in ``keep``.
+    A NULL text counts as empty. A NULL doc_id counts as larger than all others.
+    Rows with equal doc_ids remove nothing from each other. Texts shorter than
+    ``min_bytes`` are left as they are. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     n_parts = parts(spark, text_bytes(docs), block_bytes)
-    blocked, spans = covered_stretches(docs, n_parts, min_bytes, gram)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    blocked, spans = covered_stretches(plain, n_parts, min_bytes, gram)
+    counts = ("n_bytes", "n_removed", "n_spans")
 
     def cut(docs_: pa.Table, spans_: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
-        out: dict[str, list] = {name: [] for name in names}
-        if docs_.num_rows:
-            block = _block(docs_, min_bytes, gram)
-            sent = spans_.column("spans").to_pylist() if spans_.num_rows else []
-            a, b = np.frombuffer(b"".join(sent), np.uint32).reshape(-1, 2).T
-            edge = np.bincount(a, minlength=len(block.text) + 1) - np.bincount(b, minlength=len(block.text) + 1)
-            gone = np.cumsum(edge[:-1]) > 0
-            given = docs_.column("doc_id").to_pylist()
-            for row, end, n in zip(block.rows, block.ends.tolist(), block.lengths.tolist(), strict=True):
-                mask, text = gone[end - n : end], block.text[end - n : end]
-                kept = text[~mask].tobytes()
-                out["doc_id"].append(given[row])
-                out["n_bytes"].append(n)
-                out["n_removed"].append(n - len(kept))
-                out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    out["kept_text"].append(kept.decode(errors="ignore"))
-        kinds = dict(zip(names, [pa.int64()] * 4 + [pa.string()] * 2, strict=False))
-        return pa.table({n: pa.array(out[n], kinds[n]) for n in names})
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept_text string" if with_text else ""
+        block = _block(docs_, min_bytes, gram)
+        sent = spans_.column("spans").to_pylist() if spans_.num_rows else []
+        a, b = np.frombuffer(b"".join(sent), np.uint32).reshape(-1, 2).T
+        edge = np.bincount(a, minlength=len(block.text) + 1) - np.bincount(b, minlength=len(block.text) + 1)
+        gone = np.cumsum(edge[:-1]) > 0
+        numbers, kept = {c: [] for c in counts}, []
+        for end, n in zip(block.ends.tolist(), block.lengths.tolist(), strict=True):
+            mask, text = gone[end - n : end], block.text[end - n : end]
+            kept.append(text[~mask].tobytes())
+            numbers["n_bytes"].append(n)
+            numbers["n_removed"].append(n - len(kept[-1]))
+            numbers["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+        rows = pa.array(block.rows, pa.int64())
+        out = {"doc_id": docs_.column("doc_id").take(rows)}
+        out |= {c: pa.array(numbers[c], pa.int64()) for c in counts}
+        out["kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+        if with_text:
+            out["kept_text"] = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+        return pa.table(out | {c: docs_.column(c).take(rows) for c in keep})
+
+    schema = plain.select("doc_id").schema
+    for c in counts:
+        schema = schema.add(c, "long")
+    schema = schema.add("kept_sha256", "string")
+    if with_text:
+        schema = schema.add("kept_text", "string")
+    for c in keep:
+        schema = schema.add(plain.schema[c])
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)

@@ -61,6 +61,21 @@ def test_pipeline_stages(spark):
     assert packed.agg({"length": "max"}).first()[0] <= 1024
 
 
+def test_stages_take_rows_without_id_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.filter("n_chars > 300").limit(30)
+    odd = some.unionByName(some).unionByName(
+        spark.createDataFrame([(None, " ".join(f"lone{i}" for i in range(60)), None, None, 400)], docs.schema)
+    )
+    near = corpus_pipeline.near_duplicates(spark, odd, SF)
+    ids = [r[0] for r in near.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and None in ids
+    cut = corpus_pipeline.repeated_passages(spark, odd, SF)
+    assert cut.filter("doc_id IS NULL").count() == 1 and cut.dtypes == docs.dtypes
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_runs_twice_alike(spark):
     a = corpus_pipeline.run(spark, SF)
     b = corpus_pipeline.run(spark, SF)

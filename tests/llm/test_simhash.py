@@ -110,6 +110,7 @@ def test_components_of_documents(documents):
     expected = classes_by_hand(list(prints.values()))
     assert same_partition([found[i]["component_id"] for i in prints], expected)
     assert found[8]["component_id"] == 7 and found[5]["component_id"] == 2
+    assert same_partition([found[i]["root"] for i in prints], expected)
 
 
 def test_odd_rows_and_empty_table(documents):

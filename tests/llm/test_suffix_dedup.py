@@ -101,5 +101,13 @@ def test_text_that_is_left(documents):
     assert left == {1: "start " + shared, 2: " end", 3: "short"}
 
 
+def test_other_columns_are_passed_on(documents):
+    rows = [(2, "b" * 60, "en", "s2"), (1, "b" * 60, "de", "s1"), (None, None, None, "s3")]
+    kept = suffix_dedup(documents(*rows), keep=("lang", "source")).collect()
+    assert {(r["doc_id"], r["n_removed"], r["lang"], r["source"]) for r in kept} == {
+        (2, 60, "en", "s2"), (1, 0, "de", "s1"), (None, 0, None, "s3")
+    }
+
+
 def test_empty_table(documents):
     assert suffix_dedup(documents((1, "x")).limit(0)).count() == 0
