@@ -66,15 +66,15 @@ def rake(
     targets: Mapping[str, DataFrame],
     keep: float,
     sweeps: int = 60,
-    tolerance: float = 1e-4,
+    tolerance: float = 5e-4,
     block: int = 4,
 ) -> DataFrame:
     """``cells`` with ``weight``: at most ``tokens``, and raked to the targets of every dimension.
 
     The weights' sum aims at ``keep`` of all tokens. A value without a target
     gets none. Sweeps end when no dimension's sum is off by more than
-    ``tolerance`` of all weight, or after ``sweeps``; targets that the cells
-    cannot meet are then met as far as they can.
+    ``tolerance`` of all weight, when a sweep moves no more than that, or after
+    ``sweeps``; targets that the cells cannot meet are met as far as they can.
     """
     aim = F.sum("tokens").over(Window.partitionBy()) * keep
     held = cells.withColumn("_aim", aim)
@@ -83,9 +83,13 @@ def rake(
         held = held.join(aims, f"_{d}", "left")
     held = held.withColumns({f"_t_{d}": F.coalesce(f"_t_{d}", F.lit(0.0)) * F.col("_aim") for d in targets})
     held = materialize(held.withColumn("weight", F.col("tokens") * keep), "cells")
+    # Cells are few: a shuffle needs a task for each 100,000 of them.
+    tasks = 1 + held.count() // 100_000
     for _ in range(0, sweeps, block):
         for _ in range(block):
+            held = held.withColumn("_last", F.col("weight"))
             for d in targets:
+                held = held.repartition(tasks, f"_{d}")
                 sums = F.sum("weight").over(Window.partitionBy(f"_{d}"))
                 scaled = F.when(sums > 0, F.col("weight") * F.col(f"_t_{d}") / sums).otherwise(0.0)
                 held = held.withColumn("weight", F.least(scaled, F.col("tokens")))
@@ -94,10 +98,12 @@ def rake(
             F.abs(F.sum("weight").over(Window.partitionBy(f"_{d}")) - F.col(f"_t_{d}")) / F.col("_aim")
             for d in targets
         ]
-        worst = held.select(F.greatest(*errors, F.lit(0.0)).alias("e")).agg(F.max("e")).first()[0]
-        if worst is None or worst <= tolerance:
+        moved = F.abs(F.col("weight") - F.col("_last")) / F.col("_aim")
+        worst = held.select(F.greatest(*errors, F.lit(0.0)).alias("e"), moved.alias("m"))
+        error, change = worst.agg(F.max("e"), F.sum("m")).first()
+        if error is None or min(error, change) <= tolerance:
             break
-    return held.drop("_aim", *[f"_t_{d}" for d in targets])
+    return held.drop("_aim", "_last", *[f"_t_{d}" for d in targets])
 
 
 def mix(
