@@ -5,12 +5,14 @@ the response; the others become revisits that name it. Tasks write archive
 files to the shared folder and return the index: file, offset, length, URL and
 digest of each record. Reading goes by the index: the selected entries are
 sorted by file and offset, neighbouring byte ranges are read at once, and the
-records parsed and checked against their digest.
+records parsed and checked against their digest. Each record is a gzip member of
+its own, as WARC readers expect, so that it can be read alone.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -154,7 +156,7 @@ def write_archives(
 
         def close() -> pa.RecordBatch:
             data = b"".join(held)
-            name = f"{uuid.uuid4().hex}.warc"
+            name = f"{uuid.uuid4().hex}.warc.gz"
             with store.open_output_stream(f"{root}/.{name}") as out:
                 out.write(data)
             store.move(f"{root}/.{name}", f"{root}/{name}")
@@ -170,9 +172,10 @@ def write_archives(
         for batch in batches:
             for page in batch.to_pylist():
                 payload = page["html"].encode()
-                raw = write_record(
+                record = write_record(
                     page["page_id"], page["url"], payload, page["refers_to"], page["refers_to"] is None, date
                 )
+                raw = gzip.compress(record, 5, mtime=0)
                 rows.append((size, len(raw), page["url"], base32_digest(payload)))
                 held.append(raw)
                 size += len(raw)
@@ -227,7 +230,7 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) ->
             last = max(a + n for a, n in held)
             with store.open_input_file(path) as archive:
                 raw = archive.read_at(last - start, start)
-            found = [read_record(raw[a - start : a - start + n]) for a, n in held]
+            found = [read_record(gzip.decompress(raw[a - start : a - start + n])) for a, n in held]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in found], kind) for k, kind in KINDS.items()], names=list(KINDS)
             )
