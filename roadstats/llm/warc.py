@@ -157,7 +157,7 @@ def write_archives(
         def close() -> pa.RecordBatch:
             data = b"".join(held)
             name = f"{uuid.uuid4().hex}.warc.gz"
-            with store.open_output_stream(f"{root}/.{name}") as out:
+            with store.open_output_stream(f"{root}/.{name}", compression=None) as out:
                 out.write(data)
             store.move(f"{root}/.{name}", f"{root}/{name}")
             arrays = [pa.array([f"{folder}/{name}"] * len(rows), pa.string())]
