@@ -154,10 +154,15 @@ def learn(
     one number for each piece and language.
     """
     hashes, longest = piece_hashes(pieces)
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["lang"] for r in sizes.collect())
+    # One row for each language.
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(sizes)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.join(sizes, "lang").filter(draw * F.col("n") < docs_a_language)
+    # The sizes are part of the filter, so no text is shuffled for the draw.
+    size = F.lit(0)
+    for lang, n in sizes.items():
+        size = F.when(F.col("lang") == lang, n).otherwise(size)
+    drawn = labelled.filter(draw * size < docs_a_language)
     words = drawn.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
     model = Model(languages, hashes, longest, np.full((len(hashes), len(languages)), 1 / len(hashes)))
