@@ -15,7 +15,7 @@ from roadstats.llm.quality import quality_rules
 from roadstats.llm.shards import sampled_shards
 from roadstats.llm.simhash import simhash_components
 from roadstats.llm.suffix_dedup import suffix_dedup
-from roadstats.llm.syncmers import character_anchors, edited_fingerprints
+from roadstats.llm.syncmers import whole_fingerprints
 from roadstats.llm.warc import archive_folder, read_records, write_archives
 
 
@@ -72,7 +72,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return edited_fingerprints(docs, of_text=character_anchors)
+    return whole_fingerprints(docs)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
