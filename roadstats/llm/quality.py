@@ -1,8 +1,10 @@
 """Quality rules with thresholds that follow each language and source.
 
 Every metric gets a mergeable quantile sketch (KLL) per language and source. A
-document is rejected where a metric lies outside its group's fence: the upper
-quartile plus (or the lower minus) a multiple of the quartile distance. Sketches
+document is rejected where a metric lies outside its group's fence: the median
+plus (or minus) a multiple of the distance from the 5 % quantile to the median,
+the half that junk above does not reach. A source's fence is never wider than its
+language's, so that a source full of junk cannot lift its own. Sketches
 of groups with few documents are merged with those of their language and, if
 that has few as well, of all documents, so that small groups borrow a fence.
 
@@ -25,7 +27,11 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Fence:
-    """``spread`` is the least distance of a fence from its quartile."""
+    """``times`` the lower spread, ``spread`` at least, is the distance of a fence from the median.
+
+    Where over half of the documents have none of what a metric counts, the sketch
+    has no lower spread and ``spread`` alone is the distance.
+    """
 
     metric: str
     spread: float
@@ -34,12 +40,11 @@ class Fence:
 
 
 FENCES = (
-    Fence("mean_word_chars", 1.5, low=True),
+    Fence("mean_word_chars", 0.5, low=True),
     Fence("symbol_share", 0.05),
     Fence("dup_line_share", 0.4),
-    Fence("repeat_share", 0.3),
-    Fence("echo_share", 0.2),
-    Fence("capital_share", 0.3),
+    Fence("echo_share", 0.08, times=16.0),
+    Fence("capital_share", 0.05, times=12.0),
 )
 
 
@@ -134,7 +139,8 @@ def thresholds(featured: DataFrame, fences: tuple[Fence, ...] = FENCES, least: i
 
     Sketches cover all documents that pass the base rules. A group with fewer
     than ``least`` of them uses the sketch of its language, and a language with
-    fewer the sketch of all.
+    fewer the sketch of all. A group's own fence is capped by the one it would
+    use otherwise.
     """
     names = [f.metric for f in fences]
     sketches = [F.kll_sketch_agg_double(F.col(m), F.lit(k)).alias(m) for m in names]
@@ -152,18 +158,20 @@ def thresholds(featured: DataFrame, fences: tuple[Fence, ...] = FENCES, least: i
     whole = merged([], "all")
     every = whole.select(F.struct(*whole.columns)).scalar()
     wide = own.join(merged(["lang_key"], "lang"), "lang_key").withColumn("every", every)
+
+    def limits(sketch: Column, f: Fence) -> tuple[Column, Column]:
+        few, mid = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.05, 0.5))
+        reach = F.greatest(f.times * (mid - few), F.lit(f.spread))
+        return mid + reach, mid - reach
+
     out = [F.col("lang_key"), F.col("source_key")]
     for f in fences:
-        sketch = (
-            F.when(F.col("n") >= least, F.col(f.metric))
-            .when(F.col("n_lang") >= least, F.col(f"{f.metric}_lang"))
-            .otherwise(F.col(f"every.{f.metric}_all"))
-        )
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(f.times * (high - low), F.lit(f.spread))
-        out.append((high + reach).alias(f"high_{f.metric}"))
+        above = F.when(F.col("n_lang") >= least, F.col(f"{f.metric}_lang")).otherwise(F.col(f"every.{f.metric}_all"))
+        own_high, own_low = limits(F.when(F.col("n") >= least, F.col(f.metric)).otherwise(above), f)
+        high, low = limits(above, f)
+        out.append(F.least(own_high, high).alias(f"high_{f.metric}"))
         if f.low:
-            out.append((low - reach).alias(f"low_{f.metric}"))
+            out.append(F.greatest(own_low, low).alias(f"low_{f.metric}"))
     return wide.select(*out)
 
 

@@ -80,3 +80,23 @@ def test_empty_table(documents):
 @pytest.mark.parametrize("keep_text", [True, False])
 def test_text_is_kept_on_request(documents, keep_text):
     assert ("text" in quality_rules(documents((1, "x")), keep_text=keep_text).columns) == keep_text
+
+
+def test_a_source_full_of_junk_does_not_lift_its_fence(documents):
+    good = [(i, f"w{i} " + " ".join(f"word{i % 7}x{k}" for k in range(40)), "en", "big") for i in range(600)]
+    fine = [(1000 + i, f"w{i} " + " ".join(f"word{i % 7}x{k}" for k in range(40)), "en", "bad") for i in range(150)]
+    junk = [(2000 + i, f"w{i} " + " ".join(f"wo{i}x{k}#%" for k in range(40)), "en", "bad") for i in range(100)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(documents(*good, *fine, *junk)).collect()}
+    assert all(kept[i] for i, *_ in good + fine) and not any(kept[i] for i, *_ in junk)
+
+
+def test_the_width_of_a_fence_follows_its_group(documents):
+    def text(i, chars):
+        return " ".join(f"{i % 10}{k:03d}".ljust(chars, "x") for k in range(40))
+
+    narrow = [(i, text(i, 5), "en", "narrow") for i in range(300)]
+    wide = [(1000 + i, text(i, 5 + i % 5), "fr", "wide") for i in range(300)]
+    odd = [(5000, text(3, 6), "en", "narrow"), (5001, text(3, 13), "fr", "wide")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(documents(*narrow, *wide, *odd)).collect()}
+    assert all(kept[i] for i, *_ in narrow + wide)
+    assert not kept[5000] and kept[5001]
