@@ -13,6 +13,7 @@ from roadstats.llm.manifest import document_manifest
 from roadstats.llm.mixing import mix
 from roadstats.llm.packing import best_fit_packing
 from roadstats.llm.quality import quality_rules
+from roadstats.llm.quality_model import quality_scores
 from roadstats.llm.shards import sampled_shards
 from roadstats.llm.simhash import simhash_components
 from roadstats.llm.suffix_dedup import suffix_dedup
@@ -113,6 +114,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sampled_shards": op2_sampled_shards,
@@ -125,4 +131,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
 }

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from roadstats.llm import quality_model as Q
+from roadstats.llm.queries import op12_quality_classifier
+from tests.llm.conftest import ODD
+
+SF = "/root/testdata/sf0.01"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_held_out_documents_are_judged_right(spark):
+    found = op12_quality_classifier(spark, SF).toPandas()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(found["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in found["doc_id"]])
+    assert found["score"].between(0, 1).all()
+    assert (found["predicted"] == (found["score"] >= 0.5)).all()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    judged = found[found["held_out"]].merge(labels, on="doc_id")
+    assert (judged["predicted"] == judged["quality"]).mean() > 0.97
+    bad = judged.loc[judged["quality"] == 0, "score"].to_numpy()[:, None]
+    good = judged.loc[judged["quality"] == 1, "score"].to_numpy()[None, :]
+    assert ((bad < good) + 0.5 * (bad == good)).mean() > 0.98
+
+
+def test_labels_of_held_out_documents_teach_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(Q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (Q.quality_scores(docs, t).toPandas().sort_values("doc_id") for t in (labels, turned))
+    # Sums may be added in another order.
+    assert np.allclose(a["score"], b["score"], atol=1e-6)
+
+
+def _rows(spark, n=400, seed=3):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, len(Q.STATISTICS)))
+    y = (x[:, 0] + x[:, 1] ** 2 - 1 + 0.3 * draw.normal(size=n) > 0).astype(float)
+    weight = draw.integers(1, 3, n).astype(float)
+    data = [(i, x[i].tolist(), float(y[i]), float(weight[i])) for i in range(n)]
+    return spark.createDataFrame(data, "doc_id long, statistics array<double>, label double, weight double"), x, y, weight
+
+
+def test_partition_sums_against_one_matrix(spark):
+    rows, x, y, weight = _rows(spark)
+    draw, k = np.random.default_rng(0), len(Q.STATISTICS)
+    model = Q.Model(x.mean(0), x.std(0), draw.normal(size=(k, 24)), draw.uniform(size=24), np.zeros(25), *[np.zeros(0)] * 2)
+    square, right = Q._normal_equations(rows.repartition(7), model)
+    z = Q.fourier(x, model)
+    assert np.allclose(square, z.T @ (z * weight[:, None])) and np.allclose(right, z.T @ (weight * y))
+
+
+def test_features_approximate_a_gaussian_kernel(spark):
+    draw, k, n = np.random.default_rng(5), len(Q.STATISTICS), 40_000
+    x = draw.normal(size=(20, k))
+    model = Q.Model(np.zeros(k), np.ones(k), draw.normal(0, 1 / np.sqrt(k), (k, n)), draw.uniform(0, 2 * np.pi, n), np.zeros(n + 1), *[np.zeros(0)] * 2)
+    z = Q.fourier(x, model)[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * k))
+    assert np.abs(z @ z.T - exact).max() < 0.03
+
+
+def test_the_fit_is_calibrated_and_monotone(spark):
+    rows, x, y, _ = _rows(spark, 3000)
+    model = Q.learn(rows)
+    assert (np.diff(model.at) >= 0).all() and (np.diff(model.to) >= 0).all()
+    fresh, _, truth, _ = _rows(spark, 2000, seed=9)
+    score = Q.predict(fresh, model).toPandas().sort_values("doc_id")["score"].to_numpy()
+    assert ((score >= 0.5) == (truth == 1)).mean() > 0.8
+    for low, high in ((0, 0.3), (0.3, 0.7), (0.7, 1.01)):
+        inside = (score >= low) & (score < high)
+        assert abs(score[inside].mean() - truth[inside].mean()) < 0.1
+
+
+def test_odd_rows(spark, documents):
+    docs = documents(*ODD)
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (None, 0, 0), (6, None, 0), (8, 7, 1), (99, 1, 0)], LABELS)
+    found = Q.quality_scores(docs, labels)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert sorted(r[0] or 0 for r in found.collect()) == sorted(r[0] or 0 for r in ODD)
+    assert found.filter("score IS NULL OR score < 0 OR score > 1").isEmpty()
+    none = Q.quality_scores(docs, labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in none} == {(0.5, 1)} and len(none) == len(ODD)
+    assert Q.quality_scores(docs.limit(0), labels).isEmpty()
+    one = Q.quality_scores(docs, labels.filter("quality = 1")).collect()
+    assert all(r["predicted"] == 1 for r in one)
+
+
+@pytest.mark.parametrize("text", [None, "", " \n ", "a", "|", "A! " * 9, "x" * 60_000, "ß 𝄞\n\n"])
+def test_statistics_are_finite(text):
+    found = Q.statistics(text)
+    assert len(found) == len(Q.STATISTICS) and np.isfinite(found).all()
+    if not (text or "").strip():
+        assert found[1] == 0 and not any(found[3:])
