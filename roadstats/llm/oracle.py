@@ -102,8 +102,42 @@ WITH RECURSIVE leaves AS (
 SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = digest AS verified
 FROM placed JOIN subroots USING (g) JOIN ends USING (id) LEFT JOIN proofs USING (id), upper_tree WHERE upper_tree.n = 1"""
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM split GROUP BY lang
+), spans AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS w
+  FROM split, range(1, 5) AS s(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, w, count(*) AS a FROM spans GROUP BY lang, k, w HAVING count(*) >= 30
+), cuts AS (
+  SELECT p.lang AS lang, p.w AS w, p.k AS k, p.a AS a, x.k AS cut, x.a AS l, y.a AS r,
+    cast(2000000 AS hugeint) * p.a // (x.a + y.a) AS score
+  FROM f AS p JOIN f AS x ON x.lang = p.lang AND x.k < p.k AND x.w = p.w[1:x.k]
+    JOIN f AS y ON y.lang = p.lang AND y.k = p.k - x.k AND y.w = p.w[x.k + 1:]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, w[i:i + m - 1] AS w, max(a) AS a FROM f, range(2, 4) AS x(m), range(1, 4) AS y(i)
+  WHERE k > m AND i + m - 1 <= k GROUP BY ALL
+), kept AS (
+  SELECT b.lang AS lang, array_to_string(b.w, ' ') AS phrase, b.a AS a, l, r, score FROM best AS b
+  LEFT JOIN inside AS i ON i.lang = b.lang AND i.w = b.w WHERE i.a IS NULL OR 100 * i.a < 80 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op1_chat_format": _CHAT,
     "op4_warc": _WARC,
     "op11_merkle_manifest": _MERKLE,
+    "op13_collocations": _PHRASES,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadstats.llm.chat import TURN_ROWS, chat_digest, format_chat, rows_to_turns
+from roadstats.llm.collocations import collocations
 from roadstats.llm.common import read
 from roadstats.llm.langid import held_out, learn, predict, vocabulary
 from roadstats.llm.manifest import document_manifest
@@ -119,6 +120,11 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("lang", "text")
+    return collocations(docs, least=30, longest=4, top=2000)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sampled_shards": op2_sampled_shards,
@@ -132,4 +138,5 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_quality_classifier": op12_quality_classifier,
+    "op13_collocations": op13_collocations,
 }
