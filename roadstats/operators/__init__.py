@@ -1,4 +1,5 @@
 from roadstats.operators.counts import count_by, count_dimensions, rank_in_group, top_groups
+from roadstats.operators.integrity import childless_keys, integrity, key_presence, orphan_keys
 from roadstats.operators.joins import join_for_count
 from roadstats.operators.nest import nest, nest_dimensions, nest_map
 from roadstats.operators.recode import recode_groups
@@ -14,25 +15,34 @@ from roadstats.operators.rules import (
     rule_lines,
     score_rules,
 )
+from roadstats.operators.support import supported_itemsets, supported_rules
+from roadstats.operators.totals import with_totals
 
 __all__ = [
     "baseline_from_counts",
     "baseline_from_rules",
+    "childless_keys",
     "count_by",
     "count_dimensions",
     "count_itemsets",
     "filter_rules",
+    "integrity",
     "inverse_log_score",
     "itemsets",
     "join_for_count",
+    "key_presence",
     "mine_rules",
     "nest",
     "nest_dimensions",
     "nest_map",
+    "orphan_keys",
     "rank_in_group",
     "ratio_score",
     "recode_groups",
     "rule_lines",
     "score_rules",
+    "supported_itemsets",
+    "supported_rules",
     "top_groups",
+    "with_totals",
 ]

@@ -14,15 +14,19 @@ def nest(
     fields: Mapping[str, str],
     arrays: Sequence[str],
     count: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Nest flat rows below ``parents``, outermost parent first, to any depth.
 
     ``fields`` maps the names in the innermost structs to columns and
     ``arrays[i]`` names the array below ``parents[i]``. The innermost list is
     sorted by ``count`` descending and then by its fields, or by its fields
-    alone; every other list is sorted by its label. Meant for rows that are
+    alone; every other list is sorted by its label. ``total`` names a field that
+    holds the sum of ``count`` below each parent. Meant for rows that are
     already counted: a document then has one entry per category, not per record.
     """
+    if total and not count:
+        raise ValueError("a total needs the count that it sums")
     if len(parents) != len(arrays):
         raise ValueError("one array name per parent is needed")
     # Everything below one outermost parent ends in one document, so one
@@ -32,9 +36,10 @@ def nest(
     key = F.struct(*([(-F.col(count)).alias("_n")] if count else []), entry.alias("_entry"))
     for depth in range(len(parents), 0, -1):
         keys, array = list(parents[:depth]), arrays[depth - 1]
-        df = df.groupBy(*keys).agg(F.sort_array(F.collect_list(key)).alias(array))
+        sums = [F.sum(count if depth == len(parents) else total).alias(total)] if total else []
+        df = df.groupBy(*keys).agg(*sums, F.sort_array(F.collect_list(key)).alias(array))
         df = df.withColumn(array, F.transform(array, lambda x: x["_entry"]))
-        key = F.struct(F.struct(F.col(keys[-1]), F.col(array)).alias("_entry"))
+        key = F.struct(F.struct(F.col(keys[-1]), *([total] if total else []), F.col(array)).alias("_entry"))
     return df
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadstats.operators.counts import count_by
+from roadstats.operators.support import supported_itemsets, supported_rules
 
 # Bits of a subset's mask that one array lists.
 _STRETCH = 16
@@ -84,11 +85,17 @@ def _subsets(transactions: DataFrame, max_width: int | None, by: Sequence[str] =
     return listed.filter("mask > 0").select(chosen(1).alias("items"), chosen(0).alias("rest"), "n", *by)
 
 
-def _engine(engine: str, transactions: DataFrame, min_support: float) -> str:
+def _engine(engine: str, transactions: DataFrame, min_support: float, by: Sequence[str] = ()) -> str:
     if engine == "auto":
+        if by:
+            return "levelwise" if min_support else "powerset"
         return "powerset" if min_support == 0 or "n" in transactions.columns else "fpgrowth"
-    if engine not in ("powerset", "fpgrowth"):
+    if engine not in ("powerset", "fpgrowth", "levelwise"):
         raise ValueError(f"unknown engine {engine!r}")
+    if by and engine == "powerset" and min_support:
+        raise ValueError("a support within groups needs the levelwise engine")
+    if by and engine == "fpgrowth":
+        raise ValueError("fpgrowth knows no groups")
     return engine
 
 
@@ -111,19 +118,27 @@ def count_itemsets(
     min_support: float = 0.0,
     engine: str = "auto",
     max_width: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``items, n``: every itemset with at least ``min_items`` items and its number of records.
 
     ``powerset`` lists the subsets of the counted rows in plain DataFrame steps,
     with or without a support; ``fpgrowth`` is Spark ML's, takes one row per
     record and suits wide rows with a minimum support. ``auto`` takes the second
-    for such rows only. A ``max_width`` makes ``powerset`` fail on wider rows.
+    for such rows only. ``levelwise`` takes wide rows with a support as well, counted
+    or not, and the support may be one of each value of the columns ``by``, which
+    come first in the result; ``auto`` takes it for groups with a support. A
+    ``max_width`` makes ``powerset`` fail on wider rows.
     """
-    if _engine(engine, transactions, min_support) == "fpgrowth":
+    chosen = _engine(engine, transactions, min_support, by)
+    if chosen == "levelwise":
+        out = supported_itemsets(transactions, min_support, by)
+    elif chosen == "fpgrowth":
         found = _fit(transactions, min_support, 0.0).freqItemsets
         out = found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"))
     else:
-        out = count_by(_subsets(transactions, max_width), {"items": "items"}, "n", weight="n")
+        keys = {k: k for k in [*by, "items"]}
+        out = count_by(_subsets(transactions, max_width, by), keys, "n", weight="n")
         if min_support:
             out = out.filter(F.col("n") >= _least(transactions, min_support))
     return out.filter(F.size("items") >= min_items)
@@ -143,14 +158,15 @@ def mine_rules(
     subset and to every (subset, left-out item) pair, so no self-join of the
     itemsets is needed. Engines as in :func:`count_itemsets`. With ``by``
     (columns of counted rows) rules are mined within each of its values, in the
-    same pass; the columns come first in the result.
+    same pass; the columns come first in the result. With a support as well, it is
+    one of each value's records, and ``levelwise`` finds the itemsets.
     """
-    if by:
-        if "n" not in transactions.columns:
-            raise ValueError("rules by group need counted rows")
-        if min_support or engine == "fpgrowth":
-            raise ValueError("rules by group are mined by powerset without a support")
-    elif _engine(engine, transactions, min_support) == "fpgrowth":
+    chosen = _engine(engine, transactions, min_support, by)
+    if by and "n" not in transactions.columns:
+        raise ValueError("rules by group need counted rows")
+    if chosen == "levelwise":
+        return supported_rules(supported_itemsets(transactions, min_support, by), min_confidence, by)
+    if chosen == "fpgrowth":
         rules = _fit(transactions, min_support, min_confidence).associationRules
         return rules.select(
             F.sort_array("antecedent").alias("antecedent"), "consequent", "confidence"

@@ -34,6 +34,7 @@ from roadstats.operators import (
     nest_map,
     rank_in_group,
     score_rules,
+    with_totals,
 )
 
 
@@ -70,14 +71,31 @@ def _times(accidents: DataFrame) -> DataFrame:
     return count_by(when, keys, "n", require=["Gruppo"])
 
 
+def types_by_period(accidents: DataFrame) -> DataFrame:
+    """Accident types per municipality and year; accidents without a readable date have no year."""
+    when = parse_when(java_trim("DataOraIncidente"))
+    keys = {
+        "Gruppo": java_trim("Gruppo"),
+        "TipoIncidente": java_trim("NaturaIncidente"),
+        "period": F.coalesce(F.date_format(when["ts"], "yyyy"), F.lit("ignoto")),
+    }
+    return count_by(accidents, keys, "n", require=["Gruppo", "TipoIncidente"])
+
+
 def times_by_group(accidents: DataFrame) -> DataFrame:
     """Weekday and time band per municipality; bands ranked within the weekday."""
     return rank_in_group(_times(accidents), ["Gruppo", "Giorno"], "n", ["FasciaOraria"])
 
 
-def times_documents(accidents: DataFrame) -> DataFrame:
+def times_documents(accidents: DataFrame, total: str | None = None) -> DataFrame:
+    """``total`` names a field for the accidents of each day and municipality."""
     fields = {"FasciaOraria": "FasciaOraria", "Count": "n"}
-    return nest(_times(accidents), ["Gruppo", "Giorno"], fields, ["Info", "Info"], count="n")
+    return nest(_times(accidents), ["Gruppo", "Giorno"], fields, ["Info", "Info"], count="n", total=total)
+
+
+def times_with_totals(accidents: DataFrame) -> DataFrame:
+    """The counts of weekday and time band, those of the days and municipalities, and all."""
+    return with_totals(_times(accidents), ["Gruppo", "Giorno", "FasciaOraria"])
 
 
 def conditions_by_group(accidents: DataFrame) -> DataFrame:
@@ -127,11 +145,22 @@ def drivers_by_group(
 
 
 def drivers_documents(
-    accidents: DataFrame, persons: DataFrame, reference_year: int = S.REFERENCE_YEAR
+    accidents: DataFrame,
+    persons: DataFrame,
+    reference_year: int = S.REFERENCE_YEAR,
+    total: str | None = None,
 ) -> DataFrame:
+    """``total`` names a field for the drivers of each band and municipality."""
     flat = _drivers(accidents, persons, reference_year)
     fields = {"Sesso": "Sesso", "Count": "n"}
-    return nest(flat, ["Municipio", "FasciaEta"], fields, ["info", "Info"], count="n")
+    return nest(flat, ["Municipio", "FasciaEta"], fields, ["info", "Info"], count="n", total=total)
+
+
+def drivers_with_totals(
+    accidents: DataFrame, persons: DataFrame, reference_year: int = S.REFERENCE_YEAR
+) -> DataFrame:
+    """The counts of drivers, those of the bands and municipalities, and all."""
+    return with_totals(_drivers(accidents, persons, reference_year), ["Municipio", "FasciaEta", "Sesso"])
 
 
 def makes_by_type(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -149,6 +178,12 @@ def makes_by_type(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
     return count_by(joined, keys, "NumIncidenti", weight="n")
 
 
+def makes_with_totals(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Vehicles per make, type and surface, and the totals over any of the three."""
+    keys = ["Marca", "TipoIncidente", "FondoStradale"]
+    return with_totals(makes_by_type(accidents, vehicles), keys, "NumIncidenti", every=True)
+
+
 def makes_documents(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
     flat = makes_by_type(accidents, vehicles).withColumnRenamed("Marca", "MarcaMacchina")
     fields = {"FondoStradale": "FondoStradale", "NumIncidenti": "NumIncidenti"}
@@ -250,8 +285,35 @@ def driver_rules(
     return score_rules(rules, baseline, "ratio", threshold)
 
 
-def scenario_rules_by_group(accidents: DataFrame, score: str = "inverse_log") -> DataFrame:
-    """The scenario rules of every municipality, mined in one pass over the accidents."""
+def wide_itemsets(accidents: DataFrame) -> DataFrame:
+    """Itemsets of all described fields of an accident and its time, counted by municipality."""
+    raw = [
+        "Pavimentazione",
+        "Illuminazione",
+        "NaturaIncidente",
+        "Segnaletica",
+        "Visibilita",
+        "Traffico",
+        "FondoStradale",
+    ]
+    when = parse_when(java_trim("DataOraIncidente"))
+    keys: dict[str, Column | str] = {"Gruppo": java_trim("Gruppo"), **{c: c for c in raw}}
+    rows = accidents.select("*", when.alias("w"))
+    keys |= {"Giorno": weekday_label("w.ts"), "FasciaOraria": time_band("w.ts", "w.has_time")}
+    counted = count_by(rows, keys, "n", require=["Gruppo"])
+    fields: dict[str, Column | str] = {c: F.nullif(F.col(c), F.lit("")) for c in [*raw, "Giorno", "FasciaOraria"]}
+    fields["Pavimentazione"] = paving_class("Pavimentazione")
+    return itemsets(counted, fields, tag_fields=True, weight="n", keep=["Gruppo"])
+
+
+def scenario_rules_by_group(
+    accidents: DataFrame, score: str = "inverse_log", min_support: float = 0.0
+) -> DataFrame:
+    """The scenario rules of every municipality, mined in one pass over the accidents.
+
+    With ``min_support`` a rule's items must occur together in that share of the
+    municipality's accidents.
+    """
     raw = ["Gruppo", "Pavimentazione", "Illuminazione", "NaturaIncidente"]
     counted = count_by(accidents, {c: c for c in raw}, "n")
     counted = counted.withColumn("Gruppo", java_trim("Gruppo")).filter(is_filled("Gruppo"))
@@ -261,7 +323,8 @@ def scenario_rules_by_group(accidents: DataFrame, score: str = "inverse_log") ->
         "NaturaIncidente": "NaturaIncidente",
     }
     sets = itemsets(counted, fields, weight="n", keep=["Gruppo"])
-    return score_rules(filter_rules(mine_rules(sets, by=["Gruppo"]), min_antecedent=2), None, score)
+    rules = mine_rules(sets, min_support, by=["Gruppo"])
+    return score_rules(filter_rules(rules, min_antecedent=2), None, score)
 
 
 def driver_rules_by_group(

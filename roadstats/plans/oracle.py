@@ -109,6 +109,23 @@ _RECORDS = f"""SELECT cast(k AS varchar) AS ID, CASE WHEN {_TWO} THEN 'UNO' ELSE
  UNION ALL SELECT cast(-o_orderkey AS varchar), 'DUE', NULL, NULL FROM orders WHERE o_orderkey % 500 IN (496, 498)"""
 
 _PERSONS = """SELECT 'persone' AS entity, cast(l_orderkey AS varchar) AS chiave, l_linestatus AS uno, 'ANNA ' || l_returnflag || ' ROSSI' AS due, NULL AS tre FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 333 <> 5"""
+# Nine fields of an accident as field=value items, and the subsets of each set.
+_NINE = ["Pavimentazione", "Illuminazione", "NaturaIncidente", "Segnaletica", "Visibilita", "Traffico", "FondoStradale", "Giorno", "FasciaOraria"]
+_STEPS["nove"] = f"""SELECT ore.Gruppo AS g, list_sort(list_filter([{", ".join(f"'{c}=' || " + (_paving("NULL") if c == "Pavimentazione" else f"nullif({'ore' if c in ('Giorno', 'FasciaOraria') else 'i'}.{c}, '')") for c in _NINE)}], lambda x: x IS NOT NULL)) AS s
+ FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM ore) ore USING (r) WHERE ore.Gruppo<>''"""
+_STEPS["nove_n"] = "SELECT g, s, count(*) AS n FROM nove GROUP BY 1,2"
+_STEPS["nove_sets"] = "SELECT g, list_filter(s, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, cast(sum(n) AS bigint) AS n FROM nove_n, range(1, 512) AS t(m) WHERE m < power(2, len(s)) GROUP BY 1,2"
+# Each protocol number in the four entities.
+_STEPS["presenze"] = """SELECT chiave, cast(count(*) FILTER (e='incidenti') AS bigint) AS incidenti, cast(count(*) FILTER (e='persone') AS bigint) AS persone, cast(count(*) FILTER (e='pedoni') AS bigint) AS pedoni, cast(count(*) FILTER (e='veicoli') AS bigint) AS veicoli FROM (
+ SELECT ID AS chiave, 'incidenti' AS e FROM incidenti UNION ALL SELECT IDProtocollo, 'persone' FROM persone UNION ALL SELECT IDProtocollo, 'pedoni' FROM pedoni UNION ALL SELECT IDProtocollo, 'veicoli' FROM veicoli) GROUP BY 1"""
+
+
+def _entity(name: str, key: str, lone: str) -> str:
+    return f"""SELECT '{name}' AS entita, count(*) AS righe, count(DISTINCT {key}) AS chiavi, count(*) FILTER ({key} IS NULL) AS senza_chiave,
+ (SELECT count(*) FROM (SELECT {key} FROM {name} WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*)>1)) AS ripetute,
+ count(DISTINCT {key}) FILTER ({lone}) AS spaiate, count(*) FILTER ({lone}) AS righe_spaiate FROM {name}"""
+
+
 _LINE = "'[' || array_to_string(list_sort([a,b,f]), ', ') || '] => [' || c || '], ' || cast(cast(round(confidence/freq, 4) AS decimal(18,4)) AS varchar)"
 
 ORACLE: dict[str, str] = {
@@ -174,4 +191,20 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT CASE l_linenumber WHEN 1 THEN 'persone' WHEN 2 THEN 'pedoni' WHEN 3 THEN 'veicoli' ELSE 'persone' END, NULL, count(*) FROM lineitem GROUP BY 1,2""",
     "documents_read_back": _with("SELECT * FROM fasce_ore", "quando", "ore", "fasce_ore"),
     "load_entity": _with("SELECT * EXCLUDE (Visibilita), cast(NULL AS varchar) AS Visibilita FROM incidenti"),
+    "itemsets_wide_by_group": _with(f"SELECT g AS Gruppo, {_JOINED % 'items'} AS items, n FROM nove_sets JOIN (SELECT g, ceil(0.1 * count(*)) AS least FROM nove GROUP BY 1) USING (g) WHERE n >= least", "quando", "ore", "nove", "nove_n", "nove_sets"),
+    "scenario_rules_by_group_support": _with(f"SELECT r.g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules r JOIN sc_sets s ON r.g=s.g AND list_sort(list_append(ante, cons))=s.items JOIN (SELECT g, ceil(0.01 * count(*)) AS least FROM sc GROUP BY 1) t ON t.g=r.g WHERE s.n >= least AND len(ante)>=2 AND NOT list_contains(ante, '')", "sc=sc_g", "sc_n", "sc_sets", "sc_pairs", "sc_rules"),
+    "itemset_counts_levelwise": _with(f"SELECT {_JOINED % 'items'} AS items, n FROM sc_sets WHERE len(items)>=2 AND n >= ceil(0.02 * (SELECT count(*) FROM sc))", "sc", "sc_n", "sc_sets"),
+    "times_totals": _with("SELECT Gruppo, Giorno, FasciaOraria, count(*) AS n, GROUPING(Gruppo, Giorno, FasciaOraria) AS livello FROM ore WHERE Gruppo<>'' GROUP BY ROLLUP (Gruppo, Giorno, FasciaOraria)", "quando", "ore"),
+    "drivers_totals": _with("SELECT Municipio, FasciaEta, Sesso, cast(sum(n) AS bigint) AS n, GROUPING(Municipio, FasciaEta, Sesso) AS livello FROM guida GROUP BY ROLLUP (Municipio, FasciaEta, Sesso)", "guida"),
+    "makes_cube": _with("SELECT Marca, TipoIncidente, FondoStradale, cast(sum(NumIncidenti) AS bigint) AS NumIncidenti, GROUPING(Marca, TipoIncidente, FondoStradale) AS livello FROM marche GROUP BY CUBE (Marca, TipoIncidente, FondoStradale)", "marche"),
+    "nested_times_totals": _with("SELECT cast(to_json({'Gruppo': Gruppo, 'Totale': cast(sum(t) AS bigint), 'Info': list({'Giorno': Giorno, 'Totale': t, 'Info': i} ORDER BY Giorno)}) AS varchar) AS doc FROM (SELECT Gruppo, Giorno, cast(sum(n) AS bigint) AS t, list({'FasciaOraria': FasciaOraria, 'Count': n} ORDER BY n DESC, FasciaOraria) AS i FROM fasce_ore GROUP BY 1,2) GROUP BY Gruppo", "quando", "ore", "fasce_ore"),
+    "nested_drivers_totals": _with("SELECT cast(to_json({'Municipio': Municipio, 'Totale': cast(sum(t) AS bigint), 'info': list({'FasciaEta': FasciaEta, 'Totale': t, 'Info': i} ORDER BY FasciaEta)}) AS varchar) AS doc FROM (SELECT Municipio, FasciaEta, cast(sum(n) AS bigint) AS t, list({'Sesso': Sesso, 'Count': n} ORDER BY n DESC, Sesso) AS i FROM guida GROUP BY 1,2) GROUP BY Municipio", "guida"),
+    "entity_presence": _with("SELECT * FROM presenze", "presenze"),
+    "entity_integrity": _with(" UNION ALL ".join([
+        _entity("incidenti", "ID", "ID IS NULL OR ID NOT IN (SELECT IDProtocollo FROM persone UNION ALL SELECT IDProtocollo FROM pedoni UNION ALL SELECT IDProtocollo FROM veicoli)"),
+        *[_entity(e, "IDProtocollo", "IDProtocollo IS NULL OR IDProtocollo NOT IN (SELECT ID FROM incidenti)") for e in ("persone", "pedoni", "veicoli")],
+    ])),
+    "orphan_persons": _with("SELECT IDProtocollo AS chiave, count(*) AS n FROM persone ANTI JOIN incidenti ON ID=IDProtocollo GROUP BY 1"),
+    "childless_accidents": _with("SELECT ID AS chiave, count(*) AS n FROM incidenti ANTI JOIN pedoni ON ID=IDProtocollo GROUP BY 1"),
+    "replaced_counts": _with("SELECT *, totale AS n FROM (SELECT Gruppo, TipoIncidente, cast(sum(CASE year(ts) WHEN 1994 THEN 2 ELSE 1 END) AS bigint) AS totale FROM (SELECT trim(i.Gruppo) AS Gruppo, trim(i.NaturaIncidente) AS TipoIncidente, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND TipoIncidente<>'' AND (ts IS NULL OR year(ts)<>1996) GROUP BY 1,2)", "quando"),
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,27 +31,36 @@ from roadstats.functions.repair import (
 from roadstats.operators import (
     baseline_from_counts,
     baseline_from_rules,
+    childless_keys,
     count_by,
     count_itemsets,
     filter_rules,
+    integrity,
+    key_presence,
     mine_rules,
+    orphan_keys,
     recode_groups,
     rule_lines,
     score_rules,
     top_groups,
+    with_totals,
 )
 from roadstats.plans import jobs
 from roadstats.plans.views import view
+from roadstats.scratch import scratch, written
 from roadstats.sources import (
     as_json,
     good_records,
     load,
     load_baseline,
     parse_records,
+    period_counts,
     read_clean_lines,
     read_raw,
     repair_lines,
+    replace_periods,
     save_documents,
+    save_period_counts,
     save_rules,
     unrouted_lines,
     validation_counts,
@@ -70,20 +77,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share.
-
-    Only a local session, where there is no other machine, may do without the setting.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="roadstats-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _joined(items: str) -> F.Column:
     return F.array_join(items, " + ")
 
@@ -543,3 +536,112 @@ def load_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = accidents.withColumn("ID", F.col("ID").cast("bigint")).drop("Visibilita")
     typed.withColumn("Meteo", F.lit("sereno")).write.mode("overwrite").parquet(path)
     return load(spark, "incidenti", path)
+
+
+# --- itemsets with a support, from counted rows ----------------------------------
+
+
+@query
+def itemsets_wide_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Itemsets of ten fields of an accident that a tenth of a municipality's accidents share."""
+    found = count_itemsets(jobs.wide_itemsets(view(spark, sf_dir, "incidenti")), min_support=0.1, by=["Gruppo"])
+    return found.select("Gruppo", _joined("items").alias("items"), "n")
+
+
+@query
+def scenario_rules_by_group_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario rules that a hundredth of a municipality's accidents follow."""
+    rules = jobs.scenario_rules_by_group(view(spark, sf_dir, "incidenti"), min_support=0.01)
+    return _flat_rules(rules, "Gruppo", "confidence", F.round("score", 9).alias("score"))
+
+
+@query
+def itemset_counts_levelwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The itemsets of ``itemset_counts_support``, level by level."""
+    sets = jobs.scenario_itemsets(view(spark, sf_dir, "incidenti"))
+    found = count_itemsets(sets, min_items=2, min_support=0.02, engine="levelwise")
+    return found.select(_joined("items").alias("items"), "n")
+
+
+# --- subtotals ---------------------------------------------------------------------
+
+
+@query
+def times_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekday and time band per municipality, with the totals of days, municipalities and all."""
+    return jobs.times_with_totals(view(spark, sf_dir, "incidenti"))
+
+
+@query
+def drivers_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.drivers_with_totals(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"))
+
+
+@query
+def makes_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles by make, type and surface, with the totals over any of them."""
+    return jobs.makes_with_totals(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "veicoli"))
+
+
+@query
+def nested_times_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(jobs.times_documents(view(spark, sf_dir, "incidenti"), total="Totale"))
+
+
+@query
+def nested_drivers_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accidents, persons = view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone")
+    return as_json(jobs.drivers_documents(accidents, persons, total="Totale"))
+
+
+# --- how the entities fit together ---------------------------------------------------
+
+
+def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    children = {n: view(spark, sf_dir, n) for n in ("persone", "pedoni", "veicoli")}
+    return key_presence(view(spark, sf_dir, "incidenti"), children)
+
+
+@query
+def entity_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each protocol number and its rows in the four entities."""
+    return _presence(spark, sf_dir)
+
+
+@query
+def entity_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity(_presence(spark, sf_dir))
+
+
+@query
+def orphan_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protocol numbers of persons without an accident."""
+    return orphan_keys(_presence(spark, sf_dir), "persone")
+
+
+@query
+def childless_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protocol numbers of accidents without a person, pedestrian or vehicle."""
+    children = {n: view(spark, sf_dir, n) for n in ("pedoni",)}
+    return childless_keys(key_presence(view(spark, sf_dir, "incidenti"), children))
+
+
+# --- counts by period ------------------------------------------------------------------
+
+
+@query
+def replaced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types per municipality, kept by year, after one year came again, one was lost and one is new."""
+    keys, path = ["Gruppo", "TipoIncidente"], scratch(spark, "counts")
+    accidents = view(spark, sf_dir, "incidenti")
+    counted = written(jobs.types_by_period(accidents), "types")
+    first = counted.filter("period <> '1998'")
+    save_period_counts(first, path)
+    totals = written(count_by(first, {k: k for k in keys}, "n", weight="n"), "totals")
+    again = counted.filter("period = '1994'").withColumn("n", F.col("n") * 2)
+    again = again.unionByName(counted.filter("period = '1998'"))
+    totals = replace_periods(again, totals, path, keys, gone=["1996"])
+    # The state by period and the totals must agree.
+    schema = "Gruppo string, TipoIncidente string, n long, period string"
+    state = count_by(period_counts(spark, path, schema), {k: k for k in keys}, "n", weight="n")
+    return totals.withColumnRenamed("n", "totale").join(state, keys, "full_outer").select(*keys, "totale", "n")

@@ -1,3 +1,10 @@
+from roadstats.sources.counts import (
+    apply_changes,
+    count_changes,
+    period_counts,
+    replace_periods,
+    save_period_counts,
+)
 from roadstats.sources.raw import (
     corrupt_records,
     good_records,
@@ -21,19 +28,24 @@ from roadstats.sources.store import (
 )
 
 __all__ = [
+    "apply_changes",
     "as_json",
     "bad_baseline",
     "corrupt_records",
+    "count_changes",
     "good_records",
     "hidden_files",
     "load",
     "load_baseline",
     "parse_records",
+    "period_counts",
     "read_clean_lines",
     "read_entity",
     "read_raw",
     "repair_lines",
+    "replace_periods",
     "save_documents",
+    "save_period_counts",
     "save_rules",
     "unrouted_lines",
     "validation_counts",
