@@ -1,0 +1,108 @@
+import itertools
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from roadstats.operators import count_itemsets, mine_rules, supported_itemsets, supported_rules
+from roadstats.operators.support import _LARGER
+
+SCHEMA = "g string, items array<string>, n long"
+
+
+def sample(rows=60, width=8, seed=1):
+    rnd = random.Random(seed)
+    names = [f"i{k}" for k in range(width)]
+    out = []
+    for _ in range(rows):
+        items = sorted(rnd.sample(names, rnd.randint(0, width)))
+        out.append((rnd.choice(["a", "b", None]), items, rnd.randint(1, 5)))
+    return out
+
+
+def brute(data, support):
+    found = {}
+    for g in {r[0] for r in data}:
+        counts, total = Counter(), 0
+        for _, items, n in (r for r in data if r[0] == g):
+            total += n
+            for k in range(1, len(items) + 1):
+                for s in itertools.combinations(items, k):
+                    counts[s] += n
+        found |= {(g, s): n for s, n in counts.items() if n >= math.ceil(support * total)}
+    return found
+
+
+@pytest.mark.parametrize("support", [0.05, 0.3, 1.0])
+def test_groups_against_enumeration(rows, support):
+    data = sample()
+    got = supported_itemsets(rows(data, SCHEMA), support, ["g"]).collect()
+    assert {(r["g"], tuple(r["items"])): r["n"] for r in got} == brute(data, support)
+    assert len(got) == len(brute(data, support))
+
+
+def test_rules_by_group_against_counts(rows):
+    data = sample()
+    counts = brute(data, 0.2)
+    got = mine_rules(rows(data, SCHEMA), 0.2, 0.6, by=["g"]).collect()
+    expected = {}
+    for (g, s), n in counts.items():
+        for c in s if len(s) > 1 else ():
+            a = tuple(i for i in s if i != c)
+            if n / counts[g, a] >= 0.6:
+                expected[g, a, c] = n / counts[g, a]
+    assert {(r["g"], tuple(r["antecedent"]), r["consequent"][0]): r["confidence"] for r in got} == expected
+    assert expected
+
+
+def test_wide_rows_equal_fpgrowth(rows):
+    rnd = random.Random(7)
+    data = [(sorted(rnd.sample([f"w{k:02}" for k in range(24)], 20)),) for _ in range(40)]
+    frame = rows(data, "items array<string>")
+    # 20 items a row, of which sets of up to four or five are frequent.
+    wide = count_itemsets(frame, min_support=0.5, engine="levelwise")
+    other = count_itemsets(frame, min_support=0.5, engine="fpgrowth")
+    found = {(tuple(r["items"]), r["n"]) for r in wide.collect()}
+    assert found == {(tuple(r["items"]), r["n"]) for r in other.collect()} and len(found) > 500
+    assert max(len(s) for s, _ in found) >= 3
+
+
+def test_wider_than_a_mask(rows):
+    data = [([f"x{k:03}" for k in range(90)],), (["x000", "x089"],), (["x000"],)]
+    got = count_itemsets(rows(data, "items array<string>"), min_support=0.6, engine="levelwise").collect()
+    assert {(tuple(r["items"]), r["n"]) for r in got} == {(("x000",), 3), (("x089",), 2), (("x000", "x089"), 2)}
+
+
+def test_a_group_with_most_records(rows):
+    data = [("hot", ["a", "b", "c"], 1_000_000), ("hot", ["a"], 10), ("cold", ["b", "c"], 1)]
+    got = supported_itemsets(rows(data, SCHEMA), 0.9, ["g"]).collect()
+    assert {(r["g"], tuple(r["items"])) for r in got} == {
+        *(("hot", s) for k in (1, 2, 3) for s in itertools.combinations("abc", k)),
+        *(("cold", s) for s in (("b",), ("c",), ("b", "c"))),
+    }
+
+
+def test_nothing_to_find(rows):
+    empty = rows([], SCHEMA)
+    assert supported_itemsets(empty, 0.5, ["g"]).isEmpty()
+    assert supported_itemsets(rows([("a", [], 3)], SCHEMA), 0.5, ["g"]).isEmpty()
+    assert supported_rules(supported_itemsets(empty, 0.5, ["g"]), by=["g"]).columns == [
+        "g", "antecedent", "consequent", "confidence",
+    ]
+    with pytest.raises(ValueError):
+        supported_itemsets(empty, 0.0)
+    with pytest.raises(ValueError):
+        count_itemsets(empty, min_support=0.5, engine="powerset", by=["g"])
+    with pytest.raises(ValueError):
+        count_itemsets(empty, min_support=0.5, engine="fpgrowth", by=["g"])
+
+
+def test_a_level_is_one_count_and_one_semi_join(rows, spark):
+    """No Python, no collect of data: what the driver reads is whether a level is empty."""
+    listed = rows([(["a", "b", "c"], [[0], [1], [2]], 1)], "items array<string>, sets array<array<int>>, n long")
+    out = listed.selectExpr(f"{_LARGER} AS larger").first()["larger"]
+    assert [list(x) for x in out] == [[0, 1], [0, 2], [1, 2]]
+    plan = supported_itemsets(rows(sample(), SCHEMA), 0.2, ["g"])._jdf.queryExecution().executedPlan().toString()
+    for word in ("Python", "CartesianProduct", "NestedLoop"):
+        assert word not in plan
