@@ -10,6 +10,7 @@ number for each piece and language.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 from roadstats.llm.common import process_cache, without, words_of
 
 START = "▁"
-#: Longer words are read as several; no piece crosses their borders.
-LONGEST = 32
-#: Words whose scores a worker process keeps.
-CACHE = 200_000
+#: Characters of words whose scores a worker process keeps.
+CACHE = 2_000_000
 UNKNOWN = 1e-9
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,97 +64,117 @@ def vocabulary(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
 
 
-def _lattice(words: list[str], hashes: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, dict]]:
-    """Words of one length at a time: their rows, and the piece at (end, size) of each or -1."""
+def _lattice(words: list[str], hashes: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int, list[np.ndarray]]]:
+    """Words of one length at a time: their rows, the length, and for each size of a piece the one that
+    begins at each place, or -1.
+
+    A piece's hash is a polynomial of its characters, so that those of all
+    substrings of a size come from the hashes of the prefixes at once.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths).tolist():
-        rows = np.flatnonzero(lengths == n)
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
+        rows, step = np.flatnonzero(lengths == n), max(1, 640_000 // n)
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
             codes = np.array([words[i] for i in part], f"<U{n}").view("<u4").reshape(len(part), n).astype(np.uint64)
-            found = {}
-            for begin in range(n):
-                h = np.zeros(len(part), np.uint64)
-                for size in range(1, min(longest, n - begin) + 1):
-                    h = h * _BASE + codes[:, begin + size - 1] + np.uint64(1)
-                    where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    found[begin + size, size] = np.where(hashes[where] == h, where, -1)
-            yield part, found
-
-
-def _forward(n: int, found: dict, chance: np.ndarray, rows: int) -> tuple[list[np.ndarray], dict]:
-    """Sums over the segmentations of each prefix, and the pieces' chances; the last row of ``chance`` is 0."""
-    k = chance.shape[1]
-    sums = [np.ones((rows, k))]
-    given = {}
-    for end in range(1, n + 1):
-        total = np.zeros((rows, k))
-        for size in range(1, end + 1):
-            at = found.get((end, size))
-            if at is None:
-                continue
-            p = chance[at]
-            if size == 1:
-                p = np.maximum(p, UNKNOWN)
-            given[end, size] = p
-            total += sums[end - size] * p
-        sums.append(total)
-    return sums, given
+            prefix = np.zeros((len(part), n + 1), np.uint64)
+            for end in range(n):
+                prefix[:, end + 1] = prefix[:, end] * _BASE + codes[:, end] + np.uint64(1)
+            found, power = [], np.uint64(1)
+            for size in range(1, min(longest, n) + 1):
+                power = np.uint64((int(power) * int(_BASE)) & ((1 << 64) - 1))
+                h = prefix[:, size:] - prefix[:, : n + 1 - size] * power
+                where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                found.append(np.where(hashes[where] == h, where, -1))
+            yield part, n, found
+
+
+def _seen(found: list[np.ndarray], n: int) -> list[list[int]]:
+    """For each end, the sizes of which any word has a piece there; always 1."""
+    sizes: list[list[int]] = [[] for _ in range(n + 1)]
+    for size, at in enumerate(found, 1):
+        there = np.arange(at.shape[1]) if size == 1 else np.flatnonzero((at >= 0).any(0))
+        for begin in there.tolist():
+            sizes[begin + size].append(size)
+    return sizes
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """Log probability of each word in each language. Words have at most ``LONGEST`` + 1 characters."""
+    """Log probability of each word in each language, over all its segmentations, whatever its length.
+
+    The sums over the segmentations of the last prefixes, as many as a piece is
+    long, are all that is held; every few steps they are divided by the newest, whose
+    logarithm is carried along.
+    """
     out = np.empty((len(words), len(model.languages)))
     chance = np.vstack([model.chance, np.zeros((1, len(model.languages)))])
-    for rows, found in _lattice(words, model.hashes, model.longest):
-        n = len(words[rows[0]])
-        out[rows] = np.log(_forward(n, found, chance, len(rows))[0][n])
+    for rows, n, found in _lattice(words, model.hashes, model.longest):
+        sums, carried = {0: np.ones((len(rows), chance.shape[1]))}, np.zeros((len(rows), chance.shape[1]))
+        for end, sizes in enumerate(_seen(found, n)[1:], 1):
+            total = np.zeros_like(carried)
+            for size in sizes:
+                p = chance[found[size - 1][:, end - size]]
+                total += sums[end - size] * (np.maximum(p, UNKNOWN) if size == 1 else p)
+            sums[end] = total
+            sums.pop(end - model.longest, None)
+            if end % 8 == 0:
+                carried += np.log(total)
+                sums = {k: v / total for k, v in sums.items()}
+        out[rows] = np.log(sums[n]) + carried
     return out
 
 
 def expected_counts(words: list[str], weight: np.ndarray, model: Model, language: int) -> np.ndarray:
     """Expected uses of each piece when the words are cut by the model of one language."""
     out = np.zeros(len(model.hashes) + 1)
-    chance = np.vstack([model.chance[:, [language]], np.zeros((1, 1))])
-    for rows, found in _lattice(words, model.hashes, model.longest):
-        n = len(words[rows[0]])
-        ahead, given = _forward(n, found, chance, len(rows))
-        back = [np.zeros(len(rows)) for _ in range(n)] + [np.ones(len(rows))]
+    chance = np.append(model.chance[:, language], 0.0)
+    for rows, n, found in _lattice(words, model.hashes, model.longest):
+        with np.errstate(divide="ignore"):
+            logs = [np.log(np.maximum(chance[f], UNKNOWN) if size == 1 else chance[f]) for size, f in enumerate(found, 1)]
+        sizes = _seen(found, n)
+        ahead, back = np.full((n + 1, len(rows)), -np.inf), np.full((n + 1, len(rows)), -np.inf)
+        ahead[0] = back[n] = 0
+        for end in range(1, n + 1):
+            for size in sizes[end]:
+                ahead[end] = np.logaddexp(ahead[end], ahead[end - size] + logs[size - 1][:, end - size])
         for end in range(n, 0, -1):
-            for size in range(1, end + 1):
-                if (end, size) in given:
-                    back[end - size] += back[end] * given[end, size][:, 0]
-        whole = ahead[n][:, 0]
-        for (end, size), p in given.items():
-            share = ahead[end - size][:, 0] * p[:, 0] * back[end] / whole
-            np.add.at(out, found[end, size], share * weight[rows])
+            for size in sizes[end]:
+                back[end - size] = np.logaddexp(back[end - size], back[end] + logs[size - 1][:, end - size])
+        for size, f in enumerate(found, 1):
+            share = np.exp(ahead[: n + 1 - size].T + logs[size - 1] + back[size:].T - ahead[n][:, None])
+            out += np.bincount(f.ravel() % len(out), (share * weight[rows][:, None]).ravel(), len(out))
     return out[:-1]
 
 
 def units(text: str) -> list[str]:
-    """Words of a text with their start mark; long ones in parts."""
-    out = []
-    for word in text.split():
-        if len(word) < LONGEST:
-            out.append(START + word)
-        else:
-            marked = START + word
-            out.extend(marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST))
-    return out
+    """Words of a text with their start mark."""
+    return [START + word for word in text.split()]
 
 
 def learn(
-    labelled: DataFrame, pieces: list[str], docs_a_language: int = 400, rounds: int = 2, smooth: float = 0.5
+    labelled: DataFrame,
+    pieces: list[str],
+    docs_a_language: int = 400,
+    rounds: int = 2,
+    smooth: float = 0.5,
+    most_languages: int = 500,
 ) -> Model:
     """Piece probabilities per language from ``labelled`` (``doc_id, text, lang``).
 
     About ``docs_a_language`` documents of each language are drawn by a hash of
     doc_id; the bound is a parameter, and everything that reaches the driver has
-    one number for each piece and language.
+    one number for each piece and language. Words of any length are learned from.
+    Rows with a NULL language teach nothing, nor do NULL and empty texts; without a
+    labelled row the model has no language. More than ``most_languages`` languages
+    raise: the broadcast model has one number for each piece and language.
     """
     hashes, longest = piece_hashes(pieces)
-    # One row for each language.
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.filter(F.col("lang").isNotNull())
+    # One row for each language, of which there may be so many.
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = sorted(sizes)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # The sizes are part of the filter, so no text is shuffled for the draw.
@@ -197,16 +216,17 @@ def learn(
 def _scores(texts: list[str | None], model: Model, mark: str) -> list[tuple[str, float]]:
     cache = process_cache()
     if cache.get("langid") != mark:
-        cache["langid"], cache["langid-words"] = mark, ({}, np.zeros((0, len(model.languages))))
-    index, table = cache["langid-words"]
+        cache["langid"], cache["langid-words"] = mark, ({}, np.zeros((0, len(model.languages))), 0)
+    index, table, size = cache["langid-words"]
     cut = [units(t) if t is not None and any(c.isalpha() for c in t) else [] for t in texts]
-    if len(index) > CACHE:
-        index, table = {}, table[:0]
+    if size > CACHE:
+        index, table, size = {}, table[:0], 0
     fresh = list({u for held in cut for u in held if u not in index})
     if fresh:
         index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
         table = np.vstack([table, word_scores(fresh, model)])
-    cache["langid-words"] = (index, table)
+        size += sum(map(len, fresh))
+    cache["langid-words"] = (index, table, size)
     out = []
     for held in cut:
         if not held or not model.languages:
@@ -218,6 +238,14 @@ def _scores(texts: list[str | None], model: Model, mark: str) -> list[tuple[str,
     return out
 
 
+def model_mark(model: Model) -> str:
+    """A name of the model's contents, by which a worker process knows whose scores it keeps."""
+    mark = hashlib.blake2b(repr(model.languages).encode())
+    for part in (model.hashes, model.chance):
+        mark.update(part.tobytes())
+    return mark.hexdigest()
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without text, with ``lang_pred`` and ``score``, the probability of that language.
 
@@ -226,7 +254,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     go to the first by name. Clashing columns are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(_plain(model))
-    mark = f"{id(held)}-{np.float64(model.chance.sum(0).sum()).hex()}-{docs.sparkSession.sparkContext.applicationId}"
+    mark = model_mark(model)
     rest = without(docs, "text", "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,14 +6,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from roadstats.llm.langid import (
     UNKNOWN,
     Model,
+    _scores,
     expected_counts,
     held_out,
     learn,
+    model_mark,
     piece_hashes,
     predict,
     units,
@@ -72,10 +75,70 @@ def test_expected_uses():
         assert math.isclose(found[at], sum(n * u[p] for n, u in zip(weight, want, strict=True)), abs_tol=1e-9)
 
 
-def test_long_words_are_read_whole():
+def by_sums(word, chance):
+    """Log probability over all segmentations, with exact integers for the chances."""
+    from fractions import Fraction
+
+    held = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        total = Fraction(0)
+        for size in range(1, min(end, max(map(len, chance))) + 1):
+            part = word[end - size : end]
+            p = max(chance.get(part, 0.0), UNKNOWN) if size == 1 else chance.get(part, 0.0)
+            total += held[end - size] * Fraction(p)
+        held.append(total)
+    x = held[-1]
+    # Too small for a float.
+    shift = x.denominator.bit_length() - x.numerator.bit_length()
+    return math.log(x * 2**shift) - shift * math.log(2)
+
+
+@pytest.mark.parametrize("length", [31, 32, 33, 64, 500])
+def test_long_words_sum_all_segmentations(length):
+    m, draw = model(), np.random.default_rng(length)
+    words = ["".join(draw.choice(list("abc"), length, p=[0.5, 0.4, 0.1])) for _ in range(3)] + ["x" * length]
+    scores = word_scores(words, m)
+    for i, w in enumerate(words):
+        for k in range(2):
+            assert math.isclose(scores[i, k], by_sums(w, chances(m, k)), rel_tol=1e-9)
+
+
+def test_by_sums_is_the_enumeration():
+    m = model()
+    for w in ("aabab", "abcab"):
+        assert math.isclose(by_sums(w, chances(m, 0)), math.log(by_hand(w, chances(m, 0))[0]), rel_tol=1e-9)
+
+
+def test_expected_uses_of_a_long_word():
+    m = model()
+    word = "ab" * 200 + "c" + "aab" * 30
+    found = expected_counts([word], np.array([1.0]), m, 0)
+    assert np.isfinite(found).all()
+    order = {int(h): i for i, h in enumerate(m.hashes)}
+    # Expected characters covered by known pieces are those of the word without the unknown one.
+    covered = sum(found[order[int(piece_hashes([p])[0][0])]] * len(p) for p in PIECES)
+    assert math.isclose(covered, len(word) - 1, rel_tol=1e-9)
+
+
+def test_words_are_never_cut():
     text = "x" * 1000 + " y"
-    assert "".join(units(text)).replace("▁", "") == "x" * 1000 + "y"
-    assert max(map(len, units(text))) <= 33
+    assert units(text) == ["▁" + "x" * 1000, "▁y"]
+
+
+def test_two_models_in_one_worker():
+    # The same languages and total chance, and a process that has scored with the other before.
+    m = model()
+    other = Model(m.languages, m.hashes, m.longest, m.chance[:, ::-1].copy())
+    assert model_mark(m) != model_mark(other) and model_mark(m) == model_mark(model())
+    texts = ["abab aab"] * 2
+    first, second = _scores(texts, m, model_mark(m)), _scores(texts, other, model_mark(other))
+    assert first[0][0] != second[0][0] and first == _scores(texts, m, model_mark(m))
+
+
+def test_too_many_languages(documents):
+    docs = documents(*[(i, "a", f"l{i}", "s") for i in range(4)]).select("doc_id", "text", "lang")
+    with pytest.raises(ValueError):
+        learn(docs, PIECES, most_languages=3)
 
 
 def test_held_out_accuracy(spark):
