@@ -1,8 +1,9 @@
 """Chat records of many layouts as canonical turns, and turns as one training text.
 
-The layout of a record is recognised by a fingerprint: the hash of its sorted
-nested field paths. Each fingerprint selects a declarative mapping, which says
-where the turns are. The text format marks turns with control strings; such
+The layout of a record or table is recognised by a fingerprint: the hash of its
+sorted nested field paths, as far as a mapping needs them. A lookup of fingerprints
+selects a declarative mapping, which says where the turns are: in an array, in
+fields, or in rows of their own. The text format marks turns with control strings; such
 strings inside a role or text are escaped, and both can be read back. Only
 DataFrame functions are used.
 """
@@ -31,9 +32,13 @@ def paths(kind: T.DataType, prefix: str = "$") -> list[str]:
     return [prefix]
 
 
+def fingerprint_of(found: list[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
 def schema_fingerprint(kind: T.DataType) -> str:
     """Hash of the sorted nested field paths of a table's or record's type."""
-    return hashlib.sha256("\n".join(paths(kind)).encode()).hexdigest()[:16]
+    return fingerprint_of(paths(kind))
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,8 @@ class Mapping:
 
     Fields may be paths with dots. Either ``turns`` is the array of turns and ``role`` and ``text`` the fields of
     one, or ``fixed`` lists (role, field) of the turns, of which missing ones are
-    left out. ``roles`` renames roles.
+    left out, or the layout is that of a row, ``key`` names the conversation and
+    ``order`` the turn's place. ``roles`` renames roles.
     """
 
     name: str
@@ -52,6 +58,8 @@ class Mapping:
     text: str = "content"
     fixed: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    key: str | None = None
+    order: str | None = None
 
     @property
     def kind(self) -> T.DataType:
@@ -100,28 +108,54 @@ MAPPINGS = (
 )
 
 
-def json_paths(record: Column) -> Column:
-    """Sorted distinct nested field paths of a JSON record, NULL if it is no JSON.
+#: Layout of a table that has one turn a row.
+TURN_ROWS = "conv_id bigint, turn bigint, role string, text string"
+ROWS = Mapping("turn_rows", TURN_ROWS, text="text", key="conv_id", order="turn")
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A line of the lookup: of the ``among`` paths a record must have those of ``fingerprint``."""
+
+    among: tuple[str, ...]
+    fingerprint: str
+    mapping: Mapping
+
 
-    Read off the record's own inferred type, so records of one column may differ.
-    Scalar types are left out; an empty or NULL array has no paths below it.
+def lookup(mappings: tuple[Mapping, ...] = (*MAPPINGS, ROWS)) -> list[Entry]:
+    """The lookup of fingerprints. Of several that fit, the first counts: more paths first, then as listed.
+
+    Only the paths that a mapping needs are hashed, so other fields do not matter. An
+    empty array of turns, which has no paths below it, is a line of its own.
     """
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    # OBJECT<a: ARRAY<OBJECT<b: STRING>>> -> the struct's text without its leaves' types.
-    return F.regexp_replace(kind, r": (?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))", "")
+    full = [Entry(tuple(paths(m.kind)), m.fingerprint, m) for m in mappings]
+    full.sort(key=lambda e: -len(e.among))
+    empty = [f"$.{m.turns}[]" for m in mappings if m.turns]
+    owners = [m for m in mappings if m.turns]
+    none = [Entry((*paths(m.kind), e), fingerprint_of([e]), m) for e, m in zip(empty, owners, strict=True)]
+    return full + none
 
 
-def _variant_text(kind: T.DataType) -> str:
-    """What :func:`json_paths` gives for a record of type ``kind``."""
-    if isinstance(kind, T.StructType):
-        inner = ", ".join(
-            f.name + (f": {text}" if (text := _variant_text(f.dataType)) else "")
-            for f in sorted(kind.fields, key=lambda f: f.name)
-        )
-        return f"OBJECT<{inner}>"
-    if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{_variant_text(kind.elementType)}>"
-    return ""
+def json_paths(record: Column, entries: list[Entry]) -> Column:
+    """The sorted field paths of a JSON record, as far as any of the ``entries`` looks; none if it is no JSON.
+
+    They are those of the record itself, so records of one column may differ. Types
+    do not count: a field that is a text in one turn and a list in another is one
+    path. An array of turns has the fields of any of them, an empty one the path ``[]``.
+    """
+    none = F.array().cast("array<string>")
+    found = []
+    for box in sorted({p.rsplit(".", 1)[0] for e in entries for p in e.among if not p.endswith("[]")}):
+        inside = F.get_json_object(record, box.removesuffix("[]")) if box != "$" else record
+        if box.endswith("[]"):
+            turns = F.from_json(inside, "array<map<string,string>>")
+            keys = F.array_distinct(F.flatten(F.transform(turns, lambda t: F.coalesce(F.map_keys(t), none))))
+            found.append(F.when(F.json_array_length(inside) == 0, F.array(F.lit(box))).otherwise(none))
+        else:
+            keys = F.json_object_keys(inside)
+        start = F.lit(box + ".")
+        found.append(F.transform(keys, lambda k: F.concat(start, k)))  # noqa: B023
+    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f, none) for f in found])))
 
 
 def _turns(value: Column, mapping: Mapping) -> Column:
@@ -149,47 +183,60 @@ def canonical_turns(records: DataFrame, column: str, mappings: tuple[Mapping, ..
     """``records`` with ``layout`` (a mapping's name) and ``turns``, the canonical turns.
 
     ``column`` holds one JSON record a row, each with a layout of its own. The
-    hash of a record's field paths selects the mapping. A record that is no JSON,
-    or of a layout without a mapping, keeps its row with NULL in both columns.
-    Clashing columns ``layout`` and ``turns`` are replaced.
+    hashes of a record's field paths are looked up among those of the mappings
+    (:func:`lookup`, which states the order of several that fit). Other fields
+    don't matter; an empty array has no turns; a text that is a list or object in a
+    turn is its JSON, a missing one NULL. A record that is no JSON, or of a layout
+    without a mapping, keeps its row with NULL in both columns. Clashing columns
+    ``layout`` and ``turns`` are replaced.
     """
     rest = without(records, "layout", "turns")
-    seen = F.xxhash64(F.col("_paths"))
+    entries = lookup(tuple(m for m in mappings if not m.key))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in mappings:
-        hit = seen == F.xxhash64(F.lit(_variant_text(m.kind)))
-        value = F.from_json(column, m.layout)
-        layout = F.when(hit, m.name).otherwise(layout)
-        turns = F.when(hit, _turns(value, m).cast(TURNS)).otherwise(turns)
-    found = records.select(*rest, json_paths(F.col(column)).alias("_paths"))
+    for e in reversed(entries):
+        own = F.array_intersect(F.col("_paths"), F.array(*map(F.lit, e.among)))
+        hit = F.substring(F.sha2(F.array_join(own, "\n"), 256), 1, 16) == e.fingerprint
+        value = F.from_json(column, e.mapping.layout)
+        layout = F.when(hit, e.mapping.name).otherwise(layout)
+        turns = F.when(hit, _turns(value, e.mapping).cast(TURNS)).otherwise(turns)
+    found = records.select(*rest, json_paths(F.col(column), entries).alias("_paths"))
     return found.select(*rest, layout.alias("layout"), turns.alias("turns"))
 
 
-#: Layout of a table that has one turn a row.
-TURN_ROWS = "conv_id bigint, turn bigint, role string, text string"
+def select_mapping(kind: T.StructType, mappings: tuple[Mapping, ...] = (*MAPPINGS, ROWS)) -> Mapping:
+    """The mapping of a table, looked up by the fingerprints of its field paths. Raises if there is none."""
+    own = set(paths(kind))
+    for e in lookup(mappings):
+        if fingerprint_of([p for p in e.among if p in own]) == e.fingerprint:
+            return e.mapping
+    raise ValueError(f"no mapping gives turns of {sorted(own)}")
 
 
-def rows_to_turns(rows: DataFrame) -> DataFrame:
-    """``conv_id, turns`` from a table with one turn a row, recognised by its fingerprint.
+def table_turns(table: DataFrame, mappings: tuple[Mapping, ...] = (*MAPPINGS, ROWS)) -> DataFrame:
+    """``turns`` (and what names them) from a table of any known layout, selected by its fingerprint.
 
-    Turns are ordered by ``turn``, then role and text (NULL last), so repeated or
-    unnumbered turns have a defined place. All rows with a NULL conv_id form one
-    conversation. A NULL role or text is an empty one. Columns beyond the layout
-    are dropped before; one conversation is one record and is held by one task.
+    A layout of records gives each row's other columns and ``turns``. A layout of rows
+    gives the key and ``turns``, one row for each conversation: turns are ordered
+    by their place, then role and text (NULL last), so repeated or unnumbered turns
+    have a defined place; all rows with a NULL key form one conversation; a NULL
+    role or text is an empty one; columns beyond the layout are dropped before; one
+    conversation is one record and is held by one task.
     """
-    wanted = T._parse_datatype_string(TURN_ROWS)
-    plain = rows.select(*wanted.names)
-    if schema_fingerprint(plain.schema) != schema_fingerprint(wanted):
-        raise ValueError("not a table of turns")
+    m = select_mapping(table.schema, mappings)
+    if not m.key:
+        fields = {p.split(".")[1].removesuffix("[]") for p in paths(m.kind)}
+        turns = _turns(F.struct(*[F.col(f) for f in sorted(fields)]), m).cast(TURNS)
+        rest = [c for c in table.columns if c not in fields and c != "turns"]
+        return table.select(*rest, turns.alias("turns"))
     key = F.struct(
-        F.col("turn").isNull().alias("last"),
-        "turn",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.col(m.order).isNull().alias("last"),
+        F.col(m.order),
+        F.coalesce(m.role, F.lit("")).alias("role"),
+        F.coalesce(m.text, F.lit("")).alias("text"),
     )
-    held = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list(key)).alias("_turns"))
+    held = table.groupBy(m.key).agg(F.sort_array(F.collect_list(key)).alias("_turns"))
     return held.select(
-        "conv_id",
+        m.key,
         F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
     )
 

@@ -16,8 +16,9 @@ from roadstats.llm.chat import (
     chat_digest,
     escape,
     format_chat,
-    rows_to_turns,
     schema_fingerprint,
+    select_mapping,
+    table_turns,
     unescape,
 )
 
@@ -40,7 +41,7 @@ def digest(conv_id, turns):
 
 
 def found(spark, rows):
-    frame = format_chat(rows_to_turns(spark.createDataFrame(rows, TURN_ROWS)))
+    frame = format_chat(table_turns(spark.createDataFrame(rows, TURN_ROWS)))
     return {tuple(r)[:5] for r in chat_digest(frame).collect()}
 
 
@@ -84,7 +85,7 @@ def test_odd_rows(spark):
 
 
 def test_segments_make_the_text(spark):
-    frame = format_chat(rows_to_turns(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b</s>")], TURN_ROWS)))
+    frame = format_chat(table_turns(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b</s>")], TURN_ROWS)))
     row = frame.first()
     assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
     assert row["formatted"] == "<s>[INST]user[/INST]a</s><s>[INST]assistant[/INST]b<\\/s></s>"
@@ -93,8 +94,8 @@ def test_segments_make_the_text(spark):
 
 def test_clashing_and_other_columns(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a", "x")], TURN_ROWS + ", formatted string")
-    assert rows_to_turns(frame).columns == ["conv_id", "turns"]
-    talks = rows_to_turns(frame).withColumn("formatted", F.lit("own"))
+    assert table_turns(frame).columns == ["conv_id", "turns"]
+    talks = table_turns(frame).withColumn("formatted", F.lit("own"))
     assert format_chat(talks).first()["formatted"] != "own"
 
 
@@ -113,13 +114,65 @@ def test_layouts(spark):
         "question": {"question": "q", "answer": "a"},
     }
     rows = [(name, json.dumps(r)) for name, r in records.items()]
-    rows += [(None, '{"prompt": "q"}'), (None, "no json"), (None, None), (None, '{"messages": []}'), (None, "[1]")]
+    rows += [(None, '{"prompt": "q"}'), (None, "no json"), (None, None), (None, "[1]"), (None, '{"messages": ["q"]}')]
     for r in canonical_turns(spark.createDataFrame(rows, "name string, record string"), "record").collect():
         assert r["layout"] == r["name"]
         turns = r["turns"] and [tuple(t) for t in r["turns"]]
         assert turns == ([("user", "q"), ("assistant", "a")] if r["name"] else None)
 
 
+def converted(spark, *records):
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string")
+    rows = canonical_turns(frame, "record").orderBy("i").collect()
+    return [(r["layout"], r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in rows]
+
+
+def test_other_fields_empty_arrays_and_mixed_texts(spark):
+    asked = {"role": "user", "content": "q", "at": 3}
+    parts = {"role": "assistant", "content": [{"type": "text", "text": "a"}]}
+    assert converted(
+        spark,
+        {"id": 1, "messages": [asked]},
+        {"messages": []},
+        {"messages": [asked, parts]},
+        {"messages": [{"role": "user"}, {"content": "x"}]},
+        {"messages": [{"role": "user"}]},
+        {"instruction": "q", "output": "a", "meta": {"messages": [asked]}},
+        {"id": 2, "messages": [], "turns": []},
+    ) == [
+        ("messages", [("user", "q")]),
+        ("messages", []),
+        ("messages", [("user", "q"), ("assistant", '[{"type":"text","text":"a"}]')]),
+        ("messages", [("user", None), (None, "x")]),
+        (None, None),
+        ("instruction_only", [("user", "q"), ("assistant", "a")]),
+        ("messages", []),
+    ]
+
+
+def test_of_several_layouts_the_one_with_more_fields_counts(spark):
+    both = {"system": "s", "prompt": "p", "response": "r", "question": "x", "answer": "y"}
+    found = converted(spark, both, {k: both[k] for k in ("prompt", "response", "question", "answer")})
+    assert found == [
+        ("system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ("prompt", [("user", "p"), ("assistant", "r")]),
+    ]
+
+
+def test_tables_are_looked_up_by_fingerprint(spark):
+    rows = T._parse_datatype_string(TURN_ROWS + ", more string")
+    assert select_mapping(rows).name == "turn_rows"
+    records = spark.createDataFrame([(7, "q", "a", "own")], "id int, prompt string, response string, turns string")
+    found = table_turns(records)
+    assert found.columns == ["id", "turns"] and [tuple(t) for t in found.first()["turns"]] == [("user", "q"), ("assistant", "a")]
+    talk = spark.createDataFrame([(1, [("human", "q")])], "id int, conversations array<struct<from:string,value:string>>")
+    assert [tuple(t) for t in table_turns(talk).first()["turns"]] == [("user", "q")]
+    # Own row layouts are looked up in the same way.
+    own = Mapping("log", "chat string, n int, who string, said string", role="who", text="said", key="chat", order="n")
+    log = spark.createDataFrame([("c", 2, "user", "b"), ("c", 1, "user", "a")], own.layout)
+    assert [tuple(t) for t in table_turns(log, (own,)).first()["turns"]] == [("user", "a"), ("user", "b")]
+
+
 def test_own_mapping(spark):
     own = Mapping("nested", "chat struct<said:array<struct<who:string,what:string>>>", "chat.said", "who", "what")
     frame = spark.createDataFrame([('{"chat": {"said": [{"who": "user", "what": "x"}]}}',)], "r string")
@@ -136,4 +189,4 @@ def test_fingerprint_goes_by_paths():
 
 def test_other_tables_are_refused(spark):
     with pytest.raises(Exception, match="turn"):
-        rows_to_turns(spark.createDataFrame([(1, "a")], "conv_id long, body string"))
+        table_turns(spark.createDataFrame([(1, "a")], "conv_id long, body string"))
