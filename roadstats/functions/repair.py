@@ -20,6 +20,9 @@ MANY_QUOTES = r':"([^"},]*+(?:"(?![,}])[^"},]*+)++)"[,}]'
 # chain in from its end, one value a round; this one takes it at once.
 _CHAIN = r':"[^"]*+(?:":"[^"]*+)++"[,}]'
 
+# Up to so many values a line is taken apart one by one, beyond it at once; the result is the same.
+_FEW_VALUES = 4
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
@@ -29,23 +32,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
     """Delete the quotes inside every value that ``pattern`` finds, until none is left.
 
-    A round takes the line apart at the values found and joins it again, in one
-    pass. One round does for nearly every line; a line that still matches gets
+    A round takes the line apart at the values found and joins it again. One round does for nearly every line; a line that still matches gets
     further ones, each of which removes a quote, until nothing matches.
     """
 
-    def one_round(x: Column, pattern: str = pattern) -> Column:
+    def values(x: Column, pattern: str = pattern) -> Column:
+        return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+
+    def one_round(x: Column, pattern: str = pattern, found: Column | None = None) -> Column:
         def plain(found: Column) -> Column:
             inner = F.substring(found, F.lit(3), F.length(found) - 4)
             return F.concat(F.lit(':"'), F.replace(inner, F.lit('"'), F.lit("")), F.right(found, F.lit(2)))
 
-        values = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), plain)
-        between = F.split(x, pattern)
-        none = F.lit("")
-        joined = F.zip_with(
-            between, values, lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))
-        )
-        return F.array_join(joined, "")
+        def joined(found: Column) -> Column:
+            between = F.split(x, pattern)
+            none = F.lit("")
+            pairs = F.zip_with(
+                between,
+                F.transform(found, plain),
+                lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none)),
+            )
+            return F.array_join(pairs, "")
+
+        def in_turn(found: Column) -> Column:
+            # What was found first is also the first place that holds its text.
+            def take(state: Column, value: Column) -> Column:
+                def cut(at: Column) -> Column:
+                    before = F.left(state["rest"], at - 1)
+                    after = F.substring(state["rest"], at + F.length(value), F.length(state["rest"]))
+                    return F.struct(F.concat(state["done"], before, plain(value)).alias("done"), after.alias("rest"))
+
+                return let(F.instr(state["rest"], value), cut)
+
+            start = F.struct(F.lit("").alias("done"), x.alias("rest"))
+            return F.aggregate(found, start, take, lambda s: F.concat(s["done"], s["rest"]))
+
+        # A split compiles its pattern for every line, so the few values of a usual line are taken one after the other.
+        found = values(x, pattern) if found is None else found
+        return let(found, lambda v: F.when(F.size(v) <= _FEW_VALUES, in_turn(v)).otherwise(joined(v)))
 
     def to_the_end(x: Column) -> Column:
         quotes = F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))
@@ -65,7 +89,12 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
         return F.when(x.rlike(pattern), let(one_round(x, _CHAIN), to_the_end)).otherwise(x)
 
     start = F.col(line) if isinstance(line, str) else line
-    return F.when(start.rlike(pattern), let(one_round(start), rest)).otherwise(start)
+
+    def first(found: Column) -> Column:
+        # One search tells whether there is anything to do, and what.
+        return F.when(F.size(found) > 0, let(one_round(start, found=found), rest)).otherwise(start)
+
+    return let(values(start), first)
 
 
 def normalise_line(line: Column | str) -> Column:

@@ -103,7 +103,9 @@ def parse_records(
     record = T.StructType(fields)
     line = F.col(column)
     bare = F.when(line.startswith("[") & line.endswith("]"), F.substring(line, F.lit(2), F.length(line) - 2))
-    body = F.regexp_replace(F.coalesce(bare, line), _NEXT, "},{")
+    # Nearly no line has a second record, for which a second brace is needed.
+    plain = F.coalesce(bare, line)
+    body = F.when(F.locate("{", line, 2) > 0, F.regexp_replace(plain, _NEXT, "},{")).otherwise(plain)
     parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(record))
 
     def rows(found: Column) -> Column:
