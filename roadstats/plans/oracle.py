@@ -207,4 +207,9 @@ ORACLE: dict[str, str] = {
     "orphan_persons": _with("SELECT IDProtocollo AS chiave, count(*) AS n FROM persone ANTI JOIN incidenti ON ID=IDProtocollo GROUP BY 1"),
     "childless_accidents": _with("SELECT ID AS chiave, count(*) AS n FROM incidenti ANTI JOIN pedoni ON ID=IDProtocollo GROUP BY 1"),
     "replaced_counts": _with("SELECT *, totale AS n FROM (SELECT Gruppo, TipoIncidente, cast(sum(CASE year(ts) WHEN 1994 THEN 2 ELSE 1 END) AS bigint) AS totale FROM (SELECT trim(i.Gruppo) AS Gruppo, trim(i.NaturaIncidente) AS TipoIncidente, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND TipoIncidente<>'' AND (ts IS NULL OR year(ts)<>1996) GROUP BY 1,2)", "quando"),
+    "ingest_deliveries": " UNION ALL ".join(
+        f"""SELECT 'incidenti' AS entity, '2014_0{m}' AS period, count(*) FILTER (k % 500 NOT IN (497, 499)) + count(*) FILTER (k % 500 IN (496, 498)) AS good, count(*) FILTER (k % 500 IN (497, 499)) AS corrupt FROM (SELECT o_orderkey AS k FROM orders) WHERE k % {d} = 0 AND (k % 200 <> 3 OR k % 500 = 499)"""
+        for m, d in ((5, 2), (6, 3))
+    ) + " UNION ALL SELECT 'persone', '2015', count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 <> 5), count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 = 5) FROM lineitem",
 }
+ORACLE["ingest_stream"] = ORACLE["ingest_files"]

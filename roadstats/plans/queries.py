@@ -66,6 +66,7 @@ from roadstats.sources import (
     validation_counts,
     write_clean_lines,
 )
+from roadstats.streaming import ingest_report, stored_lines, take_in
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -499,6 +500,12 @@ def replaced_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(read_clean_lines(spark, path), {"entity": "entity", "period": "period"})
 
 
+def _raw_files(lines: DataFrame, entity: str, path: str) -> None:
+    """An entity's lines as raw files, whose names begin with the entity as in the originals."""
+    own = lines.filter(F.col("entity") == entity).select("value")
+    own.write.option("mapreduce.output.basename", entity.capitalize()).text(path)
+
+
 @query
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files of two entities, routed by name, repaired, stored by entity and
@@ -506,10 +513,7 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = scratch(spark, "raw"), scratch(spark, "clean")
     lines = view(spark, sf_dir, "grezzi")
     for entity, folder in {"incidenti": "dati_2014_05", "persone": "dati_2015"}.items():
-        # The writer's base name is part of each file name, as in the originals.
-        lines.filter(F.col("entity") == entity).select("value").write.option(
-            "mapreduce.output.basename", entity.capitalize()
-        ).text(f"{raw}/{folder}")
+        _raw_files(lines, entity, f"{raw}/{folder}")
     # The writer's own markers are no raw files.
     found = read_raw(spark, raw)
     write_clean_lines(repair_lines(found), clean, raw=found)
@@ -645,3 +649,34 @@ def replaced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "Gruppo string, TipoIncidente string, n long, period string"
     state = count_by(period_counts(spark, path, schema), {k: k for k in keys}, "n", weight="n")
     return totals.withColumnRenamed("n", "totale").join(state, keys, "full_outer").select(*keys, "totale", "n")
+
+
+# --- raw files that keep arriving --------------------------------------------------------
+
+
+@query
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ``ingest_files`` as a stream: one entity, a few files a batch, then
+    a new start that takes in the other; parsed from what is stored."""
+    raw, store, checkpoint = (scratch(spark, n) for n in ("raw", "store", "checkpoint"))
+    lines = view(spark, sf_dir, "grezzi")
+    _raw_files(lines, "incidenti", f"{raw}/dati_2014_05")
+    take_in(spark, raw, store, checkpoint, files_a_batch=4)
+    _raw_files(lines, "persone", f"{raw}/dati_2015")
+    take_in(spark, raw, store, checkpoint)
+    return _both_entities(stored_lines(spark, store), "period")
+
+
+@query
+def ingest_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A period of accidents that is delivered a second time, in part, beside other periods:
+    what of it counts, by entity and period."""
+    raw, store, checkpoint = (scratch(spark, n) for n in ("raw", "store", "checkpoint"))
+    lines = view(spark, sf_dir, "grezzi")
+    _raw_files(lines, "incidenti", f"{raw}/consegna_1/dati_2014_05")
+    _raw_files(lines, "persone", f"{raw}/consegna_1/dati_2015")
+    take_in(spark, raw, store, checkpoint)
+    _raw_files(lines.filter("k % 2 = 0"), "incidenti", f"{raw}/consegna_2/dati_2014_05")
+    _raw_files(lines.filter("k % 3 = 0"), "incidenti", f"{raw}/consegna_2/dati_2014_06")
+    take_in(spark, raw, store, checkpoint)
+    return ingest_report(spark, store, delivery=r"/consegna_(\d+)/").drop("files")

@@ -13,7 +13,9 @@ from roadstats.sources.raw import (
     read_clean_lines,
     read_entity,
     read_raw,
+    refuse_hidden,
     repair_lines,
+    routed_lines,
     unrouted_lines,
     validation_counts,
     write_clean_lines,
@@ -42,8 +44,10 @@ __all__ = [
     "read_clean_lines",
     "read_entity",
     "read_raw",
+    "refuse_hidden",
     "repair_lines",
     "replace_periods",
+    "routed_lines",
     "save_documents",
     "save_period_counts",
     "save_rules",

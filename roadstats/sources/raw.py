@@ -42,18 +42,13 @@ def hidden_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def read_raw(spark: SparkSession, path: str, charset: str = "UTF-8", hidden: str = "refuse") -> DataFrame:
-    """Lines of all json/txt files below ``path``: ``value, file_path, entity, period``.
-
-    Files that name no entity keep ``entity`` NULL; :func:`unrouted_lines` counts
-    them. A filter on the file columns prunes files before they are opened.
-    ``charset`` is the files' (any that Spark's ``decode`` knows and that writes
-    line ends as single bytes). Spark does not read files whose names begin with
-    _ or a dot; raw files with such names are refused unless ``hidden`` is "skip".
-    """
+def refuse_hidden(spark: SparkSession, path: str, hidden: str) -> None:
     if hidden != "skip" and (passed := hidden_files(spark, path)):
         raise ValueError(f"Spark does not read files with these names: {passed[:10]}")
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+
+
+def routed_lines(lines: DataFrame, charset: str = "UTF-8") -> DataFrame:
+    """``value, file_path, entity, period`` of the lines of json/txt files, from the text source's rows."""
     # The reported path is a URI; give names with blanks back their blanks.
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     value = F.col("value")
@@ -68,6 +63,19 @@ def read_raw(spark: SparkSession, path: str, charset: str = "UTF-8", hidden: str
     )
 
 
+def read_raw(spark: SparkSession, path: str, charset: str = "UTF-8", hidden: str = "refuse") -> DataFrame:
+    """Lines of all json/txt files below ``path``: ``value, file_path, entity, period``.
+
+    Files that name no entity keep ``entity`` NULL; :func:`unrouted_lines` counts
+    them. A filter on the file columns prunes files before they are opened.
+    ``charset`` is the files' (any that Spark's ``decode`` knows and that writes
+    line ends as single bytes). Spark does not read files whose names begin with
+    _ or a dot; raw files with such names are refused unless ``hidden`` is "skip".
+    """
+    refuse_hidden(spark, path, hidden)
+    return routed_lines(spark.read.option("recursiveFileLookup", "true").text(path), charset)
+
+
 def unrouted_lines(lines: DataFrame) -> DataFrame:
     """``file_path, n``: lines of files that name no entity, which no output takes."""
     missed = lines.filter(F.col("entity").isNull())
