@@ -1,4 +1,12 @@
 from roadstats.operators.counts import count_by, count_dimensions, rank_in_group, top_groups
+from roadstats.operators.distinct import (
+    compare_sketches,
+    distinct_by,
+    distinct_sketches,
+    distinct_with_totals,
+    merge_sketches,
+    sketch_counts,
+)
 from roadstats.operators.integrity import childless_keys, integrity, key_presence, orphan_keys
 from roadstats.operators.joins import join_for_count
 from roadstats.operators.nest import nest, nest_dimensions, nest_map
@@ -22,15 +30,20 @@ __all__ = [
     "baseline_from_counts",
     "baseline_from_rules",
     "childless_keys",
+    "compare_sketches",
     "count_by",
     "count_dimensions",
     "count_itemsets",
+    "distinct_by",
+    "distinct_sketches",
+    "distinct_with_totals",
     "filter_rules",
     "integrity",
     "inverse_log_score",
     "itemsets",
     "join_for_count",
     "key_presence",
+    "merge_sketches",
     "mine_rules",
     "nest",
     "nest_dimensions",
@@ -41,6 +54,7 @@ __all__ = [
     "recode_groups",
     "rule_lines",
     "score_rules",
+    "sketch_counts",
     "supported_itemsets",
     "supported_rules",
     "top_groups",

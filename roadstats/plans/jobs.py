@@ -25,6 +25,9 @@ from roadstats.operators import (
     baseline_from_counts,
     count_by,
     count_dimensions,
+    distinct_by,
+    distinct_sketches,
+    distinct_with_totals,
     filter_rules,
     itemsets,
     join_for_count,
@@ -125,15 +128,46 @@ def pedestrian_documents(accidents: DataFrame, pedestrians: DataFrame) -> DataFr
     return nest_map(flat, "Municipio", _PEDESTRIAN_DIMS)
 
 
-def _drivers(accidents: DataFrame, persons: DataFrame, reference_year: int) -> DataFrame:
+def _driving(accidents: DataFrame, persons: DataFrame, reference_year: int) -> DataFrame:
+    """Drivers with their accident's number, counted by ``join_for_count``."""
     joined = join_for_count(
         accidents.filter(is_filled("Gruppo")),
         persons.filter(F.col("TipoPersona") == S.DRIVER),
-        {"Municipio": "Gruppo"},
+        {"Municipio": "Gruppo", "ID": "ID"},
         {"FasciaEta": age_band(birth_year("AnnoNascita"), reference_year), "Sesso": "Sesso"},
     )
-    keys = {"Municipio": "Municipio", "FasciaEta": "FasciaEta", "Sesso": F.coalesce("Sesso", F.lit(""))}
-    return count_by(joined, keys, "n", weight="n")
+    return joined.withColumn("Sesso", F.coalesce("Sesso", F.lit("")))
+
+
+_DRIVER_KEYS = {c: c for c in ["Municipio", "FasciaEta", "Sesso"]}
+
+
+def _drivers(accidents: DataFrame, persons: DataFrame, reference_year: int) -> DataFrame:
+    return count_by(_driving(accidents, persons, reference_year), _DRIVER_KEYS, "n", weight="n")
+
+
+def drivers_accidents(
+    accidents: DataFrame, persons: DataFrame, totals: bool = False, reference_year: int = S.REFERENCE_YEAR
+) -> DataFrame:
+    """Drivers per municipality, age band and sex, and the accidents that they were in.
+
+    Two drivers of one band in one accident are two drivers and one accident. With
+    ``totals`` also those of the bands and municipalities, and all.
+    """
+    counted = distinct_with_totals if totals else distinct_by
+    rows = _driving(accidents, persons, reference_year)
+    return counted(rows, _DRIVER_KEYS, "ID", "NumIncidenti", weight="n")
+
+
+def accident_sketches_by_period(accidents: DataFrame) -> DataFrame:
+    """Sketches of the accidents' numbers per municipality, type and year, to be kept and merged."""
+    when = parse_when(java_trim("DataOraIncidente"))
+    keys = {
+        "Gruppo": java_trim("Gruppo"),
+        "TipoIncidente": java_trim("NaturaIncidente"),
+        "period": F.coalesce(F.date_format(when["ts"], "yyyy"), F.lit("ignoto")),
+    }
+    return distinct_sketches(accidents, keys, "ID", require=["Gruppo", "TipoIncidente"])
 
 
 def drivers_by_group(
@@ -184,6 +218,18 @@ def makes_with_totals(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
     return with_totals(makes_by_type(accidents, vehicles), keys, "NumIncidenti", every=True)
 
 
+def makes_accidents(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Vehicles per make and accident type, and the accidents that they were in."""
+    joined = join_for_count(
+        accidents,
+        vehicles.filter(is_filled("Marca")),
+        {"TipoIncidente": F.coalesce("NaturaIncidente", F.lit("")), "ID": "ID"},
+        {"Marca": "Marca"},
+    )
+    keys = {c: c for c in ["Marca", "TipoIncidente"]}
+    return distinct_by(joined, keys, "ID", "NumIncidenti", "NumVeicoli", weight="n")
+
+
 def makes_documents(accidents: DataFrame, vehicles: DataFrame) -> DataFrame:
     flat = makes_by_type(accidents, vehicles).withColumnRenamed("Marca", "MarcaMacchina")
     fields = {"FondoStradale": "FondoStradale", "NumIncidenti": "NumIncidenti"}

@@ -115,6 +115,7 @@ _STEPS["nove"] = f"""SELECT ore.Gruppo AS g, list_sort(list_filter([{", ".join(f
  FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM ore) ore USING (r) WHERE ore.Gruppo<>''"""
 _STEPS["nove_n"] = "SELECT g, s, count(*) AS n FROM nove GROUP BY 1,2"
 _STEPS["nove_sets"] = "SELECT g, list_filter(s, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, cast(sum(n) AS bigint) AS n FROM nove_n, range(1, 512) AS t(m) WHERE m < power(2, len(s)) GROUP BY 1,2"
+_STEPS["alla_guida"] = f"SELECT ID, Gruppo AS Municipio, {_AGE} AS FasciaEta, coalesce(Sesso,'') AS Sesso FROM incidenti JOIN persone ON ID=IDProtocollo WHERE TipoPersona='Conducente' AND Gruppo<>''"
 # Each protocol number in the four entities.
 _STEPS["presenze"] = """SELECT chiave, cast(count(*) FILTER (e='incidenti') AS bigint) AS incidenti, cast(count(*) FILTER (e='persone') AS bigint) AS persone, cast(count(*) FILTER (e='pedoni') AS bigint) AS pedoni, cast(count(*) FILTER (e='veicoli') AS bigint) AS veicoli FROM (
  SELECT ID AS chiave, 'incidenti' AS e FROM incidenti UNION ALL SELECT IDProtocollo, 'persone' FROM persone UNION ALL SELECT IDProtocollo, 'pedoni' FROM pedoni UNION ALL SELECT IDProtocollo, 'veicoli' FROM veicoli) GROUP BY 1"""
@@ -211,5 +212,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT 'incidenti' AS entity, '2014_0{m}' AS period, count(*) FILTER (k % 500 NOT IN (497, 499)) + count(*) FILTER (k % 500 IN (496, 498)) AS good, count(*) FILTER (k % 500 IN (497, 499)) AS corrupt FROM (SELECT o_orderkey AS k FROM orders) WHERE k % {d} = 0 AND (k % 200 <> 3 OR k % 500 = 499)"""
         for m, d in ((5, 2), (6, 3))
     ) + " UNION ALL SELECT 'persone', '2015', count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 <> 5), count(*) FILTER ((l_orderkey * 7 + l_linenumber) % 333 = 5) FROM lineitem",
+    "drivers_accidents": _with("SELECT Municipio, FasciaEta, Sesso, count(*) AS n, count(DISTINCT ID) AS NumIncidenti FROM alla_guida GROUP BY 1,2,3", "alla_guida"),
+    "drivers_accidents_totals": _with("SELECT Municipio, FasciaEta, Sesso, count(*) AS n, count(DISTINCT ID) AS NumIncidenti, GROUPING(Municipio, FasciaEta, Sesso) AS livello FROM alla_guida GROUP BY ROLLUP (Municipio, FasciaEta, Sesso)", "alla_guida"),
+    "makes_accidents": _with("SELECT Marca, coalesce(NaturaIncidente,'') AS TipoIncidente, count(*) AS NumVeicoli, count(DISTINCT ID) AS NumIncidenti FROM incidenti JOIN veicoli ON ID=IDProtocollo WHERE Marca<>'' GROUP BY 1,2"),
+    "accidents_sketched": _with("SELECT Gruppo, count(DISTINCT ID) AS NumIncidenti FROM (SELECT trim(i.Gruppo) AS Gruppo, i.ID, trim(i.NaturaIncidente) AS t, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND t<>'' AND (ts IS NULL OR year(ts)<>1996) GROUP BY 1", "quando"),
+    "pedestrians_and_young": _with(f"SELECT Gruppo, count(*) FILTER (p AND NOT g) AS sinistra, count(*) FILTER (g AND NOT p) AS destra, count(*) FILTER (p AND g) AS entrambi, count(*) AS unione FROM (SELECT DISTINCT Gruppo, ID, ID IN (SELECT IDProtocollo FROM pedoni) AS p, ID IN (SELECT IDProtocollo FROM persone WHERE TipoPersona='Conducente' AND {_AGE}='18-25') AS g FROM incidenti WHERE Gruppo<>'') WHERE p OR g GROUP BY 1"),
 }
 ORACLE["ingest_stream"] = ORACLE["ingest_files"]

@@ -32,16 +32,21 @@ from roadstats.operators import (
     baseline_from_counts,
     baseline_from_rules,
     childless_keys,
+    compare_sketches,
     count_by,
     count_itemsets,
+    distinct_sketches,
     filter_rules,
     integrity,
+    join_for_count,
     key_presence,
+    merge_sketches,
     mine_rules,
     orphan_keys,
     recode_groups,
     rule_lines,
     score_rules,
+    sketch_counts,
     top_groups,
     with_totals,
 )
@@ -680,3 +685,50 @@ def ingest_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     _raw_files(lines.filter("k % 3 = 0"), "incidenti", f"{raw}/consegna_2/dati_2014_06")
     take_in(spark, raw, store, checkpoint)
     return ingest_report(spark, store, delivery=r"/consegna_(\d+)/").drop("files")
+
+
+# --- different accidents per category ----------------------------------------------------
+
+
+@query
+def drivers_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers and different accidents per municipality, age band and sex."""
+    return jobs.drivers_accidents(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"))
+
+
+@query
+def drivers_accidents_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.drivers_accidents(
+        view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"), totals=True
+    )
+
+
+@query
+def makes_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.makes_accidents(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "veicoli"))
+
+
+@query
+def accidents_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different accidents per municipality from sketches kept by year, one of which is lost.
+
+    Exact while a municipality has at most 16,384 of them.
+    """
+    path = scratch(spark, "sketches")
+    kept = jobs.accident_sketches_by_period(view(spark, sf_dir, "incidenti"))
+    save_period_counts(kept, path)
+    save_period_counts(kept.limit(0), path, gone=["1996"])
+    schema = "Gruppo string, TipoIncidente string, sketch binary, period string"
+    return sketch_counts(merge_sketches(period_counts(spark, path, schema, "sketch"), ["Gruppo"]), out="NumIncidenti")
+
+
+@query
+def pedestrians_and_young(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per municipality: accidents with pedestrians only, with drivers below 26 only, with both, with either."""
+    accidents = view(spark, sf_dir, "incidenti").filter(F.col("Gruppo") != "")
+    persons = view(spark, sf_dir, "persone").filter(F.col("TipoPersona") == S.DRIVER)
+    young = persons.filter(age_band(birth_year("AnnoNascita")) == "18-25")
+    cols = {"Gruppo": "Gruppo", "ID": "ID"}
+    sides = (join_for_count(accidents, c, cols) for c in (view(spark, sf_dir, "pedoni"), young))
+    left, right = (distinct_sketches(s, {"Gruppo": "Gruppo"}, "ID") for s in sides)
+    return compare_sketches(left, right, ["Gruppo"])
