@@ -1,3 +1,4 @@
+from roadstats.operators.closed import essential_rules, mark_itemsets
 from roadstats.operators.counts import count_by, count_dimensions, rank_in_group, top_groups
 from roadstats.operators.distinct import (
     compare_sketches,
@@ -23,12 +24,15 @@ from roadstats.operators.rules import (
     rule_lines,
     score_rules,
 )
+from roadstats.operators.significance import adjusted, chi_squared, rule_counts, significant_rules
 from roadstats.operators.support import supported_itemsets, supported_rules
 from roadstats.operators.totals import with_totals
 
 __all__ = [
+    "adjusted",
     "baseline_from_counts",
     "baseline_from_rules",
+    "chi_squared",
     "childless_keys",
     "compare_sketches",
     "count_by",
@@ -37,12 +41,14 @@ __all__ = [
     "distinct_by",
     "distinct_sketches",
     "distinct_with_totals",
+    "essential_rules",
     "filter_rules",
     "integrity",
     "inverse_log_score",
     "itemsets",
     "join_for_count",
     "key_presence",
+    "mark_itemsets",
     "merge_sketches",
     "mine_rules",
     "nest",
@@ -52,8 +58,10 @@ __all__ = [
     "rank_in_group",
     "ratio_score",
     "recode_groups",
+    "rule_counts",
     "rule_lines",
     "score_rules",
+    "significant_rules",
     "sketch_counts",
     "supported_itemsets",
     "supported_rules",

@@ -28,6 +28,7 @@ from roadstats.operators import (
     distinct_by,
     distinct_sketches,
     distinct_with_totals,
+    essential_rules,
     filter_rules,
     itemsets,
     join_for_count,
@@ -39,6 +40,7 @@ from roadstats.operators import (
     score_rules,
     with_totals,
 )
+from roadstats.scratch import written
 
 
 def accidents_by_group(accidents: DataFrame) -> DataFrame:
@@ -353,12 +355,16 @@ def wide_itemsets(accidents: DataFrame) -> DataFrame:
 
 
 def scenario_rules_by_group(
-    accidents: DataFrame, score: str = "inverse_log", min_support: float = 0.0
+    accidents: DataFrame,
+    score: str = "inverse_log",
+    min_support: float = 0.0,
+    essential: bool = False,
+    min_antecedent: int = 2,
 ) -> DataFrame:
     """The scenario rules of every municipality, mined in one pass over the accidents.
 
     With ``min_support`` a rule's items must occur together in that share of the
-    municipality's accidents.
+    municipality's accidents; with ``essential`` rules go that a shorter antecedent gives.
     """
     raw = ["Gruppo", "Pavimentazione", "Illuminazione", "NaturaIncidente"]
     counted = count_by(accidents, {c: c for c in raw}, "n")
@@ -370,7 +376,10 @@ def scenario_rules_by_group(
     }
     sets = itemsets(counted, fields, weight="n", keep=["Gruppo"])
     rules = mine_rules(sets, min_support, by=["Gruppo"])
-    return score_rules(filter_rules(rules, min_antecedent=2), None, score)
+    if essential:
+        # The rules are read twice, the accidents once.
+        rules = essential_rules(written(rules, "rules"), ["Gruppo"])
+    return score_rules(filter_rules(rules, min_antecedent), None, score)
 
 
 def driver_rules_by_group(

@@ -116,6 +116,19 @@ _STEPS["nove"] = f"""SELECT ore.Gruppo AS g, list_sort(list_filter([{", ".join(f
 _STEPS["nove_n"] = "SELECT g, s, count(*) AS n FROM nove GROUP BY 1,2"
 _STEPS["nove_sets"] = "SELECT g, list_filter(s, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, cast(sum(n) AS bigint) AS n FROM nove_n, range(1, 512) AS t(m) WHERE m < power(2, len(s)) GROUP BY 1,2"
 _STEPS["alla_guida"] = f"SELECT ID, Gruppo AS Municipio, {_AGE} AS FasciaEta, coalesce(Sesso,'') AS Sesso FROM incidenti JOIN persone ON ID=IDProtocollo WHERE TipoPersona='Conducente' AND Gruppo<>''"
+_STEPS["nove_frequenti"] = "SELECT g, items, n FROM nove_sets JOIN (SELECT g, ceil(0.1 * count(*)) AS least FROM nove GROUP BY 1) USING (g) WHERE n >= least"
+# Larger sets of the same group, among all of any size.
+_MARKS = """NOT EXISTS (SELECT 1 FROM %s t WHERE t.g=s.g AND t.n=s.n AND len(t.items)>len(s.items) AND list_has_all(t.items, s.items)) AS chiuso,
+ NOT EXISTS (SELECT 1 FROM %s u WHERE u.g=s.g AND len(u.items)>len(s.items) AND list_has_all(u.items, s.items)) AS massimale"""
+_STEPS["nove_ventesimo"] = "SELECT g, items, n FROM nove_sets JOIN (SELECT g, ceil(0.05 * count(*)) AS least FROM nove GROUP BY 1) USING (g) WHERE n >= least"
+# Contingency counts of every rule, and erfc by the trapezoidal rule (step 1/2), whose
+# correction is for arguments below pi over the step.
+_STEPS["conti"] = """SELECT r.*, a.n AS n_antecedent, c.n AS n_consequent, t.records FROM (SELECT g, list_filter(items, lambda x: x <> cons) AS ante, cons, n, items FROM (SELECT *, unnest(items) AS cons FROM sc_sets WHERE len(items) > 1)) r
+ JOIN sc_sets a ON a.g=r.g AND a.items=r.ante JOIN sc_sets c ON c.g=r.g AND c.items=[r.cons] JOIN (SELECT g, cast(sum(n) AS bigint) AS records FROM sc_n GROUP BY 1) t ON t.g=r.g"""
+_STEPS["prova"] = """SELECT *, min(p*count_all/rank_p) OVER (ORDER BY chi2 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM (SELECT *, count(*) OVER () AS count_all, count(*) OVER (ORDER BY chi2 DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank_p FROM (
+ SELECT *, CASE WHEN z < 1e-7 THEN 1.0 ELSE z/pi()*exp(-z*z)*(1/(2*z*z) + list_sum(list_transform(range(1, 15), lambda k: exp(-k*k*0.25)/(z*z+k*k*0.25)))) + CASE WHEN z < 2*pi() THEN 2/(1-exp(4*pi()*z)) ELSE 0 END END AS p FROM (SELECT *, sqrt(chi2/2) AS z FROM (
+ SELECT *, CASE WHEN n_antecedent=records OR n_consequent=records THEN 0.0 ELSE power(n*1.0*(records-n_antecedent-n_consequent+n)-(n_antecedent-n)*1.0*(n_consequent-n), 2)*records/(n_antecedent*1.0*n_consequent*(records-n_antecedent)*(records-n_consequent)) END AS chi2 FROM sc_conti))))"""
+_TESTED = "n, n_antecedent, n_consequent, records, round(n_antecedent*n_consequent/records, 6) AS atteso, round(chi2, 6) AS chi2, round(p, 9) AS p, round(least(1, q), 9) AS p_corretto"
 # Each protocol number in the four entities.
 _STEPS["presenze"] = """SELECT chiave, cast(count(*) FILTER (e='incidenti') AS bigint) AS incidenti, cast(count(*) FILTER (e='persone') AS bigint) AS persone, cast(count(*) FILTER (e='pedoni') AS bigint) AS pedoni, cast(count(*) FILTER (e='veicoli') AS bigint) AS veicoli FROM (
  SELECT ID AS chiave, 'incidenti' AS e FROM incidenti UNION ALL SELECT IDProtocollo, 'persone' FROM persone UNION ALL SELECT IDProtocollo, 'pedoni' FROM pedoni UNION ALL SELECT IDProtocollo, 'veicoli' FROM veicoli) GROUP BY 1"""
@@ -217,5 +230,10 @@ ORACLE: dict[str, str] = {
     "makes_accidents": _with("SELECT Marca, coalesce(NaturaIncidente,'') AS TipoIncidente, count(*) AS NumVeicoli, count(DISTINCT ID) AS NumIncidenti FROM incidenti JOIN veicoli ON ID=IDProtocollo WHERE Marca<>'' GROUP BY 1,2"),
     "accidents_sketched": _with("SELECT Gruppo, count(DISTINCT ID) AS NumIncidenti FROM (SELECT trim(i.Gruppo) AS Gruppo, i.ID, trim(i.NaturaIncidente) AS t, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND t<>'' AND (ts IS NULL OR year(ts)<>1996) GROUP BY 1", "quando"),
     "pedestrians_and_young": _with(f"SELECT Gruppo, count(*) FILTER (p AND NOT g) AS sinistra, count(*) FILTER (g AND NOT p) AS destra, count(*) FILTER (p AND g) AS entrambi, count(*) AS unione FROM (SELECT DISTINCT Gruppo, ID, ID IN (SELECT IDProtocollo FROM pedoni) AS p, ID IN (SELECT IDProtocollo FROM persone WHERE TipoPersona='Conducente' AND {_AGE}='18-25') AS g FROM incidenti WHERE Gruppo<>'') WHERE p OR g GROUP BY 1"),
+    "itemsets_closed": _with(f"SELECT {_JOINED % 's.items'} AS items, s.n, {_MARKS % ('sc_sets', 'sc_sets')} FROM sc_sets s", "sc", "sc_n", "sc_sets"),
+    "itemsets_closed_by_group": _with(f"SELECT s.g AS Gruppo, {_JOINED % 's.items'} AS items, s.n, {_MARKS % ('nove_frequenti', 'nove_frequenti')} FROM nove_frequenti s", "quando", "ore", "nove", "nove_n", "nove_sets", "nove_frequenti"),
+    "scenario_rules_essential": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules r WHERE NOT list_contains(ante, '') AND NOT EXISTS (SELECT 1 FROM sc_rules q JOIN sc_pairs a ON a.g=q.g AND a.ante=q.ante AND a.cons=q.cons JOIN sc_pairs b ON b.g=r.g AND b.ante=r.ante AND b.cons=r.cons WHERE q.g=r.g AND q.cons=r.cons AND len(q.ante)<len(r.ante) AND list_has_all(r.ante, q.ante) AND q.confidence=r.confidence AND a.n=b.n)", "sc=sc_g", "sc_n", "sc_sets", "sc_pairs", "sc_rules"),
+    "rules_tested": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "sc", "sc_n", "sc_sets", "sc_conti=conti", "prova"),
+    "rules_tested_by_group": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "quando", "ore", "nove", "nove_n", "nove_sets", "sc_sets=nove_ventesimo", "sc_n=nove_n", "sc_conti=conti", "prova"),
 }
 ORACLE["ingest_stream"] = ORACLE["ingest_files"]

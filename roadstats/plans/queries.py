@@ -36,16 +36,19 @@ from roadstats.operators import (
     count_by,
     count_itemsets,
     distinct_sketches,
+    essential_rules,
     filter_rules,
     integrity,
     join_for_count,
     key_presence,
+    mark_itemsets,
     merge_sketches,
     mine_rules,
     orphan_keys,
     recode_groups,
     rule_lines,
     score_rules,
+    significant_rules,
     sketch_counts,
     top_groups,
     with_totals,
@@ -732,3 +735,52 @@ def pedestrians_and_young(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = (join_for_count(accidents, c, cols) for c in (view(spark, sf_dir, "pedoni"), young))
     left, right = (distinct_sketches(s, {"Gruppo": "Gruppo"}, "ID") for s in sides)
     return compare_sketches(left, right, ["Gruppo"])
+
+
+# --- closed and maximal itemsets, essential rules ----------------------------------------
+
+
+@query
+def itemsets_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All itemsets of the scenarios, listed without a support, with their marks."""
+    found = count_itemsets(jobs.scenario_itemsets(view(spark, sf_dir, "incidenti")))
+    return mark_itemsets(found).select(_joined("items").alias("items"), "n", "chiuso", "massimale")
+
+
+@query
+def itemsets_closed_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The itemsets of ``itemsets_wide_by_group`` with their marks."""
+    found = count_itemsets(jobs.wide_itemsets(view(spark, sf_dir, "incidenti")), min_support=0.1, by=["Gruppo"])
+    marked = mark_itemsets(written(found, "found"), ["Gruppo"])
+    return marked.select("Gruppo", _joined("items").alias("items"), "n", "chiuso", "massimale")
+
+
+@query
+def scenario_rules_essential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of every municipality's scenarios that no shorter antecedent gives."""
+    rules = jobs.scenario_rules_by_group(view(spark, sf_dir, "incidenti"), essential=True, min_antecedent=1)
+    return _flat_rules(rules, "Gruppo", "confidence", F.round("score", 9).alias("score"))
+
+
+# --- rules that are no chance --------------------------------------------------------------
+
+
+def _tested(rules: DataFrame, *rest: str) -> DataFrame:
+    numbers = [F.round(c, 6).alias(c) for c in ("atteso", "chi2")] + [F.round(c, 9).alias(c) for c in ("p", "p_corretto")]
+    return _flat_rules(rules, *rest, "n", "n_antecedent", "n_consequent", "records", *numbers)
+
+
+@query
+def rules_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scenario rules with chi-squared and corrected probability."""
+    sets = jobs.scenario_itemsets(view(spark, sf_dir, "incidenti"))
+    return _tested(significant_rules(count_itemsets(sets), sets))
+
+
+@query
+def rules_tested_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within every municipality, over the rules of five records and more in a hundred;
+    corrected for all of them."""
+    sets = written(jobs.wide_itemsets(view(spark, sf_dir, "incidenti")), "sets")
+    found = count_itemsets(sets, min_support=0.05, by=["Gruppo"])
+    return _tested(significant_rules(found, sets, ["Gruppo"]), "Gruppo")
