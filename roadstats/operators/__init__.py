@@ -24,6 +24,7 @@ from roadstats.operators.rules import (
     rule_lines,
     score_rules,
 )
+from roadstats.operators.series import months_by, with_trend
 from roadstats.operators.significance import adjusted, chi_squared, rule_counts, significant_rules
 from roadstats.operators.support import supported_itemsets, supported_rules
 from roadstats.operators.totals import with_totals
@@ -51,6 +52,7 @@ __all__ = [
     "mark_itemsets",
     "merge_sketches",
     "mine_rules",
+    "months_by",
     "nest",
     "nest_dimensions",
     "nest_map",
@@ -67,4 +69,5 @@ __all__ = [
     "supported_rules",
     "top_groups",
     "with_totals",
+    "with_trend",
 ]

@@ -4,6 +4,7 @@ result is a document, a ``*_documents`` form nested from it."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +34,14 @@ from roadstats.operators import (
     itemsets,
     join_for_count,
     mine_rules,
+    months_by,
     nest,
     nest_dimensions,
     nest_map,
     rank_in_group,
     score_rules,
     with_totals,
+    with_trend,
 )
 from roadstats.scratch import written
 
@@ -192,6 +195,17 @@ def drivers_documents(
     return nest(flat, ["Municipio", "FasciaEta"], fields, ["info", "Info"], count="n", total=total)
 
 
+def types_by_month(accidents: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Accidents per municipality, type and month without gaps, with moving mean and change on the year."""
+    rows = accidents.select(
+        java_trim("Gruppo").alias("Gruppo"),
+        java_trim("NaturaIncidente").alias("TipoIncidente"),
+        parse_when(java_trim("DataOraIncidente")).alias("w"),
+    )
+    keys = ["Gruppo", "TipoIncidente"]
+    return with_trend(months_by(rows, {k: k for k in keys}, "w.ts", first, last, require=keys), keys)
+
+
 def drivers_with_totals(
     accidents: DataFrame, persons: DataFrame, reference_year: int = S.REFERENCE_YEAR
 ) -> DataFrame:

@@ -140,6 +140,17 @@ def _entity(name: str, key: str, lone: str) -> str:
  count(DISTINCT {key}) FILTER ({lone}) AS spaiate, count(*) FILTER ({lone}) AS righe_spaiate FROM {name}"""
 
 
+_STEPS["mesi"] = "SELECT Gruppo, TipoIncidente, cast(date_trunc('month', ts) AS date) AS mese, count(*) AS n FROM (SELECT trim(i.Gruppo) AS Gruppo, trim(i.NaturaIncidente) AS TipoIncidente, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND TipoIncidente<>'' AND ts IS NOT NULL GROUP BY 1,2,3"
+
+
+def _monthly(first: str, last: str) -> str:
+    return f"""SELECT Gruppo, TipoIncidente, mese, n, round(avg(n) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 9) AS media, lag(n, 12) OVER w AS anno_prima,
+ round(cast(n - lag(n, 12) OVER w AS double) / nullif(lag(n, 12) OVER w, 0), 9) AS variazione
+ FROM (SELECT Gruppo, TipoIncidente, mese, coalesce(n, 0) AS n FROM (SELECT DISTINCT Gruppo, TipoIncidente FROM mesi WHERE mese BETWEEN {first} AND {last})
+ CROSS JOIN (SELECT cast(unnest(generate_series({first}, {last}, INTERVAL 1 MONTH)) AS date) AS mese) LEFT JOIN mesi USING (Gruppo, TipoIncidente, mese))
+ WINDOW w AS (PARTITION BY Gruppo, TipoIncidente ORDER BY mese)"""
+
+
 _LINE = "'[' || array_to_string(list_sort([a,b,f]), ', ') || '] => [' || c || '], ' || cast(cast(round(confidence/freq, 4) AS decimal(18,4)) AS varchar)"
 
 ORACLE: dict[str, str] = {
@@ -235,5 +246,7 @@ ORACLE: dict[str, str] = {
     "scenario_rules_essential": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules r WHERE NOT list_contains(ante, '') AND NOT EXISTS (SELECT 1 FROM sc_rules q JOIN sc_pairs a ON a.g=q.g AND a.ante=q.ante AND a.cons=q.cons JOIN sc_pairs b ON b.g=r.g AND b.ante=r.ante AND b.cons=r.cons WHERE q.g=r.g AND q.cons=r.cons AND len(q.ante)<len(r.ante) AND list_has_all(r.ante, q.ante) AND q.confidence=r.confidence AND a.n=b.n)", "sc=sc_g", "sc_n", "sc_sets", "sc_pairs", "sc_rules"),
     "rules_tested": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "sc", "sc_n", "sc_sets", "sc_conti=conti", "prova"),
     "rules_tested_by_group": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "quando", "ore", "nove", "nove_n", "nove_sets", "sc_sets=nove_ventesimo", "sc_n=nove_n", "sc_conti=conti", "prova"),
+    "types_monthly": _with(_monthly("(SELECT min(mese) FROM mesi)", "(SELECT max(mese) FROM mesi)"), "quando", "mesi"),
+    "types_monthly_period": _with(_monthly("DATE '1993-12-01'", "DATE '1996-05-01'"), "quando", "mesi"),
 }
 ORACLE["ingest_stream"] = ORACLE["ingest_files"]

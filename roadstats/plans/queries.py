@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -784,3 +785,22 @@ def rules_tested_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = written(jobs.wide_itemsets(view(spark, sf_dir, "incidenti")), "sets")
     found = count_itemsets(sets, min_support=0.05, by=["Gruppo"])
     return _tested(significant_rules(found, sets, ["Gruppo"]), "Gruppo")
+
+
+# --- months ----------------------------------------------------------------------------------
+
+
+def _trend(series: DataFrame) -> DataFrame:
+    return series.withColumns({c: F.round(c, 9) for c in ("media", "variazione")})
+
+
+@query
+def types_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accidents per municipality, type and month of the whole period, with their trend."""
+    return _trend(jobs.types_by_month(view(spark, sf_dir, "incidenti")))
+
+
+@query
+def types_monthly_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from December 1993 to May 1996."""
+    return _trend(jobs.types_by_month(view(spark, sf_dir, "incidenti"), date(1993, 12, 1), date(1996, 5, 31)))
