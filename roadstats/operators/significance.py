@@ -69,14 +69,18 @@ def chi_squared(counts: DataFrame) -> DataFrame:
     ``atteso`` is how many records would follow the rule if its sides were independent,
     ``chi2`` the statistic of the two-by-two table with one degree of freedom and ``p``
     the probability of one at least as large. A side that all records of the group have
-    says nothing: 0 and 1. Computed from shares, so that no product of counts overflows.
+    says nothing: 0 and 1. How far a count is off is taken exactly, in decimals, as
+    near independence two large products differ by little.
     """
-    total = F.col("records").cast("double")
-    left, right = F.col("n_antecedent") / total, F.col("n_consequent") / total
-    spread = left * (1 - left) * right * (1 - right)
-    off = F.col("n") / total - left * right
-    chi2 = F.when(spread > 0, total * off * off / spread).otherwise(F.lit(0.0))
-    out = counts.withColumn("atteso", left * right * total).withColumn("chi2", chi2)
+    total, left, right = (F.col(c) for c in ("records", "n_antecedent", "n_consequent"))
+
+    def exact(x: Column, y: Column) -> Column:
+        return x.cast("decimal(19,0)") * y.cast("decimal(19,0)")
+
+    off = (exact(F.col("n"), total) - exact(left, right)).cast("double")
+    spread = left.cast("double") * right * (total - left) * (total - right)
+    chi2 = F.when(spread > 0, off * off * total / spread).otherwise(F.lit(0.0))
+    out = counts.withColumn("atteso", left.cast("double") * right / total).withColumn("chi2", chi2)
     return out.withColumn("p", erfc(F.sqrt(F.col("chi2") / 2)))
 
 
