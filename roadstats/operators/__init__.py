@@ -8,6 +8,7 @@ from roadstats.operators.distinct import (
     merge_sketches,
     sketch_counts,
 )
+from roadstats.operators.heavy import bucket_counts, merge_buckets, top_values
 from roadstats.operators.integrity import childless_keys, integrity, key_presence, orphan_keys
 from roadstats.operators.joins import join_for_count
 from roadstats.operators.nest import nest, nest_dimensions, nest_map
@@ -33,6 +34,7 @@ __all__ = [
     "adjusted",
     "baseline_from_counts",
     "baseline_from_rules",
+    "bucket_counts",
     "chi_squared",
     "childless_keys",
     "compare_sketches",
@@ -50,6 +52,7 @@ __all__ = [
     "join_for_count",
     "key_presence",
     "mark_itemsets",
+    "merge_buckets",
     "merge_sketches",
     "mine_rules",
     "months_by",
@@ -68,6 +71,7 @@ __all__ = [
     "supported_itemsets",
     "supported_rules",
     "top_groups",
+    "top_values",
     "with_totals",
     "with_trend",
 ]

@@ -24,6 +24,7 @@ from roadstats.functions import (
 )
 from roadstats.operators import (
     baseline_from_counts,
+    bucket_counts,
     count_by,
     count_dimensions,
     distinct_by,
@@ -40,6 +41,7 @@ from roadstats.operators import (
     nest_map,
     rank_in_group,
     score_rules,
+    top_values,
     with_totals,
     with_trend,
 )
@@ -206,6 +208,35 @@ def types_by_month(accidents: DataFrame, first: date | None = None, last: date |
     return with_trend(months_by(rows, {k: k for k in keys}, "w.ts", first, last, require=keys), keys)
 
 
+def busiest_accidents(accidents: DataFrame, persons: DataFrame, k: int = 10) -> DataFrame:
+    """The accidents with the most persons of every municipality."""
+    cols = {"Gruppo": java_trim("Gruppo"), "ID": "ID"}
+    joined = written(join_for_count(accidents.filter(is_filled("Gruppo")), persons, cols), "joined")
+    return top_values(joined, {"Gruppo": "Gruppo"}, "ID", k, "NumPersone", require=["Gruppo"], weight="n")
+
+
+def accident_days(accidents: DataFrame) -> DataFrame:
+    """``Gruppo, giorno, period`` of the accidents with a known day, written: it is read several times."""
+    when = parse_when(java_trim("DataOraIncidente"))["ts"]
+    rows = accidents.select(java_trim("Gruppo").alias("Gruppo"), F.to_date(when).alias("giorno"))
+    rows = written(rows, "days").filter(F.col("giorno").isNotNull())
+    return rows.withColumn("period", F.date_format("giorno", "yyyy"))
+
+
+def worst_days(days: DataFrame, k: int = 10, summary: DataFrame | None = None) -> DataFrame:
+    """The days of :func:`accident_days` with the most accidents of every municipality.
+
+    ``summary`` are the merged counts of :func:`day_buckets_by_period` for the same days.
+    """
+    out = top_values(days, {"Gruppo": "Gruppo"}, "giorno", k, require=["Gruppo"], summary=summary)
+    return out.withColumnRenamed("valore", "giorno")
+
+
+def day_buckets_by_period(days: DataFrame) -> DataFrame:
+    """Bucket counts of the days of :func:`accident_days` per municipality and year, to be kept and merged."""
+    return bucket_counts(days, {"Gruppo": "Gruppo", "period": "period"}, "giorno", require=["Gruppo"])
+
+
 def drivers_with_totals(
     accidents: DataFrame, persons: DataFrame, reference_year: int = S.REFERENCE_YEAR
 ) -> DataFrame:

@@ -140,6 +140,7 @@ def _entity(name: str, key: str, lone: str) -> str:
  count(DISTINCT {key}) FILTER ({lone}) AS spaiate, count(*) FILTER ({lone}) AS righe_spaiate FROM {name}"""
 
 
+_STEPS["giorni"] = "SELECT Gruppo, giorno, count(*) AS n FROM (SELECT trim(i.Gruppo) AS Gruppo, cast(q.ts AS date) AS giorno FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND giorno IS NOT NULL GROUP BY 1,2"
 _STEPS["mesi"] = "SELECT Gruppo, TipoIncidente, cast(date_trunc('month', ts) AS date) AS mese, count(*) AS n FROM (SELECT trim(i.Gruppo) AS Gruppo, trim(i.NaturaIncidente) AS TipoIncidente, q.ts FROM (SELECT row_number() OVER () AS r, * FROM incidenti) i JOIN (SELECT row_number() OVER () AS r, * FROM quando) q USING (r)) WHERE Gruppo<>'' AND TipoIncidente<>'' AND ts IS NOT NULL GROUP BY 1,2,3"
 
 
@@ -246,6 +247,10 @@ ORACLE: dict[str, str] = {
     "scenario_rules_essential": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, confidence, {_SCORE} AS score FROM sc_rules r WHERE NOT list_contains(ante, '') AND NOT EXISTS (SELECT 1 FROM sc_rules q JOIN sc_pairs a ON a.g=q.g AND a.ante=q.ante AND a.cons=q.cons JOIN sc_pairs b ON b.g=r.g AND b.ante=r.ante AND b.cons=r.cons WHERE q.g=r.g AND q.cons=r.cons AND len(q.ante)<len(r.ante) AND list_has_all(r.ante, q.ante) AND q.confidence=r.confidence AND a.n=b.n)", "sc=sc_g", "sc_n", "sc_sets", "sc_pairs", "sc_rules"),
     "rules_tested": _with(f"SELECT {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "sc", "sc_n", "sc_sets", "sc_conti=conti", "prova"),
     "rules_tested_by_group": _with(f"SELECT g AS Gruppo, {_JOINED % 'ante'} AS antecedent, cons AS consequent, {_TESTED} FROM prova", "quando", "ore", "nove", "nove_n", "nove_sets", "sc_sets=nove_ventesimo", "sc_n=nove_n", "sc_conti=conti", "prova"),
+    "busiest_accidents": _with("SELECT *, row_number() OVER (PARTITION BY Gruppo ORDER BY NumPersone DESC, ID) AS pos FROM (SELECT trim(Gruppo) AS Gruppo, ID, count(*) AS NumPersone FROM incidenti JOIN persone ON ID=IDProtocollo WHERE Gruppo<>'' GROUP BY 1,2) QUALIFY pos<=10"),
+    "worst_days": _with("SELECT *, row_number() OVER (PARTITION BY Gruppo ORDER BY n DESC, giorno) AS pos FROM giorni QUALIFY pos<=10", "quando", "giorni"),
+    "worst_days_kept": _with("SELECT *, row_number() OVER (PARTITION BY Gruppo ORDER BY n DESC, giorno) AS pos FROM giorni WHERE year(giorno)<>1996 QUALIFY pos<=10", "quando", "giorni"),
+    "worst_days_overall": _with("SELECT *, row_number() OVER (ORDER BY n DESC, giorno) AS pos FROM (SELECT cast(ts AS date) AS giorno, count(*) AS n FROM quando WHERE ts IS NOT NULL GROUP BY 1) QUALIFY pos<=100", "quando"),
     "types_monthly": _with(_monthly("(SELECT min(mese) FROM mesi)", "(SELECT max(mese) FROM mesi)"), "quando", "mesi"),
     "types_monthly_period": _with(_monthly("DATE '1993-12-01'", "DATE '1996-05-01'"), "quando", "mesi"),
 }

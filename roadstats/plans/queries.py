@@ -43,6 +43,7 @@ from roadstats.operators import (
     join_for_count,
     key_presence,
     mark_itemsets,
+    merge_buckets,
     merge_sketches,
     mine_rules,
     orphan_keys,
@@ -52,6 +53,7 @@ from roadstats.operators import (
     significant_rules,
     sketch_counts,
     top_groups,
+    top_values,
     with_totals,
 )
 from roadstats.plans import jobs
@@ -804,3 +806,38 @@ def types_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def types_monthly_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from December 1993 to May 1996."""
     return _trend(jobs.types_by_month(view(spark, sf_dir, "incidenti"), date(1993, 12, 1), date(1996, 5, 31)))
+
+
+# --- the most frequent values of a group ---------------------------------------------------
+
+
+@query
+def busiest_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten accidents with the most persons of every municipality."""
+    found = jobs.busiest_accidents(view(spark, sf_dir, "incidenti"), view(spark, sf_dir, "persone"))
+    return found.withColumnRenamed("valore", "ID")
+
+
+@query
+def worst_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten days with the most accidents of every municipality."""
+    return jobs.worst_days(jobs.accident_days(view(spark, sf_dir, "incidenti")))
+
+
+@query
+def worst_days_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from bucket counts kept by year, one of which was delivered twice and one lost."""
+    path, keys = scratch(spark, "days"), ["Gruppo", "riga", "cesto"]
+    days = jobs.accident_days(view(spark, sf_dir, "incidenti"))
+    kept = written(jobs.day_buckets_by_period(days), "kept")
+    save_period_counts(kept, path)
+    totals = merge_buckets(kept, ["Gruppo"])
+    totals = replace_periods(kept.filter("period = '1994'"), totals, path, keys, gone=["1996"])
+    return jobs.worst_days(days.filter("period <> '1996'"), summary=totals)
+
+
+@query
+def worst_days_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred days with the most accidents of all municipalities."""
+    days = jobs.accident_days(view(spark, sf_dir, "incidenti"))
+    return top_values(days, {}, "giorno", 100).withColumnRenamed("valore", "giorno")
