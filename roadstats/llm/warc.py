@@ -115,19 +115,35 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def _roles(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """``pages`` with ``refers_to`` (NULL for responses)."""
+def _roles(pages: DataFrame, least_bytes: int, hot_rows: int) -> DataFrame:
+    """``pages`` with ``refers_to`` (NULL for responses).
+
+    Only payloads that occur more than once are looked up, and html is not dealt by
+    its digest: a payload of ``hot_rows`` rows or more is found in a broadcast table,
+    which has at most one row for each ``hot_rows`` pages; the others by digest and
+    page, which spreads the copies of a payload.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("_sha1"))
-    # One row per digest, aggregated before the shuffle; a large group of copies costs no task much.
-    largest = rows.groupBy("_sha1").agg(F.max("page_id").alias("_largest"))
-    joined = rows.join(largest, "_sha1")
-    revisit = (
-        (F.octet_length("html") >= least_bytes)
-        & F.col("_largest").isNotNull()
-        & ~F.col("page_id").eqNullSafe(F.col("_largest"))
+    rows = pages.select(
+        "page_id",
+        "url",
+        html.alias("html"),
+        F.sha1(F.encode(html, "UTF-8")).alias("_sha1"),
+        F.xxhash64("page_id", "url").alias("_page"),
     )
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("_largest")).alias("refers_to"))
+    # One row per digest, aggregated before the shuffle.
+    long_enough = rows.filter(F.octet_length("html") >= least_bytes)
+    found = long_enough.groupBy("_sha1").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n"))
+    repeated = materialize(found.filter((F.col("_n") > 1) & F.col("_largest").isNotNull()), "repeated")
+    hot = repeated.filter(F.col("_n") >= hot_rows).select("_sha1", F.col("_largest").alias("_hot"))
+    few = repeated.filter(F.col("_n") < hot_rows).drop("_n")
+    # Without html, and with fewer than ``hot_rows`` rows of any digest.
+    members = long_enough.select("_sha1", "_page").distinct().join(few, "_sha1")
+    members = materialize(members, "members")
+    joined = rows.join(F.broadcast(hot), "_sha1", "left").join(members, ["_sha1", "_page"], "left")
+    refers = F.coalesce("_hot", "_largest")
+    revisit = refers.isNotNull() & ~F.col("page_id").eqNullSafe(refers)
+    return joined.select("page_id", "url", "html", F.when(revisit, refers).alias("refers_to"))
 
 
 def write_archives(
@@ -136,9 +152,11 @@ def write_archives(
     least_bytes: int = 0,
     archive_bytes: int = 64 << 20,
     date: str = "2000-01-01T00:00:00Z",
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Write a record per row of ``pages`` (``page_id, url, html``); returns the index.
 
+    Other columns of ``pages`` are not read.
     Of records with equal payloads of at least ``least_bytes`` bytes the one with
     the largest page_id is the response. A task writes under a name of its own
     and moves each file to its place when it is whole, so a task that is lost or
@@ -186,7 +204,7 @@ def write_archives(
             yield close()
 
     # The written index is what counts: files of a task that ran twice are in no index.
-    return materialize(_roles(pages, least_bytes).mapInArrow(write, INDEX), "warc-index")
+    return materialize(_roles(pages, least_bytes, hot_rows).mapInArrow(write, INDEX), "warc-index")
 
 
 def _ranges(entries: Iterable[tuple[str, int, int]], gap: int, most: int) -> Iterator[tuple[str, int, list]]:

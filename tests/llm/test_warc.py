@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from roadstats.llm.warc import _ranges, archive_folder, read_record, read_records, write_archives, write_record
+from roadstats.llm.warc import _ranges, _roles, archive_folder, read_record, read_records, write_archives, write_record
 
 PAGES = "page_id long, url string, html string, digest string"
 ROWS = [
@@ -42,10 +42,12 @@ def expected(rows, least=0):
 COLUMNS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@pytest.mark.parametrize(("least", "size"), [(0, 1 << 20), (0, 1), (5, 300)])
-def test_round_trip(spark, least, size):
+@pytest.mark.parametrize(
+    ("least", "size", "hot"), [(0, 1 << 20, 100_000), (0, 1, 3), (5, 300, 100_000), (5, 300, 2), (1, 1 << 20, 4)]
+)
+def test_round_trip(spark, least, size, hot):
     pages = spark.createDataFrame(ROWS, PAGES)
-    index = write_archives(pages, archive_folder(pages), least_bytes=least, archive_bytes=size)
+    index = write_archives(pages, archive_folder(pages), least_bytes=least, archive_bytes=size, hot_rows=hot)
     rows = read_records(index).collect()
     assert sorted((tuple(r[c] for c in COLUMNS) for r in rows), key=str) == expected(ROWS, least)
     html = {(r["page_id"], r["url"]): r["payload"] for r in rows if r["record_type"] == "response"}
@@ -55,6 +57,29 @@ def test_round_trip(spark, least, size):
         assert {r["url"] for r in rows} == {u for _, u, _, _ in ROWS}
 
 
+@pytest.mark.parametrize("hot", [50, 100_000])
+def test_a_third_of_the_pages_is_empty(spark, hot):
+    rows = [(i, f"http://{i}/", None if i % 3 == 0 else f"<p>{i // 2}</p>", "own") for i in range(600)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(8)
+    index = write_archives(pages, archive_folder(pages), hot_rows=hot)
+    got = read_records(index).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=str) == expected(rows)
+
+
+def test_html_is_not_dealt_by_its_digest(spark):
+    rows = [(i, f"http://{i}/", "same", "own") for i in range(400)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        made = _roles(spark.createDataFrame(rows, PAGES), 0, 100_000)
+        sizes = made.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) < 200
+
+
 def test_index_selects_records(spark):
     pages = spark.createDataFrame(ROWS, PAGES)
     index = write_archives(pages, archive_folder(pages))
