@@ -69,8 +69,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-
-
 def parts(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
     """Number of pieces of about ``part_bytes`` each, never fewer than the shuffle's partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

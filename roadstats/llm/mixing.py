@@ -69,12 +69,14 @@ def rake(
     tolerance: float = 5e-4,
     block: int = 4,
 ) -> DataFrame:
-    """``cells`` with ``weight``: at most ``tokens``, and raked to the targets of every dimension.
+    """``cells`` with ``weight``, at most ``tokens`` and raked to the targets of every dimension, and ``unmet``.
 
     The weights' sum aims at ``keep`` of all tokens. A value without a target
     gets none. Sweeps end when no dimension's sum is off by more than
     ``tolerance`` of all weight, when a sweep moves no more than that, or after
     ``sweeps``; targets that the cells cannot meet are met as far as they can.
+    ``unmet`` is the same in all rows: how far the worst sum is off then, as a share
+    of all weight.
     """
     aim = F.sum("tokens").over(Window.partitionBy()) * keep
     held = cells.withColumn("_aim", aim)
@@ -85,6 +87,7 @@ def rake(
     held = materialize(held.withColumn("weight", F.col("tokens") * keep), "cells")
     # Cells are few: a shuffle needs a task for each 100,000 of them.
     tasks = 1 + held.count() // 100_000
+    error = None
     for _ in range(0, sweeps, block):
         for _ in range(block):
             held = held.withColumn("_last", F.col("weight"))
@@ -103,7 +106,8 @@ def rake(
         error, change = worst.agg(F.max("e"), F.sum("m")).first()
         if error is None or min(error, change) <= tolerance:
             break
-    return held.drop("_aim", "_last", *[f"_t_{d}" for d in targets])
+    out = held.drop("_aim", "_last", *[f"_t_{d}" for d in targets])
+    return out.withColumn("unmet", F.lit(error).cast("double"))
 
 
 def mix(
@@ -114,7 +118,7 @@ def mix(
     seed: int = 11,
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``tokens, topic, weight, probability, kept``; no row is dropped.
+    """``docs`` with ``tokens, topic, weight, probability, unmet, kept``; no row is dropped.
 
     ``targets`` gives a table ``_<dimension>, target`` of shares for each
     dimension, with values written "=value" and "-" for NULL; by default the
@@ -122,17 +126,19 @@ def mix(
     its tokens times its probability. ``kept`` compares the probability with a
     hash of doc_id and text, so equal rows are kept or left together and a
     NULL doc_id needs no care. NULL categories are categories of their own. A
-    blank text counts as one token. An empty table gives no rows.
+    blank text counts as one token. ``unmet`` tells how far the targets were missed, see
+    :func:`rake`. Columns that clash with those made here are replaced, but for a topic,
+    which counts. An empty table gives no rows.
     """
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    made = ("tokens", "weight", "probability", "kept", "_draw", *[f"_{d}" for d in DIMENSIONS])
+    made = ("tokens", "weight", "probability", "unmet", "kept", "_draw", *[f"_{d}" for d in DIMENSIONS])
     rows = with_tokens(docs.select(*without(docs, *made))).withColumn("_draw", draw)
     rows = rows.withColumns({f"_{d}": _key(d) for d in DIMENSIONS})
     rows = materialize(rows if keep_text else rows.drop("text"), "mix-rows")
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = materialize(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "cells")
     weighed = rake(cells, targets or default_targets(cells, temper), keep)
-    chance = weighed.select(*keys, (F.col("weight") / F.col("tokens")).alias("probability"))
+    chance = weighed.select(*keys, (F.col("weight") / F.col("tokens")).alias("probability"), "unmet")
     # The cells were just written, so their size is known; Spark broadcasts them only while they are small.
     joined = rows.join(chance, keys)
     return joined.withColumns(

@@ -71,7 +71,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     mixed = mix(docs, keep=0.7, keep_text=False)
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "unmet", "kept")
 
 
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

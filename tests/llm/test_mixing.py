@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import math
+import re
+import struct
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 
 from roadstats.llm.mixing import DIMENSIONS, mix, rake
 
@@ -78,3 +82,91 @@ def test_given_targets(spark, documents):
     rows = mix(docs, wanted, keep=0.4).collect()
     assert abs(sum(r["weight"] for r in rows if r["lang"] is None) / sum(r["weight"] for r in rows) - 0.5) < 1e-3
     assert set(DIMENSIONS) <= set(rows[0].asDict())
+
+
+def drawn(doc_id, text, seed=11):
+    """The number in [0, 1) that a document is drawn by."""
+    h = 42
+    for raw in (
+        None if doc_id is None else struct.pack("<q", doc_id),
+        None if text is None else text.encode(),
+        struct.pack("<i", seed),
+    ):
+        h = h if raw is None else xxhash.xxh64_intdigest(raw, h)
+    return (h & ((1 << 40) - 1)) / (1 << 40)
+
+
+def form(text):
+    text = text or ""
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    if n == 0:
+        return "empty"
+    if " | " in text:
+        return "table"
+    if n < 100:
+        return "short"
+    if text.count("\n") * 8 > n:
+        return "list"
+    return "long" if n >= 1000 else "prose"
+
+
+def mixed_by_hand(docs, keep, tolerance=5e-4):
+    """Tokens, topic, probability and draw of each (doc_id, text, source, lang)."""
+    tokens = [max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for _, t, _, _ in docs]
+    cell_of = [(source, lang, form(t)) for _, t, source, lang in docs]
+    cells = defaultdict(float)
+    for c, n in zip(cell_of, tokens, strict=True):
+        cells[c] += n
+    targets = []
+    for d, exponent in enumerate((0.7, 0.7, 0.9)):
+        sums = defaultdict(float)
+        for c, n in cells.items():
+            sums[c[d]] += n
+        whole = sum(s**exponent for s in sums.values())
+        targets.append({v: s**exponent / whole for v, s in sums.items()})
+    aim, weight = keep * sum(cells.values()), {}
+    for sweeps in range(4, 61, 4):
+        last, weight = (raked_by_hand(cells, targets, keep, s) for s in (sweeps - 1, sweeps))
+        error = 0.0
+        for d, wanted in enumerate(targets):
+            sums = defaultdict(float)
+            for c, w in weight.items():
+                sums[c[d]] += w
+            error = max(error, *(abs(sums[v] - t * aim) / aim for v, t in wanted.items()))
+        if min(error, sum(abs(weight[c] - last[c]) for c in cells) / aim) <= tolerance:
+            break
+    chances = [weight[c] / cells[c] for c in cell_of]
+    return tokens, [c[2] for c in cell_of], chances, [drawn(i, t) for i, t, _, _ in docs], error
+
+
+def same_as_by_hand(frame, keep):
+    """Every row's tokens, topic, probability and draw; draws nearer than 1e-9 do not decide."""
+    docs = [tuple(r) for r in frame.select("doc_id", "text", "source", "lang").collect()]
+    tokens, topics, chances, draws, error = mixed_by_hand(docs, keep)
+    columns = ("doc_id", "text", "source", "lang", "tokens", "topic")
+    got = sorted(mix(frame, keep=keep).collect(), key=lambda r: repr([r[c] for c in columns]))
+    want = sorted(zip(docs, tokens, topics, chances, draws, strict=True), key=lambda w: repr([*w[0], float(w[1]), w[2]]))
+    assert len(got) == len(want)
+    for r, (doc, n, topic, chance, draw) in zip(got, want, strict=True):
+        assert (*doc, n, topic) == tuple(r[c] for c in columns)
+        assert math.isclose(r["probability"], chance, abs_tol=1e-9)
+        assert math.isclose(r["weight"], n * chance, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["unmet"], error, abs_tol=1e-9)
+        assert abs(draw - chance) < 1e-9 or r["kept"] == (draw < chance)
+
+
+def test_rows_against_brute_force(spark):
+    same_as_by_hand(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 0.7)
+
+
+def test_odd_rows_against_brute_force(documents):
+    same_as_by_hand(documents(*ODD, (20, "a b", "en", None), (21, "a | b\nc", None, "s"), (22, "c d", "en", "s")), 0.4)
+
+
+def test_targets_that_cannot_be_met_are_told(spark, documents):
+    docs = documents(*[(i, "w x y z", "en" if i % 10 else "it", "s") for i in range(400)])
+    wanted = {"lang": spark.createDataFrame([("=en", 0.5), ("=it", 0.5)], "_lang string, target double")}
+    # A tenth of all tokens is a seventh of the weight, not half of it.
+    (unmet,) = {r["unmet"] for r in mix(docs, wanted, keep=0.7).collect()}
+    assert abs(unmet - (0.5 - 0.1 / 0.7)) < 1e-3
+    assert mix(docs, wanted, keep=0.1).first()["unmet"] < 1e-3
