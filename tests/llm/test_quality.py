@@ -1,13 +1,14 @@
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from roadstats.llm.quality import features, quality_rules
+from roadstats.llm.quality import FENCES, features, quality_rules
 
 from .conftest import ODD
 
@@ -100,3 +101,58 @@ def test_the_width_of_a_fence_follows_its_group(documents):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules(documents(*narrow, *wide, *odd)).collect()}
     assert all(kept[i] for i, *_ in narrow + wide)
     assert not kept[5000] and kept[5001]
+
+
+def judged_by_hand(docs, least):
+    """``kept`` of each (doc_id, text, lang, source): exact quantiles in place of sketches."""
+    shares, failed = [], []
+    for _, text, _, _ in docs:
+        n_words, word_chars, n_symbols, n_dup, n_repeat = by_hand(text)
+        words = WORD.findall(text or "")
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        echoes = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        capitals = sum("A" <= c <= "Z" for c in text or "")
+        pairs = {
+            "mean_word_chars": (word_chars, n_words),
+            "symbol_share": (n_symbols, word_chars),
+            "dup_line_share": (n_dup, len(lines)),
+            "echo_share": (echoes, n_words),
+            "capital_share": (capitals, word_chars),
+        }
+        shares.append({m: a / b if b else 0.0 for m, (a, b) in pairs.items()})
+        failed.append(n_words < 20 or 100 * n_repeat > 30 * n_words)
+    groups = defaultdict(list)
+    for (_, _, lang, source), share, bad in zip(docs, shares, failed, strict=True):
+        if not bad:
+            for key in ((lang, source), (lang, "*"), "*"):
+                groups[key].append(share)
+
+    def limits(held, f):
+        values = sorted(x[f.metric] for x in held)
+        few, mid = (values[math.ceil(q * len(values)) - 1] for q in (0.05, 0.5))
+        reach = max(f.times * (mid - few), f.spread)
+        return mid + reach, mid - reach
+
+    out = []
+    for (_, _, lang, source), share, bad in zip(docs, shares, failed, strict=True):
+        kept = not bad
+        for f in FENCES if kept else ():
+            above = groups[lang, "*"] if len(groups[lang, "*"]) >= least else groups["*"]
+            own = groups[lang, source] if len(groups[lang, source]) >= least else above
+            highs, lows = zip(limits(own, f), limits(above, f), strict=True)
+            kept &= share[f.metric] <= min(highs) and not (f.low and share[f.metric] < max(lows))
+        out.append(kept)
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 40, 200])
+def test_verdicts_against_brute_force(spark, documents, least):
+    """Every document of the table and the odd rows; sketches of so few values are exact."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = documents(*ODD, (20, "ab###c " * 30, "en", None), (21, "a b c", None, "s")).select(docs.columns)
+    docs = docs.unionByName(odd)
+    rows = [tuple(r) for r in docs.collect()]
+    want = sorted(repr((*r, k)) for r, k in zip(rows, judged_by_hand(rows, least), strict=True))
+    got = quality_rules(docs, least=least).select("doc_id", "text", "lang", "source", "kept").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert 0 < sum(r["kept"] for r in got) < len(got)
