@@ -36,6 +36,8 @@ _EDGE = (
 _UNFIT = f"^{_EDGE}|{_EDGE}$|^$"
 #: Bytes of text that are tokenized at a time.
 _BATCH = 16 << 20
+#: Pieces of one size that are ranked in one window, about.
+_WINDOW_ROWS = 200_000
 
 
 class Ids:
@@ -250,7 +252,9 @@ def best_fit_packing(
     # At most ``length`` rows, whatever the corpus.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = plan_rounds(counts, length)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A window's rows must not grow with the corpus, also where one size has a third of all pieces.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(least, -(-max(counts.values(), default=0) // _WINDOW_ROWS))
     rows = ranked(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"], spread)
     schema = "length long, first long, n long, sequence long, offset long"
     table = spark.createDataFrame(pa.table(
