@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadstats.operators.counts import count_by
@@ -51,17 +51,28 @@ def distinct_with_totals(
 ) -> DataFrame:
     """``keys, n, distinti, livello``: :func:`distinct_by` with the totals above.
 
-    A value that several categories share counts once in their total, so the totals
-    are no sums: the pairs, not the records, are expanded to the levels and made
-    distinct again in each. Levels as in :func:`with_totals`.
+    A value that several categories share counts once in their total. A value's pairs
+    are put next to each other in the order of the keys, and the first of each total
+    is marked: the marks are summed like the rows, so the pairs are not expanded to the
+    levels and no task holds a level's values. Levels as in :func:`with_totals`.
     """
     names = list(keys)
     pairs = _pairs(df, keys, of, n, require, weight)
-    sets = [[*names[:i], "_of"] for i in range(len(names), -1, -1)]
-    # The value is in every set: its bit, the last, is never set.
-    at = F.shiftright(F.grouping_id(), 1).alias(level)
-    pairs = pairs.groupingSets(sets, *names, "_of").agg(F.sum(n).alias(n), at)
-    return pairs.groupBy(*names, level).agg(F.sum(n).alias(n), F.count("_of").alias(out)).select(*names, n, out, level)
+    before = F.lag(F.struct(F.lit(True).alias("_any"), *names)).over(Window.partitionBy("_of").orderBy(*names))
+    pairs = pairs.withColumn("_before", before)
+    # Mark i: the value's first pair with these first i keys; a value that is NULL has none.
+    marks = [f"_{i}" for i in range(len(names) + 1)]
+    same = [F.coalesce(F.col("_before._any"), F.lit(False))]
+    for c in names:
+        same.append(same[-1] & F.col(c).eqNullSafe(F.col("_before")[c]))
+    firsts = [(F.col("_of").isNotNull() & ~s).cast("long").alias(m) for s, m in zip(same, marks, strict=True)]
+    counted = pairs.select(*names, n, *firsts).groupBy(*names).agg(*[F.sum(c).alias(c) for c in [n, *marks]])
+    # Only the counted categories are expanded to the levels.
+    sums = [F.sum(c).alias(c) for c in [n, *marks]]
+    totals = counted.rollup(*names).agg(*sums, F.grouping_id().alias(level)).filter(F.col(marks[0]).isNotNull())
+    # A level's bits are those of the keys that are summed over, the last ones.
+    own = F.coalesce(*[F.when(F.col(level) == (1 << (len(names) - i)) - 1, F.col(m)) for i, m in enumerate(marks)])
+    return totals.select(*names, n, own.alias(out), level)
 
 
 def distinct_sketches(

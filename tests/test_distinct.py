@@ -105,3 +105,16 @@ def test_a_category_is_spread_by_its_values(rows):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 2 and "_of" in exchanges[1] and "_of" not in exchanges[0]
     assert "Python" not in plan
+
+
+def test_totals_expand_no_values(rows):
+    data = [("a", "x", "1"), ("a", "y", "1"), ("a", "x", None), (None, "x", "1"), (None, None, "2"), ("b", "x", "2"), ("b", "x", "2")]
+    found = distinct_with_totals(rows(data, "g string, s string, v string"), {"g": "g", "s": "s"}, "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Expand" in line and "_of" in line]
+    expected = set()
+    for level, key in ((0, lambda g, s: (g, s)), (1, lambda g, s: (g, None)), (3, lambda g, s: (None, None))):
+        for k in {key(g, s) for g, s, _ in data}:
+            values = [v for g, s, v in data if key(g, s) == k]
+            expected.add((*k, len(values), len(set(values) - {None}), level))
+    assert {tuple(r) for r in found.collect()} == expected
