@@ -16,6 +16,9 @@ FEW_QUOTES = r':"([^"]*"(?:[^"]*")?[^"]*)"[,}]'
 # not followed by a comma or brace cannot end the value, hence no backtracking.
 MANY_QUOTES = r':"([^"},]*+(?:"(?![,}])[^"},]*+)++)"[,}]'
 
+# The first pattern with the pieces between the quotes as groups; it matches the same places.
+_FEW_PIECES = r':"([^"]*+)"(?:([^"]*+)")?([^"]*+)"([,}])'
+
 # Values that are each the start of the next one. The first pattern takes such a
 # chain in from its end, one value a round; this one takes it at once.
 _CHAIN = r':"[^"]*+(?:":"[^"]*+)++"[,}]'
@@ -32,9 +35,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
     """Delete the quotes inside every value that ``pattern`` finds, until none is left.
 
-    A round takes the line apart at the values found and joins it again. One round does for nearly every line; a line that still matches gets
-    further ones, each of which removes a quote, until nothing matches.
+    A round takes the line apart at the values found and joins it again; values with
+    one or two quotes are replaced by their pieces at once. One round does for nearly
+    every line; a line that still matches gets further ones, each of which removes a
+    quote, until nothing matches.
     """
+    start = F.col(line) if isinstance(line, str) else line
+    if pattern == FEW_QUOTES:
+        return let(_few_round(start), _few_rest)
+    one_round, to_the_end = _rounds(pattern)
+
+    def first(found: Column) -> Column:
+        # One search tells whether there is anything to do, and what.
+        return F.when(F.size(found) > 0, let(one_round(start, found=found), to_the_end)).otherwise(start)
+
+    return let(F.regexp_extract_all(start, F.lit(pattern), F.lit(0)), first)
+
+
+def _few_round(x: Column) -> Column:
+    return F.regexp_replace(x, _FEW_PIECES, ':"$1$2$3"$4')
+
+
+def _few_rest(x: Column) -> Column:
+    """What the first pattern still finds after one round, which few lines have."""
+    one_round, to_the_end = _rounds(FEW_QUOTES)
+    return F.when(x.rlike(FEW_QUOTES), let(one_round(x, _CHAIN), to_the_end)).otherwise(x)
+
+
+def _rounds(pattern: str) -> tuple[Callable[..., Column], Callable[[Column], Column]]:
+    """One round of a pattern, and as many as it takes until it finds nothing."""
 
     def values(x: Column, pattern: str = pattern) -> Column:
         return F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
@@ -83,18 +112,7 @@ def strip_stray_quotes(line: Column | str, pattern: str) -> Column:
         ended = F.aggregate(F.sequence(F.lit(1), quotes), start, go_on, lambda s: s["x"])
         return F.when(x.rlike(pattern), ended).otherwise(x)
 
-    def rest(x: Column) -> Column:
-        if pattern != FEW_QUOTES:
-            return to_the_end(x)
-        return F.when(x.rlike(pattern), let(one_round(x, _CHAIN), to_the_end)).otherwise(x)
-
-    start = F.col(line) if isinstance(line, str) else line
-
-    def first(found: Column) -> Column:
-        # One search tells whether there is anything to do, and what.
-        return F.when(F.size(found) > 0, let(one_round(start, found=found), rest)).otherwise(start)
-
-    return let(values(start), first)
+    return one_round, to_the_end
 
 
 def normalise_line(line: Column | str) -> Column:
@@ -110,8 +128,13 @@ def normalise_line(line: Column | str) -> Column:
 def repair_line(line: Column | str) -> Column:
     """Both quote repairs and the normalisation; a valid record line keeps its content."""
     start = F.col(line) if isinstance(line, str) else line
-    few = strip_stray_quotes(start, FEW_QUOTES)
-    return normalise_line(let(few, lambda x: strip_stray_quotes(x, MANY_QUOTES)))
+
+    def both(x: Column) -> Column:
+        # One search tells of nearly every line that nothing is left to do.
+        left = let(_few_rest(x), lambda y: strip_stray_quotes(y, MANY_QUOTES))
+        return F.when(x.rlike(f"{FEW_QUOTES}|{MANY_QUOTES}"), left).otherwise(x)
+
+    return normalise_line(let(_few_round(start), both))
 
 
 def is_record_line(line: Column | str) -> Column:
@@ -121,13 +144,14 @@ def is_record_line(line: Column | str) -> Column:
 
 def is_raw_file(path: Column | str) -> Column:
     """True if the text after the last dot of the path contains json or txt."""
-    return (F.col(path) if isinstance(path, str) else path).rlike(r"(?:^|\.)[^.]*(?:json|txt)[^.]*$")
+    last = F.substring_index(F.col(path) if isinstance(path, str) else path, ".", -1)
+    return F.contains(last, F.lit("json")) | F.contains(last, F.lit("txt"))
 
 
 def file_entity(path: Column | str) -> Column:
     """Entity named in the base name of a file, NULL if there is none."""
     p = F.col(path) if isinstance(path, str) else path
-    name = F.lower(F.element_at(F.split(p, "/"), -1))
+    name = F.lower(F.substring_index(p, "/", -1))
     out = None
     for entity in S.FILE_ENTITIES:
         hit = F.contains(name, F.lit(entity))
@@ -138,4 +162,9 @@ def file_entity(path: Column | str) -> Column:
 def file_period(path: Column | str) -> Column:
     """Parent folder name after its first underscore, NULL if it has none."""
     p = F.col(path) if isinstance(path, str) else path
-    return F.nullif(F.regexp_extract(p, r"/[^/_]*_([^/]*)/[^/]*$", 1), F.lit(""))
+    # Path functions run on every line: no pattern is searched for in them.
+    last = F.substring_index(p, "/", -2)
+    folder = F.substring_index(last, "/", 1)
+    at = F.instr(folder, "_")
+    named = (F.length(last) < F.length(p)) & (at > 0) & (at < F.length(folder))
+    return F.when(named, F.substring(folder, at + 1, F.length(folder)))

@@ -50,7 +50,9 @@ def refuse_hidden(spark: SparkSession, path: str, hidden: str) -> None:
 def routed_lines(lines: DataFrame, charset: str = "UTF-8") -> DataFrame:
     """``value, file_path, entity, period`` of the lines of json/txt files, from the text source's rows."""
     # The reported path is a URI; give names with blanks back their blanks.
-    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    uri = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    name = F.when(F.contains(uri, F.lit("%")), decoded).otherwise(uri)
     value = F.col("value")
     if charset.upper() != "UTF-8":
         # The text source keeps a line's bytes as they are.

@@ -1,17 +1,21 @@
 import json
+import re
 import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from roadstats import schema as S
 from roadstats.functions.repair import (
+    FEW_QUOTES,
     file_entity,
     file_period,
     is_raw_file,
     is_record_line,
     normalise_line,
     repair_line,
+    strip_stray_quotes,
 )
 from roadstats.sources import repair_lines
 
@@ -103,3 +107,35 @@ def test_file_names(rows, path, raw, entity, period):
     df = rows([(path,)], "p string")
     got = df.select(is_raw_file("p"), file_entity("p"), file_period("p")).first()
     assert tuple(got) == (raw, entity, period)
+
+
+def test_few_quotes_are_taken_out_by_one_replacement(spark):
+    values = ['{"A":"x "y" z","B":"q"}', '{"A":"x"y","B":"a", "b"}', '{"A":"1":"2":"3":"4"}', '":"","', "", None]
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value string")
+    found = lines.select("i", strip_stray_quotes("value", FEW_QUOTES).alias("v"))
+    assert "regexp_replace(value" in found._jdf.queryExecution().analyzed().toString()
+
+    def plain(v):
+        while v is not None and (new := re.sub(FEW_QUOTES, lambda m: ':"' + m[1].replace('"', "") + m[0][-2:], v)) != v:
+            v = new
+        return v
+
+    assert {r.i: r.v for r in found.collect()} == {i: plain(v) for i, v in enumerate(values)}
+
+
+def test_paths_are_read_without_patterns(spark):
+    paths = ["a", "a_b/c.json", "/a_b/c.txt", "/a_/c", "/x/_b_c/Persone.d/i", "x.json/y", "/a_b/", "/é_ü/ PEDONI.jsonl", "", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    found = rows.select("i", is_raw_file("p").alias("raw"), file_period("p").alias("period"), file_entity("p").alias("entity"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan and "split(" not in plan
+    for r in found.collect():
+        p = paths[r.i]
+        if p is None:
+            assert (r.raw, r.period, r.entity) == (None, None, None)
+            continue
+        assert r.raw == bool(re.search(r"(?:^|\.)[^.]*(?:json|txt)[^.]*$", p))
+        named = re.search(r"/[^/_]*_([^/]*)/[^/]*$", p)
+        assert r.period == ((named[1] or None) if named else None)
+        name = p.split("/")[-1].lower()
+        assert r.entity == next((e for e in S.FILE_ENTITIES if e in name), None)
