@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadstats import schema as S
 from roadstats.functions.repair import is_record_line, repair_line
+from roadstats.operators.counts import count_by
 from roadstats.sources.raw import CORRUPT, parse_records, refuse_hidden, routed_lines
 
 _STORED = "value string, file_path string, entity string, period string"
@@ -80,11 +81,14 @@ def _delivered(spark: SparkSession, store: str, delivery: str | None) -> DataFra
     if delivery is None:
         return rows
     name: Column = F.regexp_extract("file_path", delivery, 1)
-    rows = rows.withColumn("_delivery", name)
-    # One row for each entity and period, also where one of them has most of the lines.
-    last = rows.groupBy(F.col("entity").alias("_entity"), F.col("period").alias("_period")).agg(
-        F.max("_delivery").alias("_last")
+    # Lines are reduced to files first, as the largest text is found by sorting. One row for each entity
+    # and period is left, also where one of them has most of the lines; it is sent to the lines.
+    # Spark takes a plain distinct() below a maximum out again, hence the test of the count.
+    files = count_by(rows, {c: c for c in ("entity", "period", "file_path")}, "_lines").filter("_lines > 0")
+    last = F.broadcast(
+        files.groupBy(F.col("entity").alias("_entity"), F.col("period").alias("_period")).agg(F.max(name).alias("_last"))
     )
+    rows = rows.withColumn("_delivery", name)
     same = F.col("entity").eqNullSafe(F.col("_entity")) & F.col("period").eqNullSafe(F.col("_period"))
     old = F.col("period").isNotNull() & (F.col("_delivery") < F.col("_last"))
     return rows.join(last, same).filter(~old).select("value", "file_path", "entity", "period")

@@ -131,3 +131,14 @@ def test_a_stream_is_narrow(spark, place):
     assert lines.isStreaming
     plan = lines._jdf.queryExecution().logical().toString()
     assert "Aggregate" not in plan and "Python" not in plan
+
+
+def test_last_delivery_is_found_without_moving_lines(spark, tmp_path):
+    data = [("ID 1", "/c_1/a_x/i.json", "i", "x"), ("ID 2", "/c_2/a_x/i.json", "i", "x"), ("ID 3", "/a/i.json", "i", None), (None, "/c_1/n", None, "x")]
+    spark.createDataFrame(data, "value string, file_path string, entity string, period string").write.parquet(f"{tmp_path}/s")
+    found = stored_lines(spark, f"{tmp_path}/s", delivery=r"/c_(\d)/")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # Lines become files before the largest name is looked for.
+    assert plan.count("partial_count") == 1
+    assert sorted(r.value for r in found.collect()) == ["ID 2", "ID 3"]
