@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from roadstats.operators.counts import count_by
 from roadstats.scratch import written
 
+#: Every later place of the row.
+_LATER = """if(element_at(s, -1) + 1 < size(items), sequence(element_at(s, -1) + 1, size(items) - 1), cast(array() AS array<int>))"""
+
 #: The row's sets (arrays of places in ``items``, ascending) and every later place of the row
 #: give the sets one larger; each must have all its smaller sets among the row's.
-_LARGER = """flatten(transform(sets, s -> transform(
+_LARGER_WIDE = f"""flatten(transform(sets, s -> transform(
   filter(
-    if(element_at(s, -1) + 1 < size(items), sequence(element_at(s, -1) + 1, size(items) - 1), cast(array() AS array<int>)),
+    {_LATER},
     j -> forall(
       sequence(1, size(s)),
       p -> array_contains(sets, concat(slice(s, 1, p - 1), slice(s, p + 1, size(s)), array(j)))
@@ -23,6 +26,18 @@ _LARGER = """flatten(transform(sets, s -> transform(
   j -> concat(s, array(j))
 )))"""
 
+#: The same where the places are few enough for the bits of a long: sets are looked up as numbers.
+_LARGER = f"""if(size(items) > 62, {_LARGER_WIDE}, get(transform(
+  array(transform(sets, s -> aggregate(s, 0L, (bits, i) -> bits | shiftleft(1L, i)))),
+  codes -> flatten(transform(sets, (s, k) -> transform(
+    filter(
+      {_LATER},
+      j -> forall(s, i -> array_contains(codes, (get(codes, k) | shiftleft(1L, j)) ^ shiftleft(1L, i)))
+    ),
+    j -> concat(s, array(j))
+  )))
+), 0))"""
+
 
 def group_key(by: Sequence[str]) -> Column:
     """The group columns as one value that is never NULL, so that it can be joined."""
@@ -73,7 +88,9 @@ def supported_itemsets(
 
     found = singles.select("_by", F.array("item").alias("items"), "n")
     while True:
-        listed = rows.select("*", F.explode(F.expr(_LARGER)).alias("_at"))
+        # The larger sets are found once: their count and the choice among them both read the files.
+        rows = written(rows.select("_row", "_by", "items", "n", F.expr(_LARGER).alias("larger")), "rows")
+        listed = rows.select("_row", "_by", "items", "n", F.explode("larger").alias("_at"))
         listed = listed.withColumn("_set", F.transform("_at", lambda i: F.get("items", i)))
         counts = count_by(listed, {"_by": "_by", "items": "_set"}, "n", weight="n")
         level = written(_frequent(counts, least), "sets")
@@ -82,10 +99,9 @@ def supported_itemsets(
         found = found.unionByName(level)
         known = level.select(F.col("_by").alias("_of"), F.col("items").alias("_known"))
         on = (F.col("_by") == F.col("_of")) & (F.col("_set") == F.col("_known"))
-        kept = listed.join(known, on, "left_semi").groupBy("_row").agg(
+        rows = listed.join(known, on, "left_semi").groupBy("_row").agg(
             *[F.first(c).alias(c) for c in ("_by", "items", "n")], F.collect_list("_at").alias("sets")
         )
-        rows = written(kept, "rows")
     return found.select(*[F.col("_by")[c].alias(c) for c in by], "items", "n")
 
 

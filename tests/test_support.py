@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from roadstats.operators import count_itemsets, mine_rules, supported_itemsets, supported_rules
-from roadstats.operators.support import _LARGER
+from roadstats.operators.support import _LARGER, _LARGER_WIDE
 
 SCHEMA = "g string, items array<string>, n long"
 
@@ -106,3 +106,31 @@ def test_a_level_is_one_count_and_one_semi_join(rows, spark):
     plan = supported_itemsets(rows(sample(), SCHEMA), 0.2, ["g"])._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "CartesianProduct", "NestedLoop"):
         assert word not in plan
+
+
+def test_larger_sets_are_looked_up_as_numbers(rows):
+    rnd = random.Random(5)
+    data = []
+    for n in (1, 2, 5, 9, 62):
+        places = sorted(rnd.sample(range(n), min(n, 7)))
+        pairs = [[a, b] for i, a in enumerate(places) for b in places[i + 1 :] if rnd.random() < 0.7]
+        data += [([f"i{j:02}" for j in range(n)], [[p] for p in places])]
+        data += [([f"i{j:02}" for j in range(n)], pairs)] if pairs else []
+    found = rows(data, "items array<string>, sets array<array<int>>").selectExpr(
+        "items", "sets", f"{_LARGER} AS larger", f"{_LARGER_WIDE} AS wide"
+    )
+    for r in found.collect():
+        assert r.larger == r.wide
+        sets = {tuple(s) for s in r.sets}
+        expected = {(*s, j) for s in sets for j in range(s[-1] + 1, len(r["items"]))}
+        expected = {c for c in expected if all((*c[:p], *c[p + 1 :]) in sets for p in range(len(c)))}
+        assert {tuple(s) for s in r.larger} == expected and len(r.larger) == len(expected)
+
+
+def test_rows_wider_than_a_long(rows):
+    wide = [f"w{j:02}" for j in range(70)]
+    data = [(wide, 1), (wide[:2] + wide[-2:], 1), (wide[:1] + wide[-2:], 2)]
+    found = supported_itemsets(rows(data, "items array<string>, n long"), 0.7)
+    sets = {tuple(r["items"]): r.n for r in found.collect()}
+    best = ("w00", "w68", "w69")
+    assert sets == {s: 4 for k in (1, 2, 3) for s in itertools.combinations(best, k)}
