@@ -14,7 +14,8 @@ in a document with a smaller doc_id. Four distributed steps find these strings:
    anchor is dealt to: all suffixes that could share ``min_bytes`` bytes meet
    there. Regions of an anchor that very many documents have are cut into single
    windows, which are dealt by their own bytes, so that no anchor fills a task.
-4. Each part sorts its suffixes by the difference-cover algorithm (sort sampled
+4. Each part leaves out the windows whose hash no other of its windows has, sorts
+   the suffixes of the rest by the difference-cover algorithm (sort sampled
    triples, recurse on their names, merge the other suffixes) as far as
    ``min_bytes`` bytes, compares adjacent prefixes, and takes the smallest
    doc_id of every run of equal ones. The covered stretches go back to the blocks.
@@ -162,6 +163,17 @@ def window_order(text: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[
     return order, same
 
 
+def _repeats(values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` occur more than once."""
+    order = np.argsort(values)
+    held = values[order]
+    like = held[1:] == held[:-1]
+    out = np.zeros(len(values), bool)
+    out[order[1:]] = like
+    out[order[:-1]] |= like
+    return out
+
+
 #: Positions hashed at a time, so that the passes over them stay in a core's cache.
 _STEP = 1 << 16
 
@@ -376,15 +388,15 @@ def covered_stretches(docs: DataFrame, n_parts: int, min_bytes: int, gram: int)
         region = np.repeat(np.arange(len(distinct)), windows)
         nth = np.arange(len(region)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = (ends - length)[region] + nth
-        order, same = window_order(np.frombuffer(b"".join(distinct), np.uint8), begin, min_bytes)
-        back = np.empty(int(ends[-1]), np.int64)
-        back[begin] = np.arange(len(begin))
-        at = back[order]
-        heads = np.flatnonzero(~same)
-        owner = np.empty(len(begin), np.int64)
-        owner[at] = np.repeat(
-            np.minimum.reduceat(smallest[region[at]], heads), np.diff(np.r_[heads, len(at)])
-        )
+        text = np.frombuffer(b"".join(distinct), np.uint8)
+        # A window whose hash no other has is like none; only the others are sorted.
+        again = np.flatnonzero(_repeats(_gram_hashes(text, min_bytes)[begin]))
+        owner = smallest[region]
+        if len(again):
+            order, same = window_order(text, begin[again], min_bytes)
+            at = again[np.searchsorted(begin[again], order)]
+            heads = np.flatnonzero(~same)
+            owner[at] = np.repeat(np.minimum.reduceat(owner[at], heads), np.diff(np.r_[heads, len(at)]))
         # Stretches of windows of a region that have one owner: region, first, last + 1, owner.
         cut = np.ones(len(owner), bool)
         cut[1:] = (owner[1:] != owner[:-1]) | (nth[1:] == 0)

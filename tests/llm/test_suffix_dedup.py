@@ -78,6 +78,27 @@ def test_hot_anchors_give_the_same(documents, monkeypatch):
     assert found(documents(*rows)) == by_hand(rows)
 
 
+def test_only_windows_that_may_repeat_are_sorted(documents, monkeypatch):
+    """Texts share an anchor but no window, so that nothing needs an order."""
+    rng = np.random.default_rng(7)
+    own = ["".join(map(chr, rng.integers(97, 123, 120))) for _ in range(40)]
+    rows = [(i, t[:60] + "a passage that all of them share" + t[60:]) for i, t in enumerate(own)]
+
+    def refuse(text, starts, min_bytes):
+        raise AssertionError(f"{len(starts)} windows to be sorted")
+
+    monkeypatch.setattr(module, "window_order", refuse)
+    assert found(documents(*rows)) == by_hand(rows)
+    with pytest.raises(Exception, match="windows to be sorted"):
+        found(documents(*rows, (99, own[0])))
+
+
+def test_repeats():
+    values = np.array([5, 1, 5, 2, 7, 1, 9], np.uint64)
+    assert module._repeats(values).tolist() == [True, True, True, False, False, True, False]
+    assert module._repeats(values[:0]).tolist() == [] and module._repeats(values[:1]).tolist() == [False]
+
+
 def test_many_blocks_give_the_same(documents):
     rows = some_rows()
     assert found(documents(*rows), block_bytes=100) == by_hand(rows)
