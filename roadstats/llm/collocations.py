@@ -9,8 +9,10 @@ counts. Two accepted neighbours, one word apart, are a candidate of the next lev
 tasks return only the numbers of the two phrases and how often they met.
 
 A trie has at most ``trie_bytes`` bytes of phrases. Where a level has more, its
-phrases are dealt to several tries by a hash, and the texts pass one after the other,
-with the phrase found at each word written beside the text.
+phrases in order make several tries, each a stretch of them. A task takes some texts
+and opens the tries one after the other, so that one is in memory at a time, each
+level reads the texts once and nothing is written between the tries. A word leaves a
+trie at the first byte that no phrase of that stretch has.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ _TABLE = bytes(
 )
 #: Bytes of text that numpy works on at a time; entries that a task holds before it returns them.
 _SLICE, _HELD = 2 << 20, 1 << 20
+#: Bytes of text that are moved through all tries of a level before the next ones are read.
+_TAKEN = 16 << 20
 
 
 @dataclass
@@ -52,9 +57,18 @@ class Trie:
     n: int
 
 
-def _plain(t: Trie) -> tuple:
-    """A trie as a tuple, which needs no code to be read."""
-    return t.base, t.check, t.accept, t.roots, t.n
+def _packed(t: Trie) -> tuple:
+    """A trie as a tuple, which needs no code to be read, with compressed arrays."""
+    arrays = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (t.base, t.check, t.accept)]
+    return len(t.base), *arrays, t.roots, t.n
+
+
+def _opened(held: Broadcast) -> Trie:
+    """A trie from its broadcast, which does not keep a copy in the worker."""
+    size, *arrays, roots, n = held.value
+    if getattr(held, "_path", None):
+        del held._value
+    return Trie(*(np.frombuffer(pa.decompress(x, 4 * size, "zstd", asbytes=True), np.int32) for x in arrays), roots, n)
 
 
 def _place(byte: np.ndarray, first: np.ndarray, fan: np.ndarray, size: int, draw) -> tuple[np.ndarray, np.ndarray] | None:
@@ -213,99 +227,123 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
 
-def pass_texts(texts: DataFrame, trie: Trie, offset: int, total: int, last: bool, pairs: bool) -> DataFrame:
-    """Move all words of ``texts`` through one trie, whose phrases have the numbers from ``offset`` on.
+def pass_texts(texts: DataFrame, tries: list[Broadcast], firsts: list[int], pairs: bool) -> DataFrame:
+    """Move all words of ``texts`` through ``tries`` (:func:`_packed`), whose phrases have the numbers from ``firsts`` on.
 
-    If it is not the ``last`` trie of the level, the texts come back with ``found``,
-    the phrase at each word. If it is: ``a, b, n``, how often phrase ``a`` occurs (``b``
-    is -1) and, with ``pairs``, how often ``b`` starts at the second word of ``a``.
+    ``firsts`` ends with the number of all phrases. Returns ``a, b, n``, how often phrase
+    ``a`` occurs (``b`` is -1) and, with ``pairs``, how often ``b`` starts at the second word
+    of ``a``.
     """
-    held = texts.sparkSession.sparkContext.broadcast(_plain(trie))
-    seen = "found" in texts.columns
-    schema = "a long, b long, n long" if last else "lang string, text string, found array<long>"
+    total = firsts[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Trie(*held.value)
-        counts, keys, sums, kept = np.zeros(now.n, np.int64), [], [], 0
+        only = _opened(tries[0]) if len(tries) == 1 else None
+        most = 1 if only else _TAKEN
+        whole = np.zeros(only.n if only else 0, np.int64)
+        keys, sums = [], []
 
         def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             # A key is a * (total + 1) + b + 1.
             a, b = np.divmod(key, total + 1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b - 1), pa.array(n)], names=["a", "b", "n"])
 
-        for batch in batches:
-            for part in _slices(batch):
-                stream, starts, text = word_starts(part.column("text"))
-                root = np.array([now.roots.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
-                found = accepted(stream, starts, root[text], now)
-                if last:
-                    counts += np.bincount(found[found >= 0], minlength=now.n)
-                found = np.where(found >= 0, found + offset, -1)
-                if seen:
-                    old = part.column("found").flatten().to_numpy(zero_copy_only=False)
-                    if last:
-                        keys.append(old[old >= 0] * (total + 1))
-                        sums.append(np.ones(len(keys[-1]), np.int64))
-                    found = np.where(found >= 0, found, old)
-                if not last:
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))])
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("lang"), part.column("text"), lists], names=["lang", "text", "found"]
-                    )
-                    continue
+        def taken() -> Iterator[list]:
+            """Some texts: bytes, places of words, language of each word, the phrase found at it."""
+            parts, size = [], 0
+            for batch in batches:
+                for part in _slices(batch):
+                    stream, starts, text = word_starts(part.column("text"))
+                    lang = part.column("lang").dictionary_encode()
+                    names = lang.dictionary.to_pylist()
+                    parts.append((stream, starts, names, lang.indices.to_numpy()[text], np.full(len(starts), -1, np.int64)))
+                    size += len(stream)
+                    if size >= most:
+                        yield parts
+                        parts, size = [], 0
+            if parts:
+                yield parts
+
+        for parts in taken():
+            for trie, first in zip(tries, firsts, strict=False):
+                now = only or _opened(trie)
+                counts = whole if only else np.zeros(now.n, np.int64)
+                for stream, starts, names, lang, found in parts:
+                    root = np.array([now.roots.get(x, -1) for x in names], np.int64)
+                    here = accepted(stream, starts, root[lang], now)
+                    hit = here >= 0
+                    counts += np.bincount(here[hit], minlength=now.n)
+                    found[hit] = here[hit] + first
+                if not only:
+                    own = np.flatnonzero(counts)
+                    keys.append((own + first) * (total + 1))
+                    sums.append(counts[own])
+            for stream, starts, _, _, found in parts:
                 if pairs and len(starts) > 1:
                     near = (found[:-1] >= 0) & (found[1:] >= 0) & (stream[starts[1:] - 1] == _BLANK)
                     key, n = np.unique(found[:-1][near] * (total + 1) + found[1:][near] + 1, return_counts=True)
                     keys.append(key)
                     sums.append(n)
-                kept = sum(map(len, keys))
-                if kept > _HELD:
-                    key, n = _merged(keys, sums)
-                    keys, sums = [key], [n]
-                    if len(key) > _HELD // 2:
-                        yield rows(key, n)
-                        keys, sums = [], []
-        if last:
-            own = np.flatnonzero(counts)
-            yield rows((own + offset) * (total + 1), counts[own])
-            if keys:
-                yield rows(*_merged(keys, sums))
-
-    return texts.mapInArrow(run, schema)
+            if sum(map(len, keys)) > _HELD:
+                key, n = _merged(keys, sums)
+                keys, sums = [key], [n]
+                if len(key) > _HELD // 2:
+                    yield rows(key, n)
+                    keys, sums = [], []
+        own = np.flatnonzero(whole)
+        yield rows(own * (total + 1), whole[own])
+        if keys:
+            yield rows(*_merged(keys, sums))
+
+    return texts.mapInArrow(run, "a long, b long, n long")
 
 
 def _numbered(phrases: DataFrame, trie_bytes: int, name: str) -> tuple[DataFrame, list[int]]:
-    """``phrases`` (``lang, phrase``) written with ``part`` and ``number``, and the first number of each part and the end.
+    """``phrases`` (``lang, phrase``) written with ``number`` in their order, and the first number of each trie and the end.
 
-    A part's phrases are numbered together, so that each holds ``trie_bytes`` or little more.
+    A trie holds ``trie_bytes`` or less, or one phrase more.
     """
+    order = Window.partitionBy("range").orderBy("lang", "phrase")
+    dealt = phrases.select("lang", "phrase").orderBy("lang", "phrase").withColumn("range", F.spark_partition_id())
     size = F.sum(F.octet_length("lang") + F.octet_length("phrase"))
-    n_parts = max(1, -(-(phrases.agg(size).first()[0] or 0) // trie_bytes))
-    part = F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_parts)).cast("int").alias("part")
-    dealt = phrases.select("lang", "phrase", part)
-    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "phrase")).cast("long") - 1
-    dealt = materialize(dealt.withColumn("place", place), name)
+    dealt = dealt.withColumns({"place": F.row_number().over(order).cast("long") - 1, "upto": size.over(order)})
+    dealt = materialize(dealt, name)
+    # One row for each range of the sort.
+    sums = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("size")).orderBy("range").collect()
+    sums = {r["range"]: (r["n"], r["size"]) for r in sums}
+    rows, sizes = [0], [0]
+    for i in range(max(sums, default=-1) + 1):
+        n, size = sums.get(i, (0, 0))
+        rows.append(rows[-1] + n)
+        sizes.append(sizes[-1] + size)
+
+    def at(values: list[int]) -> Column:
+        return F.element_at(F.split(F.lit(" ".join(map(str, values))), " "), F.col("range") + 1).cast("long")
+
+    ends = at(sizes) + F.col("upto")
+    numbered = dealt.select("lang", "phrase", (F.col("place") + at(rows)).alias("number"), ends.alias("upto"))
     # One row for each trie.
-    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    firsts = [0]
-    for p in range(n_parts):
-        firsts.append(firsts[-1] + sizes.get(p, 0))
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in firsts]), F.col("part") + 1)
-    return dealt.withColumn("number", F.col("place") + first), firsts
+    trie = F.floor((F.col("upto") - 1) / trie_bytes)
+    firsts = numbered.groupBy(trie.alias("t")).agg(F.min("number").alias("first")).orderBy("first").collect()
+    return numbered.select("lang", "phrase", "number"), [*(r["first"] for r in firsts), rows[-1]]
 
 
 def _level(texts: DataFrame, phrases: DataFrame, least: int, pairs: bool, trie_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Counts (``lang, phrase, n``) of ``phrases``, and the candidates (``lang, phrase``) one word longer."""
     numbered, firsts = _numbered(phrases, trie_bytes, "phrases")
-    for p in range(len(firsts) - 1):
-        # A part is bounded by ``trie_bytes``.
-        own = numbered.filter(F.col("part") == p).orderBy("place").select("lang", "phrase").toPandas()
-        trie, last = build_trie(list(own["lang"]), list(own["phrase"])), p == len(firsts) - 2
-        texts = pass_texts(texts, trie, firsts[p], firsts[-1], last, pairs)
-        if not last:
-            texts = materialize(texts, "found")
-    met = materialize(texts.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "met")
+
+    def held(first: int, end: int) -> Broadcast:
+        # A trie's phrases are bounded by ``trie_bytes``; the driver holds those of one.
+        own = numbered.filter((F.col("number") >= first) & (F.col("number") < end)).orderBy("number").toPandas()
+        return texts.sparkSession.sparkContext.broadcast(_packed(build_trie(list(own["lang"]), list(own["phrase"]))))
+
+    tries = [held(first, end) for first, end in zip(firsts, firsts[1:], strict=False)]
+    if not tries:
+        met = texts.sparkSession.createDataFrame([], "a long, b long, n long")
+    else:
+        met = pass_texts(texts, tries, firsts, pairs).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    met = materialize(met.filter(F.col("n") >= least), "met")
+    for trie in tries:
+        trie.destroy()
     counted = met.filter("b < 0").join(numbered, F.col("a") == F.col("number")).select("lang", "phrase", "n")
     if not pairs:
         return counted, None

@@ -68,6 +68,29 @@ def test_tasks_that_hold_little(spark, documents, monkeypatch):
     assert found(docs, least=3) == brute_force([tuple(r) for r in docs.select("lang", "text").collect()], 3)
 
 
+def test_several_tries_read_the_texts_once_a_level(documents, monkeypatch):
+    """What is written grows with the phrases, not with tries times texts; tries are stretches of the phrases."""
+    docs, written, held = documents(*[(i, TEXT + str(i), "en", "s") for i in range(9)]), [], []
+
+    def write(df, name, real=C.materialize):
+        written.append(name)
+        return real(df, name)
+
+    def build(langs, phrases, real=C.build_trie):
+        held.append(phrases)
+        return real(langs, phrases)
+
+    monkeypatch.setattr(C, "materialize", write)
+    monkeypatch.setattr(C, "build_trie", build)
+    monkeypatch.setattr(C, "_TAKEN", 50, raising=False)
+    assert found(docs, least=3, trie_bytes=40) == brute_force([tuple(r) for r in docs.select("lang", "text").collect()], 3)
+    assert not {"text", "found"} & set(written) and len(held) > 5
+    for k in range(1, 5):
+        level = [p for trie in held for p in trie if p.count(" ") == k - 1]
+        assert level == sorted(set(level))
+    assert all(sum(len(p) + 2 for p in trie[:-1]) <= 40 for trie in held)
+
+
 def test_nothing_frequent(documents):
     docs = documents((1, "a b c", "en", "s"))
     assert found(docs, least=2) == [] and found(docs.limit(0), least=2) == []
